@@ -91,7 +91,7 @@ def grams(hashes: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
     if len(hashes) < n:
         return np.zeros(0, np.uint64)
     size = len(hashes) - n + 1
-    out = np.full(size, _MULT[(salt + 31) % 64] * np.uint64(n), np.uint64)
+    out = np.full(size, int(_MULT[(salt + 31) % 64]) * n & (1 << 64) - 1, np.uint64)
     for k in range(n):
         out += mix(hashes[k : k + size] + _MULT[(salt + k) % 64]) * _MULT[(salt + 2 * k + 7) % 64] if salt else hashes[k : k + size] * _MULT[k]
     return mix(out)
