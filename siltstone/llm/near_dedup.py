@@ -18,12 +18,14 @@ How it runs:
    turns, first each class with its smallest partner, then the pairs that still
    cross two components, since links within a component change nothing.
 5. A linked pair whose shared retained values all lie in longer lists has many such
-   values on both sides. Those classes (few) are compared by prefix filtering: of
-   each whole set the rarest quarter and one are its prefix, and two linked sets
-   share a value of their prefixes. In each list of such a value, members are
-   verified against a few leaders, components are merged, and lists within one
-   component drop out; when few crossing pairs are left, all of them are verified.
-   So no list is expanded to all pairs, and no link between components is lost.
+   values on both sides. Those classes (few) are first verified against LEADERS
+   members of each long list, which merges groups of near copies. The other links
+   among them, if any, are found on whole sets: a value within one component can't
+   link two, so a class needs three quarters of its set in values that several
+   components hold; others drop out, again and again, until nothing changes. What is
+   left meets by prefix filtering: of the values that may link it, each class lists
+   its rarest ones, so many that two linked sets share a listed one. So no list of a
+   large group is expanded to all pairs, and no link between components is lost.
 
 Cases: rows with a null doc_id get component null and kept true; rows that repeat a
 doc_id share one component; extra columns are ignored by find() and kept by keep_one().
@@ -47,7 +49,10 @@ LIGHT = 48
 #: A pair goes if the union's sketch shares less than this part; 0.75 is expected of a linked one.
 ESTIMATE = 0.31
 LEADERS = 4
+PRUNINGS = 3
+#: Turns of leaders, and the crossing pairs for each listed value up to which all are verified at once.
 ROUNDS = 6
+CROSSING = 2
 SALTS = 16
 
 
@@ -125,13 +130,11 @@ def estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return full.where(shared >= F.size(union) * ESTIMATE).select("a", "b")
 
 
-def _current(rows: DataFrame, labels: DataFrame | None, *columns: str) -> DataFrame:
+def _current(rows: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
     """rows with comp_<column>, the component of each of the columns so far."""
     for c in columns:
-        if labels is None:
-            rows = rows.withColumn(f"comp_{c}", F.col(c))
-        else:
-            rows = rows.join(labels.select(F.col("node").alias(c), F.col("root").alias("_root")), c, "left").withColumn(f"comp_{c}", F.coalesce("_root", c)).drop("_root")
+        rows = rows.join(labels.select(F.col("node").alias("_node"), F.col("root").alias("_root")), F.col(c) == F.col("_node"), "left")
+        rows = rows.withColumn(f"comp_{c}", F.coalesce("_root", c)).drop("_node", "_root")
     return rows
 
 
@@ -144,20 +147,46 @@ def _prefixes(batches):
         yield pa.RecordBatch.from_arrays(out, names=["node", "n", "v"])
 
 
-def prefix_lists(texts: DataFrame) -> DataFrame:
-    """(v, node, n): each set's rarest quarter and one, as far as another set holds the value as well."""
-    every = texts.select("node", "text").mapInArrow(_prefixes, "node long, n long, v long")
-    often = every.groupBy("v").agg(F.count("*").alias("f"))
-    rated = every.join(often, "v")
-    # a set's own values are few, so its values are gathered by node, rarest first
-    own = rated.groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("vs"))
-    cut = F.slice("vs", F.lit(1), (F.col("n") - F.ceil(F.col("n") * 0.75) + 1).cast("int"))
-    return own.select("node", "n", F.explode(cut).alias("x")).select(F.col("x.v").alias("v"), F.col("x.f").alias("f"), "node", "n").where("f > 1").drop("f")
+def _least(n: str) -> Column:
+    """How many values a set of n shares at least with a linked one."""
+    return F.ceil(F.col(n) * 0.75)
+
+
+def live_values(values: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, n, v, comp, live): of values (node, n, v), those that may link a class to another component; live counts them.
+
+    Classes with too few go, and with them what only they held, for PRUNINGS turns.
+    """
+    now = scratch(_current(values, labels, "node").withColumnRenamed("comp_node", "comp"))
+    for _ in range(PRUNINGS):
+        several = now.groupBy("v").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("v")
+        left = scratch(now.select("node", "n", "v", "comp").join(several, "v", "left_semi"))
+        enough = left.groupBy("node", "n").agg(F.count("*").alias("live")).where(F.col("live") >= _least("n")).select("node", "live")
+        now = left.join(enough, "node").select("node", "n", "v", "comp", "live")
+    return scratch(now)
+
+
+def prefix_lists(live: DataFrame) -> DataFrame:
+    """(v, node, n, comp, live): each class with the rarest of its live values, as many as a linked one must meet."""
+    often = live.groupBy("v").agg(F.count("*").alias("f"))
+    # a class's own values are no more than its text's, so they are gathered by class, rarest first
+    own = live.join(often, "v").groupBy("node", "n", "comp", "live").agg(F.sort_array(F.collect_list(F.struct("f", "v"))).alias("vs"))
+    cut = F.slice("vs", F.lit(1), (F.col("live") - _least("n") + 1).cast("int"))
+    return own.select("node", "n", "comp", "live", F.explode(cut).alias("x")).select(F.col("x.v").alias("v"), "node", "n", "comp", "live")
+
+
+def led(lists: DataFrame, turn: int) -> DataFrame:
+    """(a, b): the members of lists (v, node, n, comp) with LEADERS members of each, unless in one component or too unlike in size."""
+    lots = [F.min(F.struct(F.xxhash64("node", F.lit(turn * LEADERS + k)).alias("lot"), "node", "n", "comp")) for k in range(LEADERS)]
+    leaders = lists.groupBy("v").agg(F.array_distinct(F.array(*lots)).alias("l")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    member = lists.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(leaders, ["v", "salt"])
+    met = member.select(F.col("node").alias("x"), F.col("n").alias("na"), "comp", F.explode("l").alias("l")).where("x <> l.node AND comp <> l.comp")
+    met = met.select(F.least("x", "l.node").alias("a"), F.greatest("x", "l.node").alias("b"), "na", F.col("l.n").alias("nb"))
+    return met.where(_alike_in_size("na", "nb")).select("a", "b").distinct()
 
 
 def find(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): a row for each row of docs."""
-    spark = docs.sparkSession
     drawn = scratch(sketches(docs))
     named = drawn.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = named.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"))
@@ -181,16 +210,19 @@ def find(docs: DataFrame) -> DataFrame:
 
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(heavy).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node")
-    texts = scratch(texts.dropDuplicates(["node"]) if _repeats(named) else texts)
+    texts = scratch(texts.dropDuplicates(["node"]))
 
     nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = scratch(verified(nearest, texts))
-    labels = scratch(components(links))
-    rest = _current(pairs.join(nearest, ["a", "b"], "left_anti"), labels, "a", "b").where("comp_a <> comp_b")
-    links = scratch(links.unionByName(verified(rest, texts)))
-    labels = scratch(components(links))
-    if not heavy.isEmpty():
-        labels = _merge_heavy(reps, texts.join(heavy, "node", "left_semi"), texts, links, labels)
+    some = not heavy.isEmpty()
+    first = nearest
+    if some:
+        long = lists.where(F.col("held") > LIGHT).join(heavy, "node", "left_semi").select("v", "node", "n", F.col("node").alias("comp"))
+        first = first.unionByName(estimated(led(long, 0), reps))
+    labels = components(verified(first, texts))
+    rest = crossing(pairs.join(nearest, ["a", "b"], "left_anti"), labels)
+    if some:
+        rest, labels = _rest_of_heavy(reps, texts.join(heavy, "node", "left_semi"), texts, rest, labels)
+    labels = merged(labels, verified(rest, texts))
 
     roots = classes.join(labels, F.col("rep") == F.col("node"), "left").select("key1", "key2", F.coalesce("root", "rep").alias("root"))
     # a class may hold a third of all rows: its root is found by a salted key
@@ -202,39 +234,38 @@ def find(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _repeats(named: DataFrame) -> bool:
-    return not named.groupBy("doc_id").count().where("count > 1").isEmpty()
+def crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different components so far."""
+    return _current(pairs, labels, "a", "b").where("comp_a <> comp_b").select("a", "b")
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, root) after more links (a, b)."""
+    joined = components(_current(links, labels, "a", "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")))
+    new = joined.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+    old = labels.join(new, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("root"))
+    fresh = joined.join(labels.select("node"), "node", "left_anti")
+    return scratch(old.unionByName(fresh))
 
 
-def _merge_heavy(reps: DataFrame, own: DataFrame, texts: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
-    """The components after the links between classes of long lists, as step 5 says."""
-    lists = scratch(prefix_lists(own))
-    for turn in range(ROUNDS + 1):
-        now = _current(lists, labels, "node")
-        spread = now.groupBy("v").agg(F.count("*").alias("m"), F.min("comp_node").alias("c0"), F.max("comp_node").alias("c1")).where("c0 <> c1").select("v", "m")
-        lists = scratch(now.select("v", "node", "n").join(spread.select("v"), "v", "left_semi"))
-        now = _current(lists, labels, "node")
-        each = now.groupBy("v", "comp_node").agg(F.count("*").alias("m"))
+def _rest_of_heavy(reps: DataFrame, own: DataFrame, texts: DataFrame, rest: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs still to be verified, those among classes of long lists included, and the components so far."""
+    values = own.select("node", "text").mapInArrow(_prefixes, "node long, n long, v long")
+    for turn in range(1, ROUNDS + 1):
+        live = live_values(values, labels)
+        lists = scratch(prefix_lists(live))
+        each = lists.groupBy("v", "comp").agg(F.count("*").alias("m"))
         sums = each.groupBy("v").agg(F.sum("m").alias("m"), F.sum(F.expr("m * m")).alias("q"))
-        total = sums.agg(F.sum("m").alias("rows"), F.sum(F.expr("(m * m - q) / 2")).alias("crossing")).first()
-        if not total["rows"]:
-            return labels
-        if last := turn == ROUNDS or total["crossing"] <= 4 * total["rows"]:
-            b = now.select("v", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp_node").alias("cb"))
-            found = now.withColumnsRenamed({"node": "a", "n": "na"}).join(b, "v").where("a < b AND comp_node <> cb").where(_alike_in_size("na", "nb"))
-        else:
-            lots = [F.min(F.struct(F.xxhash64("node", F.lit(turn * LEADERS + k)).alias("lot"), "node", "n", F.col("comp_node").alias("c"))) for k in range(LEADERS)]
-            leaders = now.groupBy("v").agg(F.array_distinct(F.array(*lots)).alias("l"))
-            leaders = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-            member = now.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(leaders, ["v", "salt"])
-            found = member.select(F.col("node").alias("x"), F.col("n").alias("na"), "comp_node", F.explode("l").alias("l")).where("x <> l.node AND comp_node <> l.c")
-            found = found.select(F.least("x", "l.node").alias("a"), F.greatest("x", "l.node").alias("b"), "na", F.col("l.n").alias("nb")).where(_alike_in_size("na", "nb"))
-        pairs = scratch(estimated(found.select("a", "b").distinct(), reps))
-        links = scratch(links.unionByName(verified(pairs, texts)))
-        labels = scratch(components(links))
-        if last:
-            return labels
-    return labels
+        total = sums.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.expr("(m * m - q) / 2")), F.lit(0.0)).alias("crossing")).first()
+        if turn == ROUNDS or total["crossing"] <= CROSSING * total["rows"]:
+            break
+        labels = merged(labels, verified(estimated(led(lists, turn), reps), texts))
+        values = live.select("node", "n", "v")
+    names = {"node": "b", "n": "nb", "comp": "cb", "live": "lb"}
+    met = lists.withColumnsRenamed({"node": "a", "n": "na", "comp": "ca", "live": "la"}).join(lists.withColumnsRenamed(names), "v")
+    # the values both share are among the live ones of each
+    met = met.where("a < b AND ca <> cb AND 7 * least(la, lb) >= 3 * (na + nb)").where(_alike_in_size("na", "nb"))
+    return crossing(rest, labels).unionByName(estimated(met.select("a", "b").distinct(), reps)).distinct(), labels
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -102,29 +102,21 @@ def components(edges: DataFrame) -> DataFrame:
     node below its smallest neighbour and relabels the edges, until none crosses two
     components. Nodes with very many edges only meet partial aggregates.
     """
-    spark = edges.sparkSession
     ordered = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    left = scratch(ordered.distinct().mapInArrow(_forest, "a long, b long"))
+    left = scratch(ordered.mapInArrow(_forest, "a long, b long"))
     labels = None
-    while True:
-        # b hangs below the smallest a; roots of this round are nodes without a smaller neighbour
-        hang = scratch(left.groupBy("b").agg(F.min("a").alias("p")))
-        if hang.isEmpty():
-            break
+    while not left.isEmpty():
+        # b hangs below the smallest a, or below what that hangs below
+        hang = left.groupBy("b").agg(F.min("a").alias("p"))
         up = hang.select(F.col("b").alias("n1"), F.col("p").alias("n2"))
-        hang = scratch(hang.join(up, F.col("p") == F.col("n1"), "left").select("b", F.coalesce("n2", "p").alias("p")))
-        named = hang.select(F.col("b").alias("x"), F.col("p").alias("y"))
-        if labels is None:
-            labels = named.select(F.col("x").alias("node"), F.col("y").alias("root"))
-        else:
-            moved = labels.join(named, F.col("root") == F.col("x"), "left").select("node", F.coalesce("y", "root").alias("root"))
-            fresh = named.join(labels.select("node"), F.col("x") == F.col("node"), "left_anti").select(F.col("x").alias("node"), F.col("y").alias("root"))
-            labels = scratch(moved.unionByName(fresh))
+        named = scratch(hang.join(up, F.col("p") == F.col("n1"), "left").select(F.col("b").alias("x"), F.coalesce("n2", "p").alias("y")))
+        new = named.select(F.col("x").alias("node"), F.col("y").alias("root"))
+        labels = new if labels is None else labels.join(named, F.col("root") == F.col("x"), "left").select("node", F.coalesce("y", "root").alias("root")).unionByName(new)
         for end in ("a", "b"):
             left = left.join(named, F.col(end) == F.col("x"), "left").withColumn(end, F.coalesce("y", end)).select("a", "b")
         left = left.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        left = scratch(left.distinct().mapInArrow(_forest, "a long, b long"))
+        left = scratch(left.mapInArrow(_forest, "a long, b long"))
     if labels is None:
-        return spark.createDataFrame([], "node long, root long")
-    roots = labels.select(F.col("root").alias("node"), "root").distinct()
-    return labels.unionByName(roots).groupBy("node").agg(F.min("root").alias("root"))
+        return edges.sparkSession.createDataFrame([], "node long, root long")
+    labels = scratch(labels)
+    return labels.unionByName(labels.select(F.col("root").alias("node"), "root").distinct())
