@@ -191,7 +191,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20) -> DataFrame:
     hashed = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
     coded = scratch(_rows(good, hashed(blocks)).mapInArrow(index, "block long, ids binary, x binary, codes binary"))
     asked = _rows(asked, hashed(parts)).mapInArrow(bundle, "part long, qids binary, q binary")
-    asked = asked.select("part", "qids", "q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"))
+    asked = asked.select("part", "qids", "q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
     pairs = coded.join(asked, "block").repartition("block", "part").select("ids", "x", "codes", "qids", "q")
     best = pairs.mapInArrow(scan, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

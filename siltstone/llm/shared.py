@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +33,27 @@ def scratch_root(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Within it, a query's shuffle files go when it ends; only for queries whose result is kept elsewhere."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def scratch(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/scratch-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_freed(spark):
+        df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
@@ -56,11 +74,9 @@ class Bloom:
         spots = keys.select(
             F.explode(F.array(F.col("key").bitwiseAND(mask), F.shiftrightunsigned("key", 32).bitwiseAND(mask))).alias("spot")
         )
-        words = (
-            spots.groupBy(F.shiftright("spot", 6).cast("int").alias("word"))
-            .agg(F.bit_or(F.expr("shiftleft(1L, CAST(spot & 63 AS INT))")).alias("set"))
-            .toArrow()
-        )
+        words = spots.groupBy(F.shiftright("spot", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(spot & 63 AS INT))")).alias("set"))
+        with shuffles_freed(keys.sparkSession):
+            words = words.toArrow()
         cells = np.zeros(max(1, (1 << bits) >> 6), np.uint64)
         cells[words["word"].to_numpy()] = words["set"].to_numpy().view(np.uint64)
         self.mask, self.cells = mask, keys.sparkSession.sparkContext.broadcast(cells)

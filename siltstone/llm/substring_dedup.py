@@ -3,10 +3,11 @@
 Every text is parsed greedily against the collection itself as the reference. The
 reference is indexed in blocks: seeds of 13 consecutive words, dealt over blocks by
 the hash of their anchor (the smallest five-word hash in the seed, so both places
-of a shared passage agree on it). A factor is a longest stretch whose seeds follow
-one another in one reference document; where a factor ends, the next one is looked
-up anew. Factors of 13 words or more, that is all that hold a seed, found in a
-document with a smaller doc_id, are duplicate spans; their words are removed.
+of a shared passage agree on it). A factor is a longest stretch of words whose seeds
+the index leads to one reference document, the smallest that holds them; where a
+factor ends, the next one is looked up anew. Factors of 13 words or more, that is
+all that hold a seed, with a reference document of a smaller doc_id, are duplicate
+spans; their words are removed.
 
 How it runs, on hashes and without ever gathering a passage's occurrences:
 
@@ -38,7 +39,6 @@ from siltstone.llm.texts import grams, mix, steps, word_hashes, words
 
 SEED = 13
 ANCHOR = 5
-SALTS = 16
 
 
 class Parsed:
@@ -119,17 +119,19 @@ def _holder(content: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def _settled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The first holder of each distinct (anchor, content), and the rows that a smaller document holds as well, with its place."""
-    firsts = scratch(rows.groupBy("anchor", "content").agg(F.min(F.struct("doc", "word")).alias("least"), F.max("doc").alias("most")))
-    again = firsts.where("least.doc < most").select(F.col("anchor").alias("a2"), F.col("content").alias("c2"), "least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt2"))
-    salt = F.pmod("doc", F.lit(SALTS)).cast("int")
-    hits = rows.withColumn("salt", salt).join(again, (F.col("anchor") == F.col("a2")) & (F.col("content") == F.col("c2")) & (F.col("salt") == F.col("salt2")))
-    hits = hits.where("doc > least.doc").select("doc", "word", "n", F.col("least.doc").alias("ref_doc"), F.col("least.word").alias("ref_word"))
-    return firsts, hits
+    """The first holder of each distinct (anchor, content), and the rows that a smaller document holds as well.
+
+    Both sides of the join are read from tables and dealt by its key alone, so that a
+    content which very many documents hold is split over tasks.
+    """
+    firsts = scratch(rows.groupBy("anchor", "content").agg(F.min("doc").alias("least"), F.max("doc").alias("most")))
+    again = firsts.where("least < most").select(F.col("anchor").alias("a2"), F.col("content").alias("c2"), "least")
+    hits = rows.join(again, (F.col("anchor") == F.col("a2")) & (F.col("content") == F.col("c2"))).where("doc > least")
+    return firsts, hits.select("doc", "word", "n", F.col("least").alias("ref_doc"))
 
 
 def matches(docs: DataFrame) -> DataFrame:
-    """(doc, word, n, ref_doc, ref_word): n seeds from a word on are in ref_doc, smaller than doc, from ref_word on."""
+    """(doc, word, n, ref_doc): n seeds from a word on are in ref_doc, the smallest such document."""
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), "text")
     # an anchor counts once for each document; rows repeating a doc_id only add candidates
     anchors = texts.mapInArrow(_anchors, "key long, doc long")
@@ -138,9 +140,9 @@ def matches(docs: DataFrame) -> DataFrame:
     runs = scratch(texts.mapInArrow(_runs_through(shared), shape))
     firsts, hits = _settled(runs)
     # several runs around one anchor: their ends may still share seeds
-    many = firsts.groupBy("anchor").agg(F.count("*").alias("runs")).where("runs > 1").select(F.col("anchor").alias("a3"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s3"))
-    open_runs = firsts.withColumn("s", F.pmod("content", F.lit(SALTS)).cast("int")).join(many, (F.col("anchor") == F.col("a3")) & (F.col("s") == F.col("s3")), "left_semi")
-    key = F.col("content").bitwiseXOR(F.shiftleft("least.doc", 19)).bitwiseXOR(F.shiftleft("least.doc", 41))
+    many = firsts.groupBy("anchor").agg(F.count("*").alias("runs")).where("runs > 1").select("anchor")
+    open_runs = firsts.join(many, "anchor", "left_semi")
+    key = F.col("content").bitwiseXOR(F.shiftleft("least", 19)).bitwiseXOR(F.shiftleft("least", 41))
     ends = Bloom(open_runs.select(key.alias("key")))
     seeds = scratch(texts.mapInArrow(_seeds_through(ends), shape))
     return hits.unionByName(_settled(seeds)[1])
@@ -152,6 +154,7 @@ def _covered(batches):
         hits, out = batch.column(names.index("_hits")), {"text": [], "_n_words": [], "_n_removed": [], "_spans": []}
         for lo, hi, data, offsets in steps(batch.column(names.index("text"))):
             start, end, first = words(data, offsets)
+            raw = data.tobytes()
             for k in range(lo, hi):
                 a, b = int(first[k - lo]), int(first[k - lo + 1])
                 found = hits[k].as_py() or []
@@ -162,37 +165,33 @@ def _covered(batches):
                     gone[f["start"]] += 1
                     gone[min(f["start"] + f["length"], b - a)] -= 1
                 left = np.flatnonzero(np.cumsum(gone)[:-1] == 0) + a
-                raw = data.tobytes() if k == lo else raw
                 out["text"].append(b" ".join([raw[s:e] for s, e in zip(start[left].tolist(), end[left].tolist(), strict=True)]).decode("utf-8", "surrogatepass"))
                 out["_n_removed"].append(b - a - len(left))
                 out["_spans"].append(factors)
-        spans = pa.array(out["_spans"], pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "length", "ref_doc", "ref_start")])))
+        spans = pa.array(out["_spans"], pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "length", "ref_doc")])))
         cols = {c: batch.column(c) for c in names if c not in ("_hits", "text")} | {"text": pa.array(out["text"], pa.string()), "_n_words": pa.array(out["_n_words"], pa.int64()), "_n_removed": pa.array(out["_n_removed"], pa.int64()), "_spans": spans}
         yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
 
 def parse(hits: list[dict]) -> list[dict]:
-    """Greedy factors from hits (word, n, ref_doc, ref_word): a factor goes on while the next seed follows in the same reference."""
+    """Greedy factors from hits (word, n, ref_doc): a factor goes on while the next seed leads to the same reference."""
     factors: list[dict] = []
-    seeds = sorted({(h["word"] + k, h["ref_doc"], h["ref_word"] + k) for h in hits for k in range(h["n"])})
-    here = None
-    for word, doc, ref in seeds:
-        if here and here["ref_doc"] == doc and word - here["start"] == ref - here["ref_start"] and word == here["start"] + here["length"] - SEED + 1:
+    for word, doc in sorted((h["word"] + k, h["ref_doc"]) for h in hits for k in range(h["n"])):
+        here = factors[-1] if factors else None
+        if here and here["ref_doc"] == doc and word == here["start"] + here["length"] - SEED + 1:
             here["length"] += 1
-        elif here and word <= here["start"] + here["length"] - SEED:
-            continue  # another reference for a seed that the factor holds
         else:
-            factors.append(here := {"start": word, "length": SEED, "ref_doc": doc, "ref_start": ref})
+            factors.append({"start": word, "length": SEED, "ref_doc": doc})
     return factors
 
 
 def drop_passages(docs: DataFrame) -> DataFrame:
     """docs with text as its kept words joined by one space, and _n_words, _n_removed and _spans (in words of the input)."""
-    hits = matches(docs).groupBy("doc").agg(F.collect_list(F.struct("word", "n", "ref_doc", "ref_word")).alias("_hits"))
+    hits = matches(docs).groupBy("doc").agg(F.collect_list(F.struct("word", "n", "ref_doc")).alias("_hits"))
     whole = docs.withColumn("_id", F.col("doc_id").cast("long")).join(hits.withColumnRenamed("doc", "_doc"), F.col("_id") == F.col("_doc"), "left")
     kept = [c for c in docs.columns if c != "text"]
     rows = whole.select(*[F.col(f"`{c}`") for c in kept], "text", "_hits")
-    shape = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"] + ["text string, _n_words long, _n_removed long, _spans array<struct<start:long,length:long,ref_doc:long,ref_start:long>>"])
+    shape = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"] + ["text string, _n_words long, _n_removed long, _spans array<struct<start:long,length:long,ref_doc:long>>"])
     done = rows.mapInArrow(_covered, shape)
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast("long"))

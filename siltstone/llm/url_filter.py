@@ -93,7 +93,8 @@ def propagate(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(kind, host, rank) after TURNS turns; seeds are (kind, host, mass), edges (kind, src, dst, part) with parts of a source summing to 1."""
     ranks = seeds.select("kind", "host", F.col("mass").alias("rank"))
     for turn in range(1, TURNS + 1):
-        moved = ranks.join(edges, (ranks["kind"] == edges["kind"]) & (ranks["host"] == edges["src"])).select(edges["kind"], F.col("dst").alias("host"), (DAMPING * F.col("rank") * F.col("part")).alias("rank"))
+        at = ranks.select("kind", F.col("host").alias("src"), "rank")
+        moved = at.join(edges, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (DAMPING * F.col("rank") * F.col("part")).alias("rank"))
         again = seeds.select("kind", "host", ((1 - DAMPING) * F.col("mass")).alias("rank"))
         ranks = again.unionByName(moved).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
         if turn % CUT == 0:
