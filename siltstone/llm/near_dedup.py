@@ -49,10 +49,10 @@ LIGHT = 48
 #: A pair goes if the union's sketch shares less than this part; 0.75 is expected of a linked one.
 ESTIMATE = 0.31
 LEADERS = 4
-PRUNINGS = 3
+PRUNINGS = 2
 #: Turns of leaders, and the crossing pairs for each listed value up to which all are verified at once.
-ROUNDS = 6
-CROSSING = 2
+ROUNDS = 3
+CROSSING = 256
 SALTS = 16
 
 
@@ -167,12 +167,12 @@ def live_values(values: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def prefix_lists(live: DataFrame) -> DataFrame:
-    """(v, node, n, comp, live): each class with the rarest of its live values, as many as a linked one must meet."""
+    """(v, place, node, n, comp, live): each class with the rarest of its live values, as many as a linked one must meet, and their places from 0."""
     often = live.groupBy("v").agg(F.count("*").alias("f"))
     # a class's own values are no more than its text's, so they are gathered by class, rarest first
     own = live.join(often, "v").groupBy("node", "n", "comp", "live").agg(F.sort_array(F.collect_list(F.struct("f", "v"))).alias("vs"))
     cut = F.slice("vs", F.lit(1), (F.col("live") - _least("n") + 1).cast("int"))
-    return own.select("node", "n", "comp", "live", F.explode(cut).alias("x")).select(F.col("x.v").alias("v"), "node", "n", "comp", "live")
+    return own.select("node", "n", "comp", "live", F.posexplode(cut).alias("place", "x")).select(F.col("x.v").alias("v"), "place", "node", "n", "comp", "live")
 
 
 def led(lists: DataFrame, turn: int) -> DataFrame:
@@ -216,7 +216,8 @@ def find(docs: DataFrame) -> DataFrame:
     some = not heavy.isEmpty()
     first = nearest
     if some:
-        long = lists.where(F.col("held") > LIGHT).join(heavy, "node", "left_semi").select("v", "node", "n", F.col("node").alias("comp"))
+        # a quarter of the long lists is enough to meet leaders
+        long = lists.where((F.col("held") > LIGHT) & (F.pmod(F.xxhash64("v"), F.lit(4)) == 0)).join(heavy, "node", "left_semi").select("v", "node", "n", F.col("node").alias("comp"))
         first = first.unionByName(estimated(led(long, 0), reps))
     labels = components(verified(first, texts))
     rest = crossing(pairs.join(nearest, ["a", "b"], "left_anti"), labels)
@@ -261,10 +262,10 @@ def _rest_of_heavy(reps: DataFrame, own: DataFrame, texts: DataFrame, rest: Data
             break
         labels = merged(labels, verified(estimated(led(lists, turn), reps), texts))
         values = live.select("node", "n", "v")
-    names = {"node": "b", "n": "nb", "comp": "cb", "live": "lb"}
-    met = lists.withColumnsRenamed({"node": "a", "n": "na", "comp": "ca", "live": "la"}).join(lists.withColumnsRenamed(names), "v")
-    # the values both share are among the live ones of each
-    met = met.where("a < b AND ca <> cb AND 7 * least(la, lb) >= 3 * (na + nb)").where(_alike_in_size("na", "nb"))
+    names = {"node": "b", "n": "nb", "comp": "cb", "live": "lb", "place": "pb"}
+    met = lists.withColumnsRenamed({"node": "a", "n": "na", "comp": "ca", "live": "la", "place": "pa"}).join(lists.withColumnsRenamed(names), "v")
+    # at the first value that two linked sets share, all they share is still to come in both
+    met = met.where("a < b AND ca <> cb AND 7 * least(la - pa, lb - pb) >= 3 * (na + nb)").where(_alike_in_size("na", "nb"))
     return crossing(rest, labels).unionByName(estimated(met.select("a", "b").distinct(), reps)).distinct(), labels
 
 

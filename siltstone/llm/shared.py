@@ -33,26 +33,32 @@ def scratch_root(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+#: Settings for queries whose result is kept elsewhere: their shuffle files go when they
+#: end, and batches that Python gets are small, as rows may hold two long texts.
+_FRUGAL = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+
 @contextmanager
-def shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """Within it, a query's shuffle files go when it ends; only for queries whose result is kept elsewhere."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+def frugal(spark: SparkSession) -> Iterator[None]:
+    """The settings of _FRUGAL for what is run within."""
+    before = {name: spark.conf.get(name, None) for name in _FRUGAL}
+    for name, value in _FRUGAL.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def scratch(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/scratch-{uuid.uuid4().hex}"
-    with shuffles_freed(spark):
+    with frugal(spark):
         df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -75,7 +81,7 @@ class Bloom:
             F.explode(F.array(F.col("key").bitwiseAND(mask), F.shiftrightunsigned("key", 32).bitwiseAND(mask))).alias("spot")
         )
         words = spots.groupBy(F.shiftright("spot", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(spot & 63 AS INT))")).alias("set"))
-        with shuffles_freed(keys.sparkSession):
+        with frugal(keys.sparkSession):
             words = words.toArrow()
         cells = np.zeros(max(1, (1 << bits) >> 6), np.uint64)
         cells[words["word"].to_numpy()] = words["set"].to_numpy().view(np.uint64)
