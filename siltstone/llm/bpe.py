@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -29,23 +30,23 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from siltstone.llm.shared import scratch_root
+from siltstone.llm.texts import LETTERS, NUMBERS, PLAIN
 
 #: Words in the automaton, and the bytes of one: with these its size has a bound.
 LEXICON = 65_536
 LONGEST = 64
 #: Words that a task remembers before it starts anew.
-MEMORY = 300_000
-#: What the vocabulary's words are made of, a fixed pattern of its file.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Texts of these characters only are composed, lower-cased and split alike by every Unicode version.
-_PLAIN = regex.compile(r"[\x20-\x7e\t\n\r\xa1-\xac\xae-ſ]*+")
+MEMORY = 600_000
+#: What the vocabulary's words are made of, a fixed pattern of its file, for lower-cased plain texts.
+WORD = re.compile(rf"[{LETTERS}]+|[{NUMBERS}]|'(?:[stmd]|re|ve|ll)|[^\s{LETTERS}{NUMBERS}]+")
+#: Bytes up to which a word is merged by plain search instead of a heap.
+SHORT = 48
 
 
 def byte_characters() -> dict[int, str]:
@@ -62,7 +63,6 @@ class Vocabulary:
         with open(path, encoding="utf-8") as file:
             model = json.load(file)["model"]
         self.library = Tokenizer.from_file(path)
-        self.words = regex.compile(PATTERN)
         ids, suffix = model["vocab"], model["end_of_word_suffix"] or ""
         shown = byte_characters()
         self.bytes = {c: b for b, c in shown.items()}
@@ -71,14 +71,14 @@ class Vocabulary:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in reversed(list(enumerate(pairs)))}
         self.special = {t.content: k for k, t in self.library.get_added_tokens_decoder().items()}
-        self.breaks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.breaks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         names = {k: t for t, k in ids.items()} | {k: t for t, k in self.special.items()}
         self.names = [names.get(k, "") for k in range(max(names) + 1)]
 
     def split(self, text: str) -> list[str | int]:
         """Words of a text; the id in place of a special token."""
-        if _PLAIN.fullmatch(text) and not (self.breaks and self.breaks.search(text)):
-            return self.words.findall(text.lower())
+        if PLAIN.fullmatch(text) and not (self.breaks and self.breaks.search(text)):
+            return WORD.findall(text.lower())
         out: list[str | int] = []
         for part in self.breaks.split(text) if self.breaks else [text]:
             if part in self.special:
@@ -93,6 +93,19 @@ class Vocabulary:
         raw = word.encode("utf-8")
         ids = [self.inner[b] for b in raw[:-1]] + [self.last[b] for b in raw[-1:]]
         merges, n = self.merges, len(ids)
+        if n <= SHORT:
+            get = merges.get
+            pairs = [get(p) for p in zip(ids, ids[1:], strict=False)]
+            while found := [p for p in pairs if p]:
+                best = min(found)
+                k = pairs.index(best)
+                ids[k : k + 2] = [best[1]]
+                del pairs[k]
+                if k:
+                    pairs[k - 1] = get((ids[k - 1], ids[k]))
+                if k < len(pairs):
+                    pairs[k] = get((ids[k], ids[k + 1]))
+            return ids
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         heap = [(merges[p][0], k, p) for k in range(n - 1) if (p := (ids[k], ids[k + 1])) in merges]
         heapq.heapify(heap)
@@ -232,17 +245,15 @@ class Coder:
         self.vocabulary, self.lexicon = vocabulary, lexicon
         self.known: dict[str | int, bytes] = {}
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        found = self.vocabulary.split(text)
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        split = [self.vocabulary.split(t) for t in texts]
+        distinct = set().union(*split)
         known = self.known
-        try:
-            return b"".join([known[w] for w in found])
-        except KeyError:
-            if len(known) > MEMORY:
-                known.clear()
-            self.learn([w for w in dict.fromkeys(found) if w not in known])
-            return b"".join([known[w] for w in found])
+        if len(known) + len(distinct) > MEMORY:
+            known.clear()
+        self.learn(list(distinct - known.keys()))
+        return [b"".join([known[w] for w in s]) for s in split]
 
     def learn(self, words: list[str | int]) -> None:
         texts = [w for w in words if isinstance(w, str)]
@@ -254,6 +265,12 @@ class Coder:
                 self.known[w] = np.array([w], "<u4").tobytes()
 
 
+@lru_cache(maxsize=1)
+def _coder(path: str, name: str) -> Coder:
+    """One for each worker process, so that tasks after the first know its words."""
+    return Coder(vocabulary(path), Lexicon.mapped(SparkFiles.get(name)))
+
+
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
@@ -273,7 +290,7 @@ def word_counts(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for text in batch.column(0):
                 counts.update(split(text.as_py() or ""))
-                if len(counts) > MEMORY:
+                if len(counts) > MEMORY // 2:
                     yield flush()
         yield flush()
 
@@ -305,13 +322,12 @@ def encode_decode(docs: DataFrame, path: str, size: int = LEXICON) -> DataFrame:
     shape = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in plain] + ["ids array<int>", "decoded string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary(path)
-        coder = Coder(words, Lexicon.mapped(SparkFiles.get(name)))
+        words, coder = vocabulary(path), _coder(path, name)
         for batch in batches:
             texts = batch.column(batch.schema.names.index("text"))
             for lo in range(0, len(texts), 1000):
                 part = batch.slice(lo, 1000)
-                coded = [np.frombuffer(coder.encode(t.as_py() or ""), "<u4") for t in texts[lo : lo + 1000]]
+                coded = [np.frombuffer(x, "<u4") for x in coder.encode([t or "" for t in texts.slice(lo, 1000).to_pylist()])]
                 ends = np.cumsum([0] + [len(x) for x in coded]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(coded).astype(np.int32)))
                 decoded = pa.array([words.decode(x.tolist()) for x in coded], pa.string())

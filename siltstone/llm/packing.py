@@ -31,25 +31,26 @@ sequences of an empty table are none.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from siltstone.llm.texts import LETTERS, NUMBERS, PLAIN
+
 TOKENS = 1024
 SEGMENTS = 64
 END = 0
 WAITING = 64
-MEMORY = 400_000
-#: What the vocabulary's words are made of, a fixed pattern of the byte-level vocabulary.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts of these characters only are split alike by every version of the Unicode tables.
-_PLAIN = regex.compile(r"[\x20-\x7e\t\n\r\xa1-\xac\xae-ſ]*+")
+MEMORY = 600_000
+#: What the vocabulary's words are made of, a fixed pattern of byte-level vocabularies, for plain texts.
+WORD = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
 SHAPE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -62,25 +63,24 @@ class Encoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words = regex.compile(PATTERN)
         self.known: dict[str, bytes] = {}
 
-    def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        found = self.words.findall(text)
-        known = self.known
-        try:
-            return b"".join([known[w] for w in found])
-        except KeyError:
-            pass
-        if len(known) > MEMORY:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        known, pack = self.known, lambda e: np.array(e.ids, "<u4").tobytes()
+        plain = [WORD.findall(t) if PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
+        distinct = set().union(*filter(None, plain))
+        if len(known) + len(distinct) > MEMORY:
             known.clear()
-        new = list({w for w in found if w not in known})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in found])
+        new = list(distinct - known.keys())
+        known.update(zip(new, map(pack, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        return [pack(self.tokenizer.encode(t, add_special_tokens=False)) if p is None else b"".join([known[w] for w in p]) for t, p in zip(texts, plain, strict=True)]
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One for each worker process, so that tasks after the first know its words."""
+    return Encoder(path)
 
 
 class Packer:
@@ -200,11 +200,13 @@ def pack(docs: DataFrame, path: str, tokens: int = TOKENS, segments: int = SEGME
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = _encoder(path)
         packer = Packer(TaskContext.get().partitionId() << 40, tokens, segments, most)
-        for batch in batches:
-            for doc, text, bearing in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                ids = encoder.ids(text.as_py() or "") + tail
+        rows = (batch.slice(lo, 500) for batch in batches for lo in range(0, len(batch), 500))
+        for part in rows:
+            coded = encoder.encode([t or "" for t in part.column(1).to_pylist()])
+            for doc, ids, bearing in zip(part.column(0).to_pylist(), coded, part.column(2).to_pylist(), strict=True):
+                ids += tail
                 n = len(ids) // 4
                 packer.add((doc, 0, ids, n, 0 if bearing is None else n - max(0, min(n, bearing))))
                 if len(packer.placed) > 2000:

@@ -6,6 +6,7 @@ equals the pattern ``[^\\x20\\x09-\\x0D]+`` on code points.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,11 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: The letters and numbers up to U+017F, as ranges of a pattern; texts of these, of other
+#: printable characters up to there and of \t \n \r alone are plain: composed, lower-cased
+#: and split alike by every version of the Unicode tables.
+LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
+PLAIN = re.compile("[\\x20-\\x7e\\t\\n\\r\\xa1-\\xac\\xae-ſ]*")
 #: Text bytes that one step handles; a longer text is a step of its own.
 STEP = 1 << 21
 _BASE = 0x9E3779B97F4A7C15
