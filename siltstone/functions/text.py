@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siltstone.functions.vectorised import vectorised
+
 #: English stop words, a fixed list.
 STOP_WORDS = (
     "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself "
@@ -84,7 +86,7 @@ def cut(text: Column, n: int) -> Column:
     return F.substring(text, 1, n)
 
 
-@F.pandas_udf("string")
+@vectorised("string")
 def compose(text: pd.Series) -> pd.Series:
     """NFKC, with line ends as spaces and the dashes U+2010 to U+2013 as hyphens."""
     dashes = {0x2010: "-", 0x2011: "-", 0x2012: "-", 0x2013: "-", 0x0A: " "}

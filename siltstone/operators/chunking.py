@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.functions.text import STOP_WORDS
+from siltstone.functions.vectorised import vectorised
 
 #: Sizes of the two levels of chunks, in characters, with their overlaps, and the least content.
 PARENT, PARENT_OVERLAP = 3500, 350
@@ -279,24 +280,24 @@ _CHUNK = "array<struct<title:string,hierarchy:array<string>,page_number:int,kind
 _PAGED = "array<struct<text:string,pages:array<int>>>"
 
 
-@F.pandas_udf(_SECTION)
+@vectorised(_SECTION)
 def sections(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [s._asdict() for s in split_sections(t or "")])
 
 
-@F.pandas_udf(_SECTION)
+@vectorised(_SECTION)
 def smart_sections(text: pd.Series) -> pd.Series:
     """Sections with the level of numbered headings by their dots, and Document before the first heading."""
     return text.map(lambda t: [s._asdict() for s in split_sections(t or "", "Document", numbered=True)])
 
 
-@F.pandas_udf(_PAGED)
+@vectorised(_PAGED)
 def page_chunks(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [{"text": c, "pages": p} for c, p in page_aware(t or "")] if t else [])
 
 
 def _chunker(size: int, overlap: int):
-    @F.pandas_udf(_CHUNK)
+    @vectorised(_CHUNK)
     def chunks(text: pd.Series) -> pd.Series:
         def of(t: str | None) -> list[dict]:
             return [
@@ -324,7 +325,7 @@ def parents(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 def children(parent_rows: DataFrame, key: str) -> DataFrame:
     """A row for each child chunk of each parent, with parent_id and child_index."""
 
-    @F.pandas_udf("array<struct<text:string,start_char:int,end_char:int,sentence_count:int>>")
+    @vectorised("array<struct<text:string,start_char:int,end_char:int,sentence_count:int>>")
     def split(text: pd.Series, title: pd.Series, kind: pd.Series) -> pd.Series:
         of = lambda t, name, k: [{"text": p.text, "start_char": p.start, "end_char": p.end, "sentence_count": p.sentences} for p in chunk(_without_title(t, name, k), name, k)]
         return pd.Series([of(*x) for x in zip(text, title, kind, strict=True)])

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
+from siltstone.functions.vectorised import vectorised
 
 PERMUTATIONS, BANDS, SHINGLE = 128, 32, 4
 ROWS = PERMUTATIONS // BANDS
@@ -55,7 +56,7 @@ def shingles(text: str, n: int = SHINGLE) -> set[str]:
     return {low[k : k + n] for k in range(len(low) - n + 1)} if len(low) >= n else {low}
 
 
-@F.pandas_udf("array<int>")
+@vectorised("array<int>")
 def signature(text: pd.Series) -> pd.Series:
     """The least hash of a text's shingles for each of PERMUTATIONS seeds."""
     seeds, known = np.arange(PERMUTATIONS, dtype=np.uint32), {}

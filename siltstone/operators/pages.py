@@ -16,7 +16,7 @@ REVISION = ["revision", "version", "author", "change", "date", "release", "histo
 CLASS_WORDS = ["attribute", "multiplicity", "type", "category", "stereotype", "aggregation", "class", "meta", "role"]
 CODE_LINE = r"^\s*(#include|#define|typedef|void |uint\d+_t|Std_ReturnType|FUNC\(|P2VAR\(|CONST\()"
 ITEM_LINE = r"\[(SWS|RS|ECUC|constr|TPS|BSW|SRS)_\w+\]"
-GLOSSARY_LINE = r"^[A-Z][A-Z0-9_\-]{1,15}\s{2,}.{10,}"
+GLOSSARY_LINE = r"^\s*[A-Z][A-Z0-9_\-]{1,15}\s{2,}.{10,}"
 LIST_LINE = r"^\s*([-•*]|\d+[.)]) "
 RUNNING_HEADER = r"(?i)^(?:(?:Specification|Requirements|Explanation|Adaptive Platform|Classic Platform)\s+of\s+\S|\S+\s+(?:AP|CP|FO|TR)\s+R\d{2}-\d{2}|\S+\s+Release\s+\d)"
 
@@ -233,10 +233,23 @@ def rect_clusters(rects: DataFrame, key: str, gap: float) -> DataFrame:
 
 
 def anomalies(pages: DataFrame) -> DataFrame:
-    """(page, problem) of pages (page_type, chunks, chars) that look wrong."""
+    """pages (page_type, parents, children, chars) with problem, a row for each that a page has; pages without text have none."""
+    kind = F.col("page_type")
     rules = [
-        F.when((F.col("page_type") == "text") & (F.col("chunks") == 0), "text page without chunks"),
-        F.when((F.col("page_type") == "unknown"), "unknown page type"),
-        F.when((F.col("chars") < 50) & ~F.col("page_type").isin("cover", "toc", "image", "diagram"), "hardly any text"),
+        F.when((F.col("children") == 0) & (F.col("chars") > 200), "text without chunks"),
+        F.when(kind.isin("table", "mixed") & (F.col("parents") == 0), "table page without parent chunk"),
+        F.when(kind.isin("image", "diagram") & (F.col("chars") < 50), "hardly any text for an image"),
     ]
-    return pages.withColumn("problem", F.explode(F.filter(F.array(*rules), lambda r: r.isNotNull())))
+    return pages.where(kind != "no_text").withColumn("problem", F.explode(F.filter(F.array(*rules), lambda r: r.isNotNull())))
+
+
+def page_rollup(chunks: DataFrame, document: str, page: str, kind: str) -> DataFrame:
+    """(document, page, parents, children): chunks of each page, of each document and in total, by rollup; totals have nulls."""
+    count = lambda k: F.count_if(F.col(kind) == k)
+    return chunks.rollup(document, page).agg(count("parent").alias("parents"), count("child").alias("children"))
+
+
+def chunk_sizes(chunks: DataFrame, text: str = "text") -> DataFrame:
+    """(n, min, max, mean): chunks and their lengths, the mean rounded down."""
+    n = F.length(text)
+    return chunks.agg(F.count("*").alias("n"), F.min(n).cast("long").alias("min"), F.max(n).cast("long").alias("max"), F.floor(F.avg(n)).alias("mean"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
+from siltstone.functions.vectorised import vectorised
 
 SCORES = ("faithfulness", "completeness", "correctness")
 
@@ -98,11 +99,11 @@ def claims(response: str, size: int) -> list[dict]:
     return (out + [empty] * size)[:size]
 
 
-@F.pandas_udf("array<struct<faithfulness:double,completeness:double,correctness:double>>")
+@vectorised("array<struct<faithfulness:double,completeness:double,correctness:double>>")
 def parse_judge(response: pd.Series, size: pd.Series) -> pd.Series:
     return pd.Series([judge_scores(r, int(n)) for r, n in zip(response, size, strict=True)])
 
 
-@F.pandas_udf("array<struct<claims:int,hallucinated:int,rate:double>>")
+@vectorised("array<struct<claims:int,hallucinated:int,rate:double>>")
 def parse_claims(response: pd.Series, size: pd.Series) -> pd.Series:
     return pd.Series([claims(r, int(n)) for r, n in zip(response, size, strict=True)])

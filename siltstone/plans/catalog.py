@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from siltstone.plans import corpus, evaluate, question_sets, search
+
 FLAGSHIP = "retrieval_by_language"
+_EVERY = search.QUERIES | evaluate.QUERIES | question_sets.QUERIES | corpus.QUERIES
 
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: query for name, (query, _) in _EVERY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _EVERY.items() if sql}
