@@ -55,7 +55,7 @@ def test_other_length_and_empty_table(spark):
 
 def test_parallel_error_is_smaller_than_by_plain_assignment():
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(4000, 16))
+    x = rng.normal(size=(4000, 64))
     book = ann.Codebook.fit(x)
-    part = lambda codes: np.abs(((book.split(x) - np.stack([book.words[j][codes[:, j]] for j in range(8)], axis=1)) * book.split(x)).sum(axis=(1, 2))).mean()
-    assert part(book.assign(x)) < 0.8 * part(book.assign(x, turns=0))
+    part = lambda codes: np.abs(((book.split(x) - np.stack([book.words[j][codes[:, j]] for j in range(32)], axis=1)) * book.split(x)).sum(axis=(1, 2))).mean()
+    assert part(book.assign(x)) < 0.9 * part(book.assign(x, turns=0))
