@@ -114,7 +114,8 @@ def test_text_metrics(spark):
     assert M.exact_meteor("a b c".split(), "a b c".split()) == pytest.approx(1 - 0.5 / 27)
     assert one(spark, M.rouge_n(F.lit("a b b c"), F.lit("b b d"), 1)) == pytest.approx(4 / 7)
     assert one(spark, M.rouge_l(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.array(F.lit("a"), F.lit("c")))) == pytest.approx(0.8)
-    assert M.fuzzy_holds("the red fox", "see: the red f0x ran") and not M.fuzzy_holds("the red fox", "blue whales sing")
+    long = "the red fox jumped over the lazy dog and ran far into the dark wood until the morning came and it slept " * 2
+    assert M.fuzzy_holds(long, "see: " + long.replace("fox", "f0x") + " then") and not M.fuzzy_holds(long, "blue whales sing " * 20)
     assert one(spark, M.contains_snippet(F.lit("ABC def"), F.lit("abc")))
 
 
