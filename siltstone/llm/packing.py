@@ -17,10 +17,8 @@ pieces are bounded by WAITING, the rest is packed in the order of the input; at
 partition's end the last sequence is cut into powers of two in the same way.
 Sequence ids are the partition's number, shifted, and a counter.
 
-Ids come from a byte-level BPE vocabulary read with the tokenizers library. The
-library splits texts into words itself for any text that may be unusual; for the
-others a pattern does, and each distinct word is encoded once and remembered in a
-table of bounded size.
+Ids come from a byte-level BPE vocabulary, a JSON file of the tokenizers library; the
+result equals that library's for every text.
 
 Cases: null and empty texts are the end id alone; loss-bearing ids are all ids of a
 document unless a column named loss_tokens gives how many at its end bear loss;
@@ -30,32 +28,38 @@ sequences of an empty table are none.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from siltstone.llm.texts import LETTERS, NUMBERS, PLAIN
+from siltstone.llm.bpe import byte_characters
+from siltstone.llm.texts import PLAIN
 
 TOKENS = 1024
 SEGMENTS = 64
 END = 0
 WAITING = 64
-MEMORY = 600_000
-#: What the vocabulary's words are made of, a fixed pattern of byte-level vocabularies, for plain texts.
-WORD = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
+#: What the vocabulary's words are made of, a fixed pattern of byte-level vocabularies.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHAPE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 class Encoder:
-    """The ids of texts as the library gives them, remembered by word."""
+    """The ids of texts as the vocabulary's library gives them.
+
+    Plain texts, which every Unicode version splits alike, go through a faster encoder
+    that reads the same vocabulary by rank; all others, and those that hold a special
+    token's string, through the library itself.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -63,23 +67,31 @@ class Encoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        ids = [model["vocab"][a + b] for a, b in pairs]
+        #: By rank equals by merge if later merges have larger ids.
+        self.ranked = None
+        if ids == sorted(set(ids)):
+            raw = {c: b for b, c in byte_characters().items()}
+            ranks = {bytes(raw[c] for c in token): k for token, k in model["vocab"].items() if token not in self.special}
+            self.ranked = tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        known, pack = self.known, lambda e: np.array(e.ids, "<u4").tobytes()
-        plain = [WORD.findall(t) if PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
-        distinct = set().union(*filter(None, plain))
-        if len(known) + len(distinct) > MEMORY:
-            known.clear()
-        new = list(distinct - known.keys())
-        known.update(zip(new, map(pack, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        return [pack(self.tokenizer.encode(t, add_special_tokens=False)) if p is None else b"".join([known[w] for w in p]) for t, p in zip(texts, plain, strict=True)]
+        return [self._fast(t) if self.ranked and PLAIN.fullmatch(t) and not any(s in t for s in self.special) else self._library(t) for t in texts]
+
+    def _fast(self, text: str) -> bytes:
+        return self.ranked.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+
+    def _library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @lru_cache(maxsize=1)
 def _encoder(path: str) -> Encoder:
-    """One for each worker process, so that tasks after the first know its words."""
+    """One for each worker process."""
     return Encoder(path)
 
 
