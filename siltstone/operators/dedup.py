@@ -105,13 +105,11 @@ def keep_first(signed: DataFrame, key: str, threshold: float = THRESHOLD) -> Dat
     classes = signed.groupBy("signature").agg(F.min(key).alias("_first"))
     firsts = classes.select(F.col("_first").alias(key), "signature")
     edges = similar_pairs(firsts, key, threshold).select("a", "b").checkpoint()
-    kept: DataFrame | None = None
     gone: DataFrame | None = None
     while not edges.isEmpty():
         # an earlier end without an earlier neighbour is kept; what it touches goes
         free = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti").checkpoint()
         lost = edges.join(free, "a").groupBy("b").agg(F.min("a").alias("by")).checkpoint()
-        kept = free if kept is None else kept.unionByName(free)
         gone = lost if gone is None else gone.unionByName(lost)
         out = free.union(lost.select("b")).toDF("x")
         edges = edges.join(out, F.col("a") == F.col("x"), "left_anti").join(out, F.col("b") == F.col("x"), "left_anti").checkpoint()

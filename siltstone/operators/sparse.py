@@ -36,12 +36,15 @@ def fit(corpus: DataFrame, text: str) -> DataFrame:
 
 
 def vocabulary(model: DataFrame) -> DataFrame:
-    """model with term_id, the term's place in code-point order, counted over ranges so that no task sorts all."""
-    parts = model.repartitionByRange("term").withColumn("_part", F.spark_partition_id())
-    order = Window.partitionBy("_part").orderBy("term")
-    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    numbered = parts.withColumn("_row", F.row_number().over(order)).join(F.broadcast(before), "_part")
+    """model with term_id, the term's place in code-point order.
+
+    Terms are numbered within their first two characters, whose counts, few rows, are
+    summed up in order; so no task sorts all terms.
+    """
+    parts = model.withColumn("_head", F.substring("term", 1, 2))
+    sizes = parts.groupBy("_head").agg(F.count("*").alias("_n"))
+    before = sizes.select("_head", F.coalesce(F.sum("_n").over(Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    numbered = parts.withColumn("_row", F.row_number().over(Window.partitionBy("_head").orderBy("term"))).join(before, "_head")
     return numbered.select(*model.columns, (F.col("_before") + F.col("_row") - 1).alias("term_id"))
 
 

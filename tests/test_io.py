@@ -1,5 +1,6 @@
 import io
 import json
+import shutil
 import zipfile
 
 from pyspark.sql import functions as F
@@ -95,7 +96,8 @@ def test_incremental_ingest(spark, tmp_path):
 
 def test_event_windows_stream_equals_batch(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
-    stream = spark.readStream.schema(events.schema).parquet("/root/testdata/sf0.001/events.parquet")
+    shutil.copy("/root/testdata/sf0.001/events.parquet", tmp_path)
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path))
     q = ingest.event_windows(stream).writeStream.format("memory").queryName("windows_out").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("windows_out").collect())) == sorted(map(tuple, ingest.event_windows(events).collect()))
