@@ -36,11 +36,12 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import components, scratch
+from siltstone.llm.shared import Bloom, components, scratch
 from siltstone.llm.texts import grams, steps, word_hashes, words
 
 WORDS = 5
@@ -176,8 +177,14 @@ def prefix_lists(live: DataFrame) -> DataFrame:
 
 
 def led(lists: DataFrame, turn: int) -> DataFrame:
-    """(a, b): the members of lists (v, node, n, comp) with LEADERS members of each, unless in one component or too unlike in size."""
-    lots = [F.min(F.struct(F.xxhash64("node", F.lit(turn * LEADERS + k)).alias("lot"), "node", "n", "comp")) for k in range(LEADERS)]
+    """(a, b): the members of lists (v, node, n, comp, live) with LEADERS members of each, unless in one component or too unlike in size.
+
+    Each leader is the most central member, the one with the largest live part of its
+    set, of a random half of the list: a class that is linked to any member of a group
+    of near copies is as a rule linked to such a one.
+    """
+    half = lambda k: F.pmod(F.xxhash64("node", F.lit(turn * LEADERS + k)), F.lit(2))
+    lots = [F.min(F.struct((half(k) - F.col("live") / F.col("n")).alias("lot"), "node", "n", "comp")) for k in range(LEADERS)]
     leaders = lists.groupBy("v").agg(F.array_distinct(F.array(*lots)).alias("l")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     member = lists.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(leaders, ["v", "salt"])
     met = member.select(F.col("node").alias("x"), F.col("n").alias("na"), "comp", F.explode("l").alias("l")).where("x <> l.node AND comp <> l.comp")
@@ -205,20 +212,23 @@ def find(docs: DataFrame) -> DataFrame:
 
     # classes that may have links through longer lists only
     need = F.greatest(F.lit(1), F.floor(F.least(F.col("n"), F.lit(K)) * ESTIMATE))
-    heavy = lists.where(F.col("held") > LIGHT).groupBy("node", "n").agg(F.count("*").alias("c")).where(F.col("c") >= need).select("node")
-    heavy = scratch(heavy)
+    heavy = lists.where(F.col("held") > LIGHT).groupBy("node", "n").agg(F.count("*").alias("live")).where(F.col("live") >= need)
+    heavy = scratch(heavy.select("node", "live"))
 
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(heavy).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node")
-    texts = scratch(texts.dropDuplicates(["node"]))
+    wanted = scratch(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(heavy.select("node")).distinct())
+    # a Bloom filter keeps the other texts out of the shuffle
+    held = _held_by(Bloom(wanted.select(F.xxhash64("node").alias("key"))))
+    some_docs = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("node IS NOT NULL").where(held(F.xxhash64("node")))
+    texts = scratch(some_docs.join(wanted, "node").dropDuplicates(["node"]))
 
     nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     some = not heavy.isEmpty()
     first = nearest
     if some:
         # a quarter of the long lists is enough to meet leaders
-        long = lists.where((F.col("held") > LIGHT) & (F.pmod(F.xxhash64("v"), F.lit(4)) == 0)).join(heavy, "node", "left_semi").select("v", "node", "n", F.col("node").alias("comp"))
-        first = first.unionByName(estimated(led(long, 0), reps))
+        long = lists.where((F.col("held") > LIGHT) & (F.pmod(F.xxhash64("v"), F.lit(4)) == 0)).join(heavy, "node").select("v", "node", F.least("n", F.lit(K)).alias("k"), "n", F.col("node").alias("comp"), "live")
+        # of these, live and the set's size are counted on sketches
+        first = first.unionByName(estimated(led(long.withColumn("live", F.col("live") * F.col("n") / F.col("k")), 0), reps))
     labels = components(verified(first, texts))
     rest = crossing(pairs.join(nearest, ["a", "b"], "left_anti"), labels)
     if some:
@@ -235,6 +245,14 @@ def find(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _held_by(bloom: Bloom):
+    @F.pandas_udf("boolean")
+    def held(key: pd.Series) -> pd.Series:
+        return pd.Series(bloom.has(key.to_numpy()))
+
+    return held
+
+
 def crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The pairs (a, b) whose ends are in different components so far."""
     return _current(pairs, labels, "a", "b").where("comp_a <> comp_b").select("a", "b")
