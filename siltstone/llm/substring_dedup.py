@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import Bloom, scratch
+from siltstone.llm.shared import Bloom, discard, scratch
 from siltstone.llm.texts import grams, mix, steps, word_hashes, words
 
 SEED = 13
@@ -143,9 +143,12 @@ def matches(docs: DataFrame) -> DataFrame:
     many = firsts.groupBy("anchor").agg(F.count("*").alias("runs")).where("runs > 1").select("anchor")
     open_runs = firsts.join(many, "anchor", "left_semi")
     key = F.col("content").bitwiseXOR(F.shiftleft("least", 19)).bitwiseXOR(F.shiftleft("least", 41))
-    ends = Bloom(open_runs.select(key.alias("key")))
-    seeds = scratch(texts.mapInArrow(_seeds_through(ends), shape))
-    return hits.unionByName(_settled(seeds)[1])
+    unsettled = Bloom(open_runs.select(key.alias("key")))
+    seeds = scratch(texts.mapInArrow(_seeds_through(unsettled), shape))
+    more, ends = _settled(seeds)
+    found = scratch(hits.unionByName(ends))
+    discard(runs, firsts, seeds, more)
+    return found
 
 
 def _covered(batches):
