@@ -11,6 +11,8 @@ for it, so copies cost nothing.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,6 +24,8 @@ from siltstone.functions.vectorised import vectorised
 PERMUTATIONS, BANDS, SHINGLE = 128, 32, 4
 ROWS = PERMUTATIONS // BANDS
 THRESHOLD = 0.8
+#: Undecided members of a bucket up to which its pairs are listed.
+BUCKET = 64
 
 
 def _rotate(x: np.ndarray, r: int) -> np.ndarray:
@@ -80,44 +84,64 @@ def band_keys(signed: DataFrame, key: str) -> DataFrame:
     return signed.select(key, F.explode(bands).alias("_b")).select(key, "_b.band", "_b.band_key")
 
 
-def similar_pairs(signed: DataFrame, key: str, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, agreement) with a < b: pairs that share a band and whose estimate reaches the threshold.
-
-    A pair needs two equal bands to count, of which any pair over the threshold has seven.
-    """
-    keys = band_keys(signed, key)
-    held = keys.groupBy("band", "band_key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    keys = keys.join(held, ["band", "band_key"])
-    other = keys.select(F.col(key).alias("b"), "band", "band_key")
-    pairs = keys.withColumnRenamed(key, "a").join(other, ["band", "band_key"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+def _agreeing(pairs: DataFrame, signed: DataFrame, key: str, threshold: float) -> DataFrame:
+    """(a, b, agreement) of the pairs whose estimate reaches the threshold."""
     left, right = signed.select(F.col(key).alias("a"), F.col("signature").alias("sa")), signed.select(F.col(key).alias("b"), F.col("signature").alias("sb"))
     same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", (same / PERMUTATIONS).alias("agreement"))
-    return met.where(F.col("agreement") >= threshold)
+    return pairs.join(left, "a").join(right, "b").select("a", "b", (same / PERMUTATIONS).alias("agreement")).where(F.col("agreement") >= threshold)
+
+
+def _shared(keys: DataFrame) -> DataFrame:
+    """Band keys that at least two chunks have."""
+    held = keys.groupBy("band", "band_key").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    return keys.join(held, ["band", "band_key"])
+
+
+def similar_pairs(keys: DataFrame, signed: DataFrame, key: str, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b, agreement) with a < b of all pairs that share a band key; for buckets of bounded size."""
+    other = keys.select(F.col(key).alias("b"), "band", "band_key")
+    pairs = keys.withColumnRenamed(key, "a").join(other, ["band", "band_key"]).where("a < b").select("a", "b").distinct()
+    return _agreeing(pairs, signed, key, threshold)
+
+
+def _without(keys: DataFrame, key: str, out: DataFrame) -> DataFrame:
+    return _shared(keys.join(out.toDF("_out"), F.col(key) == F.col("_out"), "left_anti")).checkpoint()
 
 
 def keep_first(signed: DataFrame, key: str, threshold: float = THRESHOLD) -> DataFrame:
     """(key, kept, duplicate_of) for every row of signed (key, signature), keys in order of arrival.
 
-    Each turn keeps the chunks without an undecided earlier neighbour and drops their
-    neighbours; turns end when all are decided. State is written out between turns.
+    While a bucket has more than BUCKET undecided members, a turn keeps the chunks that
+    are the first of all their buckets and drops what is similar to them, comparing
+    each bucket's members with its first only. Then the remaining pairs are listed, and
+    each turn keeps the chunks without an undecided earlier neighbour and drops their
+    neighbours. State is written out between turns.
     """
     classes = signed.groupBy("signature").agg(F.min(key).alias("_first"))
-    firsts = classes.select(F.col("_first").alias(key), "signature")
-    edges = similar_pairs(firsts, key, threshold).select("a", "b").checkpoint()
-    gone: DataFrame | None = None
+    firsts = classes.select(F.col("_first").alias(key), "signature").checkpoint()
+    keys = _shared(band_keys(firsts, key)).checkpoint()
+    gone: list[DataFrame] = []
+    while (keys.groupBy("band", "band_key").count().agg(F.max("count")).first()[0] or 0) > BUCKET:
+        heads = keys.groupBy("band", "band_key").agg(F.min(key).alias("a")).checkpoint()
+        own = keys.groupBy(F.col(key).alias("a")).agg(F.count("*").alias("_n"))
+        free = heads.groupBy("a").agg(F.count("*").alias("_m")).join(own, "a").where("_n = _m").select("a").checkpoint()
+        met = keys.withColumnRenamed(key, "b").join(heads.join(free, "a", "left_semi"), ["band", "band_key"]).where("a <> b").select("a", "b").distinct()
+        lost = _agreeing(met, firsts, key, threshold).groupBy("b").agg(F.min("a").alias("by")).checkpoint()
+        gone.append(lost)
+        keys = _without(keys, key, free.union(lost.select("b")))
+    edges = similar_pairs(keys, firsts, key, threshold).select("a", "b").checkpoint()
     while not edges.isEmpty():
         # an earlier end without an earlier neighbour is kept; what it touches goes
         free = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti").checkpoint()
         lost = edges.join(free, "a").groupBy("b").agg(F.min("a").alias("by")).checkpoint()
-        gone = lost if gone is None else gone.unionByName(lost)
+        gone.append(lost)
         out = free.union(lost.select("b")).toDF("x")
         edges = edges.join(out, F.col("a") == F.col("x"), "left_anti").join(out, F.col("b") == F.col("x"), "left_anti").checkpoint()
     rows = signed.join(classes, "signature").select(key, "_first")
-    if gone is None:
-        rows = rows.withColumn("by", F.lit(None).cast("long"))
+    if gone:
+        rows = rows.join(reduce(DataFrame.unionByName, gone).withColumnRenamed("b", "_first"), "_first", "left")
     else:
-        rows = rows.join(gone.withColumnRenamed("b", "_first"), "_first", "left")
+        rows = rows.withColumn("by", F.lit(None).cast("long"))
     copy = F.when(F.col(key) != F.col("_first"), F.col("_first"))
     return rows.select(key, (F.col("by").isNull() & copy.isNull()).alias("kept"), F.coalesce("by", copy).alias("duplicate_of"))
 

@@ -94,6 +94,23 @@ def test_greedy_is_not_components(spark):
     assert sorted((r.id, r.kept) for r in dedup.keep_first(signed, "id").collect()) == [(1, True), (2, False), (3, True), (4, False), (5, False)]
 
 
+@pytest.mark.parametrize("bucket", [64, 1])
+def test_large_buckets_are_decided_alike(spark, monkeypatch, bucket):
+    import random
+
+    monkeypatch.setattr(dedup, "BUCKET", bucket)
+    rng = random.Random(5)
+    base = [rng.randrange(9) for _ in range(128)]
+    rows = [(k, [x if rng.random() > 0.15 else rng.randrange(9) for x in base]) for k in range(60)]
+    signed = spark.createDataFrame(rows, "id long, signature array<int>")
+    got = {r.id: r.kept for r in dedup.keep_first(signed, "id").collect()}
+    kept = []
+    for k, s in rows:
+        if not any(sum(a == b for a, b in zip(s, rows[j][1], strict=True)) / 128 >= 0.8 for j in kept):
+            kept.append(k)
+    assert [k for k in sorted(got) if got[k]] == kept
+
+
 def test_parsers(spark):
     raw = "**Answer:** It is\nblue.\n**Evidence:** page 2\n**Confidence:** High to Low\n**Missing Info:** year"
     p = one(spark, parsing.structured_answer(F.lit(raw)))
