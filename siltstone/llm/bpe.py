@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from siltstone.llm.shared import scratch_root
+from siltstone.llm.shared import scratch_root, small_batches
 from siltstone.llm.texts import LETTERS, NUMBERS, PLAIN
 
 #: Words in the automaton, and the bytes of one: with these its size has a bound.
@@ -300,6 +300,7 @@ def word_counts(docs: DataFrame, path: str) -> DataFrame:
 def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON) -> str:
     """Compiles the most frequent words of docs and hands the file to all executors; its name there."""
     spark = docs.sparkSession
+    small_batches(spark)
     top = word_counts(docs, path).orderBy(F.desc("count"), "word").limit(size).toArrow()
     merge = vocabulary(path).merge
     raw = compile_lexicon({w: merge(w) for w in top["word"].to_pylist()})

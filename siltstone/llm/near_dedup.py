@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import Bloom, components, scratch
+from siltstone.llm.shared import Bloom, components, scratch, small_batches
 from siltstone.llm.texts import grams, steps, word_hashes, words
 
 WORDS = 5
@@ -89,6 +89,7 @@ def _sketch(batches):
 
 def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, key1, key2, sketch): equal keys are equal sets; the sketch is sorted."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketch, "doc_id long, n_shingles long, key1 long, key2 long, sketch array<long>")
 
 

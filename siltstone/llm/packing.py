@@ -31,7 +31,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from siltstone.llm.bpe import byte_characters
+from siltstone.llm.shared import small_batches
 from siltstone.llm.texts import PLAIN
 
 TOKENS = 1024
@@ -62,13 +63,10 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.path = path
         with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
+            read = json.load(file)
+        model, self.special = read["model"], [t["content"] for t in read["added_tokens"]]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         ids = [model["vocab"][a + b] for a, b in pairs]
         #: By rank equals by merge if later merges have larger ids.
@@ -78,6 +76,15 @@ class Encoder:
             ranks = {bytes(raw[c] for c in token): k for token, k in model["vocab"].items() if token not in self.special}
             self.ranked = tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        """The library's, read when a text needs it."""
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        tokenizer = Tokenizer.from_file(self.path)
+        tokenizer.no_padding()
+        tokenizer.no_truncation()
+        return tokenizer
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         return [self._fast(t) if self.ranked and PLAIN.fullmatch(t) and not any(s in t for s in self.special) else self._library(t) for t in texts]
@@ -206,6 +213,7 @@ class Packer:
 
 def pack(docs: DataFrame, path: str, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int | None = None, end: int = END) -> DataFrame:
     """The pieces of docs (doc_id, text): where each is in its document and in its sequence, with its ids."""
+    small_batches(docs.sparkSession)
     most = tokens if loss is None else loss
     if min(tokens, segments, most) < 1:
         raise ValueError("every limit must be at least 1")

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.shared import small_batches
+
 SAMPLE = 20_000
 TREES, DEPTH, LEAF, BINS = 40, 9, 4, 32
 THRESHOLD = 0.5
@@ -277,6 +279,7 @@ def _paths(batch: pa.RecordBatch) -> list[str]:
 
 def scan(docs: DataFrame, forest: Forest) -> DataFrame:
     """(doc_id, start, length, kind, score, is_secret): every candidate of docs (doc_id, text)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,6 +296,7 @@ def scan(docs: DataFrame, forest: Forest) -> DataFrame:
 
 def redact(docs: DataFrame, forest: Forest) -> DataFrame:
     """docs with every secret in text replaced by MASK; n_chars follows the text if it is there."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(forest)
 
     def clean(text: str | None, path: str) -> str | None:

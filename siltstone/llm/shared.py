@@ -33,25 +33,32 @@ def scratch_root(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-#: Settings for queries whose result is kept elsewhere: their shuffle files go when they
-#: end, and batches that Python gets are small, as rows may hold two long texts.
-_FRUGAL = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+#: Rows and bytes of a batch that Python gets: rows hold whole texts or blocks of vectors.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 32 << 20}
+_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limits for batches to BATCH where they are higher, for results are computed later."""
+    for name, most in BATCH.items():
+        now = spark.conf.get(name, None)
+        if now is None or not str(now).isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
 
 
 @contextmanager
 def frugal(spark: SparkSession) -> Iterator[None]:
-    """The settings of _FRUGAL for what is run within."""
-    before = {name: spark.conf.get(name, None) for name in _FRUGAL}
-    for name, value in _FRUGAL.items():
-        spark.conf.set(name, value)
+    """Within it, a query's shuffle files go when it ends; only for queries whose result is kept elsewhere."""
+    before = spark.conf.get(_FREED, None)
+    small_batches(spark)
+    spark.conf.set(_FREED, "true")
     try:
         yield
     finally:
-        for name, value in before.items():
-            if value is None:
-                spark.conf.unset(name)
-            else:
-                spark.conf.set(name, value)
+        if before is None:
+            spark.conf.unset(_FREED)
+        else:
+            spark.conf.set(_FREED, before)
 
 
 def scratch(df: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import Bloom, discard, scratch
+from siltstone.llm.shared import Bloom, discard, scratch, small_batches
 from siltstone.llm.texts import grams, mix, steps, word_hashes, words
 
 SEED = 13
@@ -132,6 +132,7 @@ def _settled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def matches(docs: DataFrame) -> DataFrame:
     """(doc, word, n, ref_doc): n seeds from a word on are in ref_doc, the smallest such document."""
+    small_batches(docs.sparkSession)
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), "text")
     # an anchor counts once for each document; rows repeating a doc_id only add candidates
     anchors = texts.mapInArrow(_anchors, "key long, doc long")

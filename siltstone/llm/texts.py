@@ -22,7 +22,7 @@ LOWER[65:91] += 32
 LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
 PLAIN = re.compile("[\\x20-\\x7e\\t\\n\\r\\xa1-\\xac\\xae-ſ]*")
 #: Text bytes that one step handles; a longer text is a step of its own.
-STEP = 1 << 21
+STEP = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(20250101).integers(1, 2**63, 256, dtype=np.uint64)
 _MULT = np.random.default_rng(20250102).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
