@@ -24,7 +24,7 @@ How it runs:
    link two, so a class needs three quarters of its set in values that several
    components hold; others drop out, again and again, until nothing changes. What is
    left meets by prefix filtering: of the values that may link it, each class lists
-   its rarest ones, so many that two linked sets share a listed one. So no list of a
+   its smallest ones, so many that two linked sets share a listed one. So no list of a
    large group is expanded to all pairs, and no link between components is lost.
 
 Cases: rows with a null doc_id get component null and kept true; rows that repeat a
@@ -140,41 +140,59 @@ def _current(rows: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
     return rows
 
 
-def _prefixes(batches):
+def _least(n: int) -> int:
+    """How many values a set of n shares at least with a linked one."""
+    return -(-3 * n // 4)
+
+
+def _values(batches):
+    """(v, comp) of every value of each class (node, text, comp)."""
     for batch in batches:
-        node = batch.column(0).to_pylist()
         sets = list(shingle_sets(batch.column(1)))
-        ends = np.cumsum([0] + [len(s) for s in sets])
-        out = [pa.array(np.repeat(np.array(node, np.int64), np.diff(ends))), pa.array(np.repeat(np.diff(ends), np.diff(ends)).astype(np.int64)), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))]
-        yield pa.RecordBatch.from_arrays(out, names=["node", "n", "v"])
+        comp = np.repeat(np.asarray(batch.column(2)), [len(s) for s in sets])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)), pa.array(comp, pa.int64())], names=["v", "comp"])
 
 
-def _least(n: str) -> Column:
-    """How many values a set of n shares at least with a linked one."""
-    return F.ceil(F.col(n) * 0.75)
+def _alive_through(several: Bloom):
+    """Keeps the classes with enough values that may link them to another component."""
 
+    def alive(batches):
+        for batch in batches:
+            keep = [int(several.has(s).sum()) >= _least(len(s)) for s in shingle_sets(batch.column(1))]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-def live_values(values: DataFrame, labels: DataFrame) -> DataFrame:
-    """(node, n, v, comp, live): of values (node, n, v), those that may link a class to another component; live counts them.
+    return alive
 
-    Classes with too few go, and with them what only they held, for PRUNINGS turns.
-    """
-    now = scratch(_current(values, labels, "node").withColumnRenamed("comp_node", "comp"))
-    for _ in range(PRUNINGS):
-        several = now.groupBy("v").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("v")
-        left = scratch(now.select("node", "n", "v", "comp").join(several, "v", "left_semi"))
-        enough = left.groupBy("node", "n").agg(F.count("*").alias("live")).where(F.col("live") >= _least("n")).select("node", "live")
-        now = left.join(enough, "node").select("node", "n", "v", "comp", "live")
-    return scratch(now)
 
+def _listed_through(several: Bloom):
+    """(v, place, node, n, comp, live): each class with the smallest of its live values, as many as a linked one must meet."""
 
-def prefix_lists(live: DataFrame) -> DataFrame:
-    """(v, place, node, n, comp, live): each class with the rarest of its live values, as many as a linked one must meet, and their places from 0."""
-    often = live.groupBy("v").agg(F.count("*").alias("f"))
-    # a class's own values are no more than its text's, so they are gathered by class, rarest first
-    own = live.join(often, "v").groupBy("node", "n", "comp", "live").agg(F.sort_array(F.collect_list(F.struct("f", "v"))).alias("vs"))
-    cut = F.slice("vs", F.lit(1), (F.col("live") - _least("n") + 1).cast("int"))
-    return own.select("node", "n", "comp", "live", F.posexplode(cut).alias("place", "x")).select(F.col("x.v").alias("v"), "place", "node", "n", "comp", "live")
+    def listed(batches):
+        for batch in batches:
+            out: list[list] = [[], [], [], [], [], []]
+            for node, s, comp in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                live = s[several.has(s)]
+                first = live[: max(0, len(live) - _least(len(s)) + 1)]
+                for column, x in zip(out, (first, np.arange(len(first)), *(np.full(len(first), y) for y in (node, len(s), comp, len(live)))), strict=True):
+                    column.append(x)
+            arrays = [pa.array(np.concatenate(c).astype(np.int64) if c else np.zeros(0, np.int64)) for c in out]
+            yield pa.RecordBatch.from_arrays(arrays, names=["v", "place", "node", "n", "comp", "live"])
+
+    return listed
+
+
+def pruned(classes: DataFrame) -> tuple[DataFrame, Bloom]:
+    """The classes (node, text, comp) that may still be linked to another component, and the values that may link them.
+
+    A value that one component alone holds can't; classes with too few others go, and
+    with them what only they held, for PRUNINGS turns. The Bloom filter lets some values
+    pass wrongly, which keeps classes in but never leaves a link out.
+    """
+    for _ in range(PRUNINGS):
+        held = classes.mapInArrow(_values, "v long, comp long").groupBy("v").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+        several = Bloom(held.where("c0 <> c1").select(F.col("v").alias("key")))
+        classes = scratch(classes.mapInArrow(_alive_through(several), "node long, text string, comp long"))
+    return classes, several
 
 
 def led(lists: DataFrame, turn: int) -> DataFrame:
@@ -270,17 +288,17 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def _rest_of_heavy(reps: DataFrame, own: DataFrame, texts: DataFrame, rest: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The pairs still to be verified, those among classes of long lists included, and the components so far."""
-    values = own.select("node", "text").mapInArrow(_prefixes, "node long, n long, v long")
+    own = own.select("node", "text")
     for turn in range(1, ROUNDS + 1):
-        live = live_values(values, labels)
-        lists = scratch(prefix_lists(live))
+        own, several = pruned(scratch(_current(own, labels, "node").select("node", "text", F.col("comp_node").alias("comp"))))
+        lists = scratch(own.mapInArrow(_listed_through(several), "v long, place long, node long, n long, comp long, live long"))
         each = lists.groupBy("v", "comp").agg(F.count("*").alias("m"))
         sums = each.groupBy("v").agg(F.sum("m").alias("m"), F.sum(F.expr("m * m")).alias("q"))
         total = sums.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.expr("(m * m - q) / 2")), F.lit(0.0)).alias("crossing")).first()
         if turn == ROUNDS or total["crossing"] <= CROSSING * total["rows"]:
             break
         labels = merged(labels, verified(estimated(led(lists, turn), reps), texts))
-        values = live.select("node", "n", "v")
+        own = own.select("node", "text")
     names = {"node": "b", "n": "nb", "comp": "cb", "live": "lb", "place": "pb"}
     met = lists.withColumnsRenamed({"node": "a", "n": "na", "comp": "ca", "live": "la", "place": "pa"}).join(lists.withColumnsRenamed(names), "v")
     # at the first value that two linked sets share, all they share is still to come in both
