@@ -50,6 +50,8 @@ LIGHT = 48
 #: A pair goes if the union's sketch shares less than this part; 0.75 is expected of a linked one.
 ESTIMATE = 0.31
 LEADERS = 4
+#: Values before a listed one that a list carries, so that a pair is met once.
+EARLIER = 64
 PRUNINGS = 2
 #: Turns of leaders, and the crossing pairs for each listed value up to which all are verified at once.
 ROUNDS = 3
@@ -165,18 +167,22 @@ def _alive_through(several: Bloom):
 
 
 def _listed_through(several: Bloom):
-    """(v, place, node, n, comp, live): each class with the smallest of its live values, as many as a linked one must meet."""
+    """(v, place, node, n, comp, live, before): each class with the smallest of its live values, as many as a linked one must meet."""
 
     def listed(batches):
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
+            before: list[np.ndarray] = []
             for node, s, comp in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 live = s[several.has(s)]
                 first = live[: max(0, len(live) - _least(len(s)) + 1)]
                 for column, x in zip(out, (first, np.arange(len(first)), *(np.full(len(first), y) for y in (node, len(s), comp, len(live)))), strict=True):
                     column.append(x)
+                before += [first[: min(k, EARLIER)] for k in range(len(first))]
             arrays = [pa.array(np.concatenate(c).astype(np.int64) if c else np.zeros(0, np.int64)) for c in out]
-            yield pa.RecordBatch.from_arrays(arrays, names=["v", "place", "node", "n", "comp", "live"])
+            ends = np.cumsum([0] + [len(x) for x in before]).astype(np.int32)
+            arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(before) if before else np.zeros(0, np.int64))))
+            yield pa.RecordBatch.from_arrays(arrays, names=["v", "place", "node", "n", "comp", "live", "before"])
 
     return listed
 
@@ -291,7 +297,7 @@ def _rest_of_heavy(reps: DataFrame, own: DataFrame, texts: DataFrame, rest: Data
     own = own.select("node", "text")
     for turn in range(1, ROUNDS + 1):
         own, several = pruned(scratch(_current(own, labels, "node").select("node", "text", F.col("comp_node").alias("comp"))))
-        lists = scratch(own.mapInArrow(_listed_through(several), "v long, place long, node long, n long, comp long, live long"))
+        lists = scratch(own.mapInArrow(_listed_through(several), "v long, place long, node long, n long, comp long, live long, before array<long>"))
         each = lists.groupBy("v", "comp").agg(F.count("*").alias("m"))
         sums = each.groupBy("v").agg(F.sum("m").alias("m"), F.sum(F.expr("m * m")).alias("q"))
         total = sums.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.expr("(m * m - q) / 2")), F.lit(0.0)).alias("crossing")).first()
@@ -299,10 +305,11 @@ def _rest_of_heavy(reps: DataFrame, own: DataFrame, texts: DataFrame, rest: Data
             break
         labels = merged(labels, verified(estimated(led(lists, turn), reps), texts))
         own = own.select("node", "text")
-    names = {"node": "b", "n": "nb", "comp": "cb", "live": "lb", "place": "pb"}
-    met = lists.withColumnsRenamed({"node": "a", "n": "na", "comp": "ca", "live": "la", "place": "pa"}).join(lists.withColumnsRenamed(names), "v")
-    # at the first value that two linked sets share, all they share is still to come in both
-    met = met.where("a < b AND ca <> cb AND 7 * least(la - pa, lb - pb) >= 3 * (na + nb)").where(_alike_in_size("na", "nb"))
+    names = {"node": "b", "n": "nb", "comp": "cb", "live": "lb", "place": "pb", "before": "eb"}
+    met = lists.withColumnsRenamed({"node": "a", "n": "na", "comp": "ca", "live": "la", "place": "pa", "before": "ea"}).join(lists.withColumnsRenamed(names), "v")
+    # at the first value that two linked sets share, all they share is still to come in both;
+    # a pair that shares one of the values before is met there already
+    met = met.where("a < b AND ca <> cb AND NOT arrays_overlap(ea, eb) AND 7 * least(la - pa, lb - pb) >= 3 * (na + nb)").where(_alike_in_size("na", "nb"))
     return crossing(rest, labels).unionByName(estimated(met.select("a", "b").distinct(), reps)).distinct(), labels
 
 
