@@ -180,3 +180,56 @@ def test_models(spark):
             raise ValueError("no")
 
     assert df.select(models.generation(F.col("t"), Broken, attempts=2).alias("g")).first().g.error == "ValueError: no"
+
+
+def plain_fuzzy(snippet, content):
+    """M8 and M9 of the survey, window by window."""
+    import unicodedata
+    from difflib import SequenceMatcher
+
+    clean = lambda t: unicodedata.normalize("NFKC", t.lower()).translate({0x0A: " ", **dict.fromkeys(range(0x2010, 0x2014), "-")})
+    snippet, content = clean(snippet), clean(content)
+    n = len(" ".join(snippet.split()))
+    return snippet in content or any(SequenceMatcher(None, snippet, content[k : k + n + 20]).ratio() >= 0.8 for k in range(len(content) - n))
+
+
+def test_fuzzy_holds_equals_every_window():
+    import random
+
+    rng = random.Random(4)
+    words = ["".join(rng.choices("etaoinshr", k=rng.randint(1, 8))) for _ in range(60)]
+    seen = set()
+    for _ in range(150):
+        snippet = " ".join(rng.choices(words, k=rng.randint(1, 45)))
+        near = "".join(x if rng.random() > rng.choice([0.02, 0.1, 0.2]) else rng.choice(["", "x", "e "]) for x in snippet)
+        content = " ".join([*rng.choices(words, k=rng.randint(0, 25)), near[: rng.choice([len(near), len(near) * 3 // 4])], *rng.choices(words, k=rng.randint(0, 25))])
+        want = plain_fuzzy(snippet, content)
+        assert M.fuzzy_holds(snippet, content) == want, (snippet, content)
+        seen.add(want)
+    assert seen == {True, False}
+
+
+def test_fuzzy_evidence_equals_brute_force(spark, tmp_path):
+    from siltstone.plans import evaluate, search
+
+    spread = lambda k, n: " ".join(f"word{k}x{j}" for j in range(n))
+    one, two, three, four = ("".join(f" {a}{k} {b}" for k in range(8)).strip() for a, b in (("amber", "stone"), ("birch", "river"), ("cedar", "cloud"), ("delta", "flame")))
+    texts = [
+        # item 1: bags of the words outrank the passage itself
+        *[" ".join(reversed(one.split()))] * 3, f"{one} {spread(1, 9)}",
+        # item 2: begins as the passage does, and goes on otherwise
+        f"{two[:70]} {spread(2, 30)}",
+        # item 3: its line ends, dashes and ligatures differ
+        three.replace(" ", "\n").replace("cedar3", "cedar‑3") + " ﬁ",
+        # item 4: a character differs
+        f"{spread(4, 5)} {four.replace('flame', 'fl4me', 1)} {spread(5, 5)}",
+    ]
+    items = [(1, one), (2, two), (3, three.replace("cedar3", "cedar-3") + " fi"), (4, four), (5, "nowhere")]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = dict.fromkeys(dict(items))
+    for r in sorted(search.sparse_topk(spark, str(tmp_path)).collect(), key=lambda r: r["rank"]):
+        if r["rank"] <= 5 and want[r.item_id] is None and plain_fuzzy(dict(items)[r.item_id], texts[r.doc_id]):
+            want[r.item_id] = r["rank"]
+    assert want[1] in (3, 4, 5) and want[2] is None and want[3] and want[4] and want[5] is None
+    assert dict(values(evaluate.fuzzy_evidence(spark, str(tmp_path)).select("item_id", "found_in_rank"))) == want
