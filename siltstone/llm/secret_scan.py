@@ -10,8 +10,11 @@ default. At most SAMPLE findings are used, in the order given.
 How it runs: the forest is some hundred kilobytes, bounded by TREES and DEPTH, and is
 broadcast; scanning and redacting are one pass over the input without a shuffle.
 
-Cases: null and empty texts have no candidates; where candidates overlap the earlier,
-then the longer one stands; repeated rows are scanned each; extra columns pass
+Cases: null and empty texts have no candidates; the forest judges the candidates of all
+patterns, also of those within others; secrets that overlap are one finding from the
+first character to the last, with kind and score of the earliest, then longest; of
+harmless candidates those that overlap no secret are left, the earlier, then the longer
+one; repeated rows are scanned each; extra columns pass
 through redact() unchanged, and a column named path, if there is one, is a feature.
 """
 
@@ -35,13 +38,18 @@ THRESHOLD = 0.5
 NEAR = 48
 MASK = "[SECRET]"
 
+#: What the candidates of two patterns begin with or stand behind; a candidate may hold it again.
+HEADS = {
+    "prefixed": r"(?<![A-Za-z0-9])(?:gh[opsur]_|github_pat_|glpat-|sk-|sk_live_|rk_live_|xox[abprs]-|AIza|npm_|hf_|SG\.)",
+    "assigned": r"(?i)(?:api[_\-]?key|secret|token|passwd|password|pwd|credential|auth)[a-z_\-]{0,12}[\"']?[ \t]{0,4}[:=][ \t]{0,4}[\"']?",
+}
 #: Fixed patterns of candidates; the group named x, if there is one, is the candidate.
 PATTERNS = {
     "private_key": r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,16384}(?:-----END [A-Z ]{0,32}PRIVATE KEY-----)?",
     "access_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "prefixed": r"(?<![A-Za-z0-9])(?:gh[opsur]_|github_pat_|glpat-|sk-|sk_live_|rk_live_|xox[abprs]-|AIza|npm_|hf_|SG\.)[A-Za-z0-9_.\-]{16,}",
+    "prefixed": HEADS["prefixed"] + r"[A-Za-z0-9_.\-]{16,}",
     "jwt": r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{4,}",
-    "assigned": r"(?i)(?:api[_\-]?key|secret|token|passwd|password|pwd|credential|auth)[a-z_\-]{0,12}[\"']?[ \t]{0,4}[:=][ \t]{0,4}[\"']?(?P<x>[^\s\"'<>,;]{8,})",
+    "assigned": HEADS["assigned"] + r"(?P<x>[^\s\"'<>,;]{8,})",
     "random": r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/=_\-]*[0-9])(?=[0-9+/=_\-]*[A-Za-z])[A-Za-z0-9+/_\-]{20,}={0,2}",
 }
 #: Fixed lists of words that tell about a candidate beside or inside which they stand.
@@ -66,6 +74,7 @@ WORDS = (
 ).split()
 
 _FINDERS = {k: re.compile(p) for k, p in PATTERNS.items()}
+_HEADS = {k: re.compile(p) for k, p in HEADS.items()}
 _LEXICON = frozenset(w for w in WORDS if len(w) >= 4)
 _LONGEST = max(map(len, _LEXICON))
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
@@ -250,26 +259,59 @@ def train(findings: list[tuple[str, str, str, str, int]] | None = None) -> Fores
     return Forest.fit(x, np.array([r[-1] for r in rows], float))
 
 
+def _spans(kind: str, text: str) -> Iterator[tuple[int, int]]:
+    """The pattern's candidates; one that holds the head of others is followed by those, each up to the next head."""
+    finder = _FINDERS[kind]
+    group = "x" if "x" in finder.groupindex else 0
+    for m in finder.finditer(text):
+        start, end = m.span(group)
+        yield start, end
+        if kind in _HEADS:
+            heads = [h.start() for h in _HEADS[kind].finditer(text, start, end) if h.start() > m.start()]
+            for head, stop in zip(heads, [*heads[1:], end], strict=False):
+                if inner := finder.match(text, head, stop):
+                    yield inner.span(group)
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the candidates, none overlapping."""
-    found = []
-    for order, (kind, finder) in enumerate(_FINDERS.items()):
-        group = "x" if "x" in finder.groupindex else 0
-        found += [(m.start(group), -m.end(group), order, kind) for m in finder.finditer(text)]
-    out: list[tuple[int, int, str]] = []
-    for start, end, _, kind in sorted(found):
-        if not out or start >= out[-1][1]:
-            out.append((start, -end, kind))
-    return out
+    """(start, end, kind) of the candidates of every pattern, the earlier and longer first; equal ones are of the first pattern."""
+    found: dict[tuple[int, int], str] = {}
+    for kind in PATTERNS:
+        for span in _spans(kind, text):
+            found.setdefault(span, kind)
+    return [(a, b, found[a, b]) for a, b in sorted(found, key=lambda s: (s[0], -s[1]))]
+
+
+def _settled(scored: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str, float]]:
+    """(start, end, kind, score), none overlapping: unions of secrets, and the harmless candidates beside them."""
+    secrets: list[tuple[int, int, str, float]] = []
+    for start, end, kind, score in scored:
+        if score < THRESHOLD:
+            continue
+        if secrets and start < secrets[-1][1]:
+            first = secrets[-1]
+            secrets[-1] = (first[0], max(first[1], end), *first[2:])
+        else:
+            secrets.append((start, end, kind, score))
+    out, k, at = list(secrets), 0, 0
+    for one in scored:
+        start, end, _, score = one
+        while k < len(secrets) and secrets[k][1] <= start:
+            k += 1
+        if score < THRESHOLD and start >= at and (k == len(secrets) or end <= secrets[k][0]):
+            out.append(one)
+            at = end
+    return sorted(out)
 
 
 def scan_text(text: str, path: str, forest: Forest) -> list[tuple[int, int, str, float]]:
-    """(start, length, kind, score) of every candidate, in code points."""
+    """(start, length, kind, score) of the findings, in code points, none overlapping."""
     found = candidates(text)
     if not found:
         return []
     x = np.array([features(text[a:b], text[max(0, a - NEAR) : a], text[b : b + NEAR], path, k) for a, b, k in found])
-    return [(a, b - a, k, float(s)) for (a, b, k), s in zip(found, forest.score(x), strict=True)]
+    settled = _settled([(a, b, k, float(s)) for (a, b, k), s in zip(found, forest.score(x), strict=True)])
+    return [(a, b - a, k, s) for a, b, k, s in settled]
 
 
 def _paths(batch: pa.RecordBatch) -> list[str]:
@@ -278,7 +320,7 @@ def _paths(batch: pa.RecordBatch) -> list[str]:
 
 
 def scan(docs: DataFrame, forest: Forest) -> DataFrame:
-    """(doc_id, start, length, kind, score, is_secret): every candidate of docs (doc_id, text)."""
+    """(doc_id, start, length, kind, score, is_secret): the findings in docs (doc_id, text)."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(forest)
 
