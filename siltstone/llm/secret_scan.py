@@ -45,7 +45,7 @@ HEADS = {
 }
 #: Fixed patterns of candidates; the group named x, if there is one, is the candidate.
 PATTERNS = {
-    "private_key": r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,16384}(?:-----END [A-Z ]{0,32}PRIVATE KEY-----)?",
+    "private_key": r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----(?:[ \t]*\r?\n[A-Za-z][A-Za-z0-9\-]*+:[^\r\n]*+)*+[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{0,32}PRIVATE KEY-----)?",
     "access_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "prefixed": HEADS["prefixed"] + r"[A-Za-z0-9_.\-]{16,}",
     "jwt": r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{4,}",
@@ -114,7 +114,7 @@ def _beside(text: str, words: list[str]) -> float:
 
 def features(candidate: str, before: str, after: str, path: str, kind: str) -> list[float]:
     """What the forest sees of a candidate."""
-    c = candidate[:4096]
+    c = candidate
     n = max(1, len(c))
     classes = ["d" if x.isdigit() else "u" if x.isupper() else "l" if x.islower() else "s" for x in c]
     counts = Counter(c)
@@ -126,7 +126,7 @@ def features(candidate: str, before: str, after: str, path: str, kind: str) -> l
         best = max(best, run)
     whole = before[-1:] + c + after[:1]
     return [
-        math.log(len(candidate) + 1),
+        math.log(len(c) + 1),
         classes.count("d") / n, classes.count("u") / n, classes.count("l") / n, classes.count("s") / n,
         sum(a != b for a, b in zip(classes, classes[1:], strict=False)) / n,
         -sum(v / n * math.log2(v / n) for v in counts.values()),
@@ -211,7 +211,11 @@ def labelled_findings(n: int = 6000) -> list[tuple[str, str, str, str, int]]:
     hexes, mixed = dig + "abcdef", low + up + dig
     prose = lambda k: " ".join(one(WORDS) for _ in range(k))
     size = lambda a, b: int(rng.integers(a, b))
+    kinds = ["", "RSA ", "EC ", "DSA ", "OPENSSH ", "ENCRYPTED "]
+    lines = lambda k: "\n".join([*(draw(mixed + "+/", 64) for _ in range(k)), draw(mixed + "+/", size(4, 60)) + one(["", "=", "=="])])
+    block = lambda kind, head: f"-----BEGIN {kind}PRIVATE KEY-----\n{head}{lines(size(1, 50))}\n-----END {kind}PRIVATE KEY-----"
     keys = [
+        lambda: block(one(kinds), ""), lambda: block(one(kinds[:4]), f"Proc-Type: 4,ENCRYPTED\nDEK-Info: {one(['AES-128-CBC', 'AES-256-CBC', 'DES-EDE3-CBC'])},{draw(hexes, 32).upper()}\n\n"),
         lambda: draw(hexes, one([32, 40, 40, 48, 64])), lambda: draw(mixed, size(20, 64)), lambda: draw(mixed + "+/", size(24, 60)) + one(["", "=", "=="]),
         lambda: "AKIA" + draw(up + dig, 16), lambda: one(["ghp_", "gho_", "npm_", "hf_"]) + draw(mixed, 36), lambda: "sk-" + draw(mixed, size(32, 48)),
         lambda: one(["xoxb-", "xoxp-"]) + draw(dig, 11) + "-" + draw(mixed, 24), lambda: "AIza" + draw(mixed + "_-", 35), lambda: "eyJ" + draw(mixed, 24) + "." + draw(mixed, 48) + "." + draw(mixed + "_-", 43),
@@ -219,6 +223,7 @@ def labelled_findings(n: int = 6000) -> list[tuple[str, str, str, str, int]]:
     ]
     names = ["api_key", "apikey", "secret", "token", "password", "auth_token", "client_secret", "access_key", "SECRET_KEY", "private_key", "credential", "bearer token"]
     harmless = [
+        lambda: (f"-----BEGIN {one(kinds)}PRIVATE KEY-----" + one([" ", "\n"]) + one([prose(size(2, 20)), "x" * size(8, 64), one(FILLS).upper()]), prose(4) + " ", one([". ", "... ", ", "]) + prose(3)),
         lambda: (draw(hexes, 40), prose(3) + " commit ", " " + prose(2)), lambda: (draw(hexes, 64), one(["sha256:", "sha256 = ", "digest ", "checksum: "]), " " + prose(2)), lambda: (draw(hexes, 32), one(["md5 ", "etag \"", "hash: "]), one(["", "\""])),
         lambda: ("-".join(draw(hexes, k) for k in (8, 4, 4, 4, 12)), one(["uuid ", "id = \"", "request id ", prose(2) + " "]), " " + prose(2)),
         lambda: ("".join(one(WORDS).title() for _ in range(size(3, 6))) + draw(dig, size(1, 3)), prose(4) + " ", " " + prose(3)), lambda: ("-".join(one(WORDS) for _ in range(size(3, 7))) + "-" + draw(dig, size(1, 5)), one(["href=\"/", "https://www.", "/"]), one(["\"", "/", " "])),
