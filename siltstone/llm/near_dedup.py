@@ -19,16 +19,23 @@ How it runs:
    cross two components, since links within a component change nothing.
 5. A linked pair whose shared retained values all lie in longer lists has many such
    values on both sides. Those classes (few) are first verified against LEADERS
-   members of each long list, which merges groups of near copies. The other links
-   among them, if any, are found on whole sets: a value within one component can't
-   link two, so a class needs three quarters of its set in values that several
-   components hold; others drop out, again and again, until nothing changes. What is
-   left meets by prefix filtering: of the values that may link it, each class lists
-   its smallest ones, so many that two linked sets share a listed one. So no list of a
-   large group is expanded to all pairs, and no link between components is lost.
+   members of some long lists, which merges groups of near copies. The other links
+   among them, if any, are found on whole sets, not on sketches: a value within one
+   component can't link two, so a class needs three quarters of its set in values that
+   several components hold; others drop out. What is left meets by prefix filtering, the
+   rarest values first: at the first value that two linked sets share, both still hold
+   all they share, 3/7 of their sizes' sum. Members are matched by value and size class,
+   only where that can hold, and only across components, so that neither a group of near
+   copies nor a template with many different fillings is expanded to all pairs.
+
+Verification is exact on whole texts. The sketch's estimate is the one filter that may lose a
+link; find(estimate=0) does without it.
 
 Cases: rows with a null doc_id get component null and kept true; rows that repeat a
-doc_id share one component; extra columns are ignored by find() and kept by keep_one().
+doc_id share one component, under several texts that of the text with the smallest
+hash; texts of any length are hashed whole, one at a time if long; equal similarity
+has no ties to settle, as components do not depend on the order of pairs; an empty table gives no
+rows; extra columns, whatever their names, are ignored by find() and kept by keep_one().
 """
 
 from __future__ import annotations
@@ -41,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import Bloom, components, scratch, small_batches
+from siltstone.llm.shared import Bloom, Levels, components, scratch, small_batches, tidy
 from siltstone.llm.texts import grams, steps, word_hashes, words
 
 WORDS = 5
@@ -50,12 +57,13 @@ LIGHT = 48
 #: A pair goes if the union's sketch shares less than this part; 0.75 is expected of a linked one.
 ESTIMATE = 0.31
 LEADERS = 4
-#: Values before a listed one that a list carries, so that a pair is met once.
-EARLIER = 64
+#: Lists of its own whose leaders a class meets in a turn.
+FEW = 3
 PRUNINGS = 2
-#: Turns of leaders, and the crossing pairs for each listed value up to which all are verified at once.
-ROUNDS = 3
-CROSSING = 256
+#: Crossing pairs for each listed value up to which all are verified at once.
+CROSSING = 1
+#: Size classes for each doubling of a set's size.
+STEPS = 16
 SALTS = 16
 
 
@@ -77,8 +85,8 @@ def shingle_sets(column: pa.Array):
 
 def _sketch(batches):
     for batch in batches:
-        ids, size, key1, key2, flat, ends = batch.column(0), [], [], [], [], [0]
-        for s in shingle_sets(batch.column(1)):
+        ids, mark, size, key1, key2, flat, ends = batch.column(0), batch.column(1), [], [], [], [], [0]
+        for s in shingle_sets(batch.column(2)):
             size.append(len(s))
             digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
             key1.append(int.from_bytes(digest[:8], "little", signed=True))
@@ -86,13 +94,15 @@ def _sketch(batches):
             flat.append(s[:K])
             ends.append(ends[-1] + len(flat[-1]))
         sketch = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64)))
-        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(size, pa.int64()), pa.array(key1, pa.int64()), pa.array(key2, pa.int64()), sketch], names=["doc_id", "n_shingles", "key1", "key2", "sketch"])
+        columns = [ids, mark, pa.array(size, pa.int64()), pa.array(key1, pa.int64()), pa.array(key2, pa.int64()), sketch]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "n_shingles", "key1", "key2", "sketch"])
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, key1, key2, sketch): equal keys are equal sets; the sketch is sorted."""
+    """(doc_id, mark, n_shingles, key1, key2, sketch): equal keys are equal sets; mark is the text's hash; the sketch is sorted."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketch, "doc_id long, n_shingles long, key1 long, key2 long, sketch array<long>")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), "text")
+    return rows.mapInArrow(_sketch, "doc_id long, mark long, n_shingles long, key1 long, key2 long, sketch array<long>")
 
 
 def _verify(batches):
@@ -125,13 +135,13 @@ def _alike_in_size(a: str, b: str) -> Column:
     return F.expr(f"4 * {a} >= 3 * {b} AND 4 * {b} >= 3 * {a}")
 
 
-def estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose union's bottom-k sketch shares at least ESTIMATE."""
+def estimated(pairs: DataFrame, reps: DataFrame, estimate: float) -> DataFrame:
+    """The pairs (a, b) whose union's bottom-k sketch shares at least this part."""
     half = pairs.join(reps.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a")
     full = half.join(reps.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
     shared = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
-    return full.where(shared >= F.size(union) * ESTIMATE).select("a", "b")
+    return full.where(shared >= F.size(union) * estimate).select("a", "b")
 
 
 def _current(rows: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
@@ -166,65 +176,100 @@ def _alive_through(several: Bloom):
     return alive
 
 
-def _listed_through(several: Bloom):
-    """(v, place, node, n, comp, live, before): each class with the smallest of its live values, as many as a linked one must meet."""
+def _listed_through(several: Bloom, rarity: Levels):
+    """(v, rest, node, n, comp, live): each class with the rarest of its live values, as many as a linked one must meet.
+
+    Rest counts the live values from v on, v itself included: all that two sets still
+    share at the first listed value in which they meet. The order of values is the same
+    for all classes, so that first value exists and comes early in both.
+    """
 
     def listed(batches):
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
-            before: list[np.ndarray] = []
             for node, s, comp in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 live = s[several.has(s)]
+                live = live[np.lexsort((live, rarity.of(live)))]
                 first = live[: max(0, len(live) - _least(len(s)) + 1)]
-                for column, x in zip(out, (first, np.arange(len(first)), *(np.full(len(first), y) for y in (node, len(s), comp, len(live)))), strict=True):
+                rest = len(live) - np.arange(len(first))
+                for column, x in zip(out, (first, rest, *(np.full(len(first), y) for y in (node, len(s), comp, len(live)))), strict=True):
                     column.append(x)
-                before += [first[: min(k, EARLIER)] for k in range(len(first))]
-            arrays = [pa.array(np.concatenate(c).astype(np.int64) if c else np.zeros(0, np.int64)) for c in out]
-            ends = np.cumsum([0] + [len(x) for x in before]).astype(np.int32)
-            arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(before) if before else np.zeros(0, np.int64))))
-            yield pa.RecordBatch.from_arrays(arrays, names=["v", "place", "node", "n", "comp", "live", "before"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64) if c else np.zeros(0, np.int64)) for c in out], names=["v", "rest", "node", "n", "comp", "live"])
 
     return listed
 
 
-def pruned(classes: DataFrame) -> tuple[DataFrame, Bloom]:
-    """The classes (node, text, comp) that may still be linked to another component, and the values that may link them.
+def pruned(classes: DataFrame) -> tuple[DataFrame, Bloom, Levels]:
+    """The classes (node, text, comp) that may still be linked to another component, the values that may link them, and how many hold these.
 
     A value that one component alone holds can't; classes with too few others go, and
     with them what only they held, for PRUNINGS turns. The Bloom filter lets some values
     pass wrongly, which keeps classes in but never leaves a link out.
     """
     for _ in range(PRUNINGS):
-        held = classes.mapInArrow(_values, "v long, comp long").groupBy("v").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-        several = Bloom(held.where("c0 <> c1").select(F.col("v").alias("key")))
+        held = classes.mapInArrow(_values, "v long, comp long").groupBy("v").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m"))
+        shared = scratch(held.where("c0 <> c1").select(F.col("v").alias("key"), "m"))
+        several = Bloom(shared.select("key"))
         classes = scratch(classes.mapInArrow(_alive_through(several), "node long, text string, comp long"))
-    return classes, several
+    return classes, several, Levels(shared, "m")
 
 
 def led(lists: DataFrame, turn: int) -> DataFrame:
-    """(a, b): the members of lists (v, node, n, comp, live) with LEADERS members of each, unless in one component or too unlike in size.
+    """(a, b): each member of lists (v, node, n, comp, live) with the leaders of FEW of its lists, unless in one component or too unlike in size.
 
-    Each leader is the most central member, the one with the largest live part of its
-    set, of a random half of the list: a class that is linked to any member of a group
-    of near copies is as a rule linked to such a one.
+    A list has LEADERS leaders, each the most central member, the one with the largest
+    live part of its set, of a random half of the list: a class that is linked to any
+    member of a group of near copies is as a rule linked to such a one.
     """
     half = lambda k: F.pmod(F.xxhash64("node", F.lit(turn * LEADERS + k)), F.lit(2))
     lots = [F.min(F.struct((half(k) - F.col("live") / F.col("n")).alias("lot"), "node", "n", "comp")) for k in range(LEADERS)]
     leaders = lists.groupBy("v").agg(F.array_distinct(F.array(*lots)).alias("l")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    member = lists.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(leaders, ["v", "salt"])
+    # at most K or a quarter of a set's values are there to choose from
+    mine = lists.groupBy("node", "n", "comp").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("v", F.lit(turn)).alias("lot"), "v"))).alias("vs"))
+    mine = mine.select("node", "n", "comp", F.explode(F.slice("vs", 1, FEW)).alias("e")).select("node", "n", "comp", "e.v")
+    member = mine.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(leaders, ["v", "salt"])
     met = member.select(F.col("node").alias("x"), F.col("n").alias("na"), "comp", F.explode("l").alias("l")).where("x <> l.node AND comp <> l.comp")
     met = met.select(F.least("x", "l.node").alias("a"), F.greatest("x", "l.node").alias("b"), "na", F.col("l.n").alias("nb"))
     return met.where(_alike_in_size("na", "nb")).select("a", "b").distinct()
 
 
-def find(docs: DataFrame) -> DataFrame:
+def _one_text(drawn: DataFrame) -> DataFrame:
+    """drawn with the set of each doc_id's text of the smallest mark, should a doc_id have several texts."""
+    several = drawn.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("mark").alias("m0"), F.max("mark").alias("m1")).where("m0 <> m1")
+    if several.isEmpty():
+        return drawn
+    own = drawn.join(several.select("doc_id", F.col("m0").alias("mark")), ["doc_id", "mark"]).groupBy("doc_id").agg(F.first(F.struct("key1", "key2", F.col("n_shingles").alias("n"), "sketch", "mark")).alias("one"))
+    every = drawn.join(own, "doc_id", "left")
+    of = lambda to, c: F.when(F.col("one").isNotNull(), F.col(f"one.{to}")).otherwise(F.col(c)).alias(c)
+    return scratch(every.select("doc_id", "n_shingles", of("n", "n"), of("key1", "key1"), of("key2", "key2"), of("sketch", "sketch"), of("mark", "mark")))
+
+
+def find(docs: DataFrame, estimate: float = ESTIMATE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): a row for each row of docs."""
-    drawn = scratch(sketches(docs))
-    named = drawn.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    with tidy() as keep:
+        drawn = scratch(sketches(docs))
+        drawn = keep(_one_text(drawn.withColumn("n", F.col("n_shingles"))) if not drawn.isEmpty() else drawn.withColumn("n", F.col("n_shingles")))
+        labels = keep(_labels(docs, drawn, estimate))
+    named = drawn.where("n > 0 AND doc_id IS NOT NULL")
     classes = named.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"))
+    roots = classes.join(labels, F.col("rep") == F.col("node"), "left").select("key1", "key2", F.coalesce("root", "rep").alias("root"))
+    # a class may hold a third of all rows: its root is found by a salted key
+    salted = roots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    by = drawn.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).drop("sketch")
+    by = by.join(salted, ["key1", "key2", "salt"], "left")
+    root = F.when(F.col("n") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
+    out = by.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), root).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _labels(docs: DataFrame, drawn: DataFrame, estimate: float) -> DataFrame:
+    """(node, root) of the classes' smallest doc_ids, for all that are linked with another."""
+    named = drawn.where("n > 0 AND doc_id IS NOT NULL")
+    classes = named.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "mark")).alias("rep")).select("key1", "key2", F.col("rep.doc_id").alias("rep"))
     reps = scratch(
         named.join(classes.withColumnsRenamed({"key1": "k1", "key2": "k2"}), (F.col("key1") == F.col("k1")) & (F.col("key2") == F.col("k2")) & (F.col("doc_id") == F.col("rep")))
-        .select(F.col("rep").alias("node"), F.col("n_shingles").alias("n"), "sketch")
+        .select(F.col("rep").alias("node"), "n", "mark", "sketch")
+        .dropDuplicates(["node"])
     )
     # inverted lists of retained values that at least two classes hold
     entries = reps.select("node", "n", F.explode("sketch").alias("v"))
@@ -233,41 +278,32 @@ def find(docs: DataFrame) -> DataFrame:
     light = lists.where(F.col("held") <= LIGHT).drop("held")
     other = light.select("v", F.col("node").alias("b"), F.col("n").alias("nb"))
     pairs = light.withColumnsRenamed({"node": "a", "n": "na"}).join(other, "v").where("a < b").where(_alike_in_size("na", "nb")).select("a", "b").distinct()
-    pairs = scratch(estimated(pairs, reps))
+    pairs = scratch(estimated(pairs, reps, estimate))
 
     # classes that may have links through longer lists only
-    need = F.greatest(F.lit(1), F.floor(F.least(F.col("n"), F.lit(K)) * ESTIMATE))
+    need = F.greatest(F.lit(1), F.floor(F.least(F.col("n"), F.lit(K)) * estimate))
     heavy = lists.where(F.col("held") > LIGHT).groupBy("node", "n").agg(F.count("*").alias("live")).where(F.col("live") >= need)
     heavy = scratch(heavy.select("node", "live"))
 
     wanted = scratch(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(heavy.select("node")).distinct())
     # a Bloom filter keeps the other texts out of the shuffle
     held = _held_by(Bloom(wanted.select(F.xxhash64("node").alias("key"))))
-    some_docs = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("node IS NOT NULL").where(held(F.xxhash64("node")))
-    texts = scratch(some_docs.join(wanted, "node").dropDuplicates(["node"]))
+    some_docs = docs.select(F.col("doc_id").cast("long").alias("node"), F.xxhash64("text").alias("mark"), "text").where("node IS NOT NULL").where(held(F.xxhash64("node")))
+    chosen = wanted.join(reps.select("node", "mark"), "node")
+    texts = scratch(some_docs.join(chosen, ["node", "mark"]).select("node", "text").dropDuplicates(["node"]))
 
     nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     some = not heavy.isEmpty()
     first = nearest
     if some:
-        # a quarter of the long lists is enough to meet leaders
-        long = lists.where((F.col("held") > LIGHT) & (F.pmod(F.xxhash64("v"), F.lit(4)) == 0)).join(heavy, "node").select("v", "node", F.least("n", F.lit(K)).alias("k"), "n", F.col("node").alias("comp"), "live")
+        long = lists.where(F.col("held") > LIGHT).join(heavy, "node").select("v", "node", F.least("n", F.lit(K)).alias("k"), "n", F.col("node").alias("comp"), "live")
         # of these, live and the set's size are counted on sketches
-        first = first.unionByName(estimated(led(long.withColumn("live", F.col("live") * F.col("n") / F.col("k")), 0), reps))
+        first = first.unionByName(estimated(led(long.withColumn("live", F.col("live") * F.col("n") / F.col("k")), 0), reps, estimate))
     labels = components(verified(first, texts))
     rest = crossing(pairs.join(nearest, ["a", "b"], "left_anti"), labels)
     if some:
-        rest, labels = _rest_of_heavy(reps, texts.join(heavy, "node", "left_semi"), texts, rest, labels)
-    labels = merged(labels, verified(rest, texts))
-
-    roots = classes.join(labels, F.col("rep") == F.col("node"), "left").select("key1", "key2", F.coalesce("root", "rep").alias("root"))
-    # a class may hold a third of all rows: its root is found by a salted key
-    salted = roots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    by = drawn.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).drop("sketch")
-    by = by.join(salted, ["key1", "key2", "salt"], "left")
-    root = F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
-    out = by.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), root).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        rest, labels = _rest_of_heavy(reps, texts.join(heavy, "node", "left_semi"), texts, rest, labels, estimate)
+    return merged(labels, verified(rest, texts))
 
 
 def _held_by(bloom: Bloom):
@@ -292,28 +328,63 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return scratch(old.unionByName(fresh))
 
 
-def _rest_of_heavy(reps: DataFrame, own: DataFrame, texts: DataFrame, rest: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _class_of_size(n: str) -> Column:
+    return F.floor(STEPS * F.log2(n)).cast("int")
+
+
+def met_across(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(v, s, comp, node, n, rest) of the smaller and of the larger members of the pairs that lists may join.
+
+    A pair is met in the size class s of its smaller member (equal ones both ways), and
+    only if what is left of both sets at v can make a link: 7 * rest >= 3 * (n + m).
+    """
+    small = lists.where("7 * rest >= 6 * n").withColumn("s", _class_of_size("n"))
+    top = F.expr("least(n, floor(7 * rest / 3) - n)")
+    large = lists.withColumns({"low": F.expr("(3 * n + 3) div 4"), "top": top}).where("top >= low")
+    large = large.withColumn("s", F.explode(F.sequence(_class_of_size("low"), _class_of_size("top"))))
+    columns = ["v", "s", "comp", "node", "n", "rest"]
+    return small.select(*columns), large.select(*columns)
+
+
+def crossing_count(small: DataFrame, large: DataFrame) -> int:
+    """How many pairs of different components meet, from counts alone."""
+    sides = small.groupBy("v", "s", "comp").agg(F.count("*").alias("i"), F.lit(0).cast("long").alias("p"))
+    sides = sides.unionByName(large.groupBy("v", "s", "comp").agg(F.lit(0).cast("long").alias("i"), F.count("*").alias("p")))
+    each = sides.groupBy("v", "s", "comp").agg(F.sum("i").alias("i"), F.sum("p").alias("p"))
+    made = each.groupBy("v", "s").agg((F.sum("i").cast("double") * F.sum("p") - F.sum(F.col("i").cast("double") * F.col("p"))).alias("x"))
+    return int(made.agg(F.coalesce(F.sum("x"), F.lit(0.0))).first()[0])
+
+
+def crossing_pairs(small: DataFrame, large: DataFrame) -> DataFrame:
+    """(a, b): the pairs of different components that meet; members of one component are never paired."""
+    some = small.select("v", "s", F.col("comp").alias("ca")).distinct().join(large.select("v", "s", F.col("comp").alias("cb")).distinct(), ["v", "s"]).where("ca <> cb")
+    half = some.join(small.withColumnsRenamed({"comp": "ca", "node": "a", "n": "na", "rest": "ra"}), ["v", "s", "ca"])
+    full = half.join(large.withColumnsRenamed({"comp": "cb", "node": "b", "n": "nb", "rest": "rb"}), ["v", "s", "cb"])
+    full = full.where("na <= nb AND 4 * na >= 3 * nb AND 7 * least(ra, rb) >= 3 * (na + nb)")
+    return full.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _rest_of_heavy(reps: DataFrame, own: DataFrame, texts: DataFrame, rest: DataFrame, labels: DataFrame, estimate: float) -> tuple[DataFrame, DataFrame]:
     """The pairs still to be verified, those among classes of long lists included, and the components so far."""
-    own = own.select("node", "text")
-    for turn in range(1, ROUNDS + 1):
-        own, several = pruned(scratch(_current(own, labels, "node").select("node", "text", F.col("comp_node").alias("comp"))))
-        lists = scratch(own.mapInArrow(_listed_through(several), "v long, place long, node long, n long, comp long, live long, before array<long>"))
-        each = lists.groupBy("v", "comp").agg(F.count("*").alias("m"))
-        sums = each.groupBy("v").agg(F.sum("m").alias("m"), F.sum(F.expr("m * m")).alias("q"))
-        total = sums.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.expr("(m * m - q) / 2")), F.lit(0.0)).alias("crossing")).first()
-        if turn == ROUNDS or total["crossing"] <= CROSSING * total["rows"]:
+    own, before, turn = own.select("node", "text"), None, 0
+    while True:
+        turn += 1
+        own, several, rarity = pruned(scratch(_current(own, labels, "node").select("node", "text", F.col("comp_node").alias("comp"))))
+        lists = scratch(own.mapInArrow(_listed_through(several, rarity), "v long, rest long, node long, n long, comp long, live long"))
+        small, large = met_across(lists)
+        left = crossing_count(small, large)
+        # leaders merge groups until few pairs are left, or until they merge no more
+        if left <= CROSSING * lists.count() or (before is not None and 8 * left > 7 * before):
             break
-        labels = merged(labels, verified(estimated(led(lists, turn), reps), texts))
+        before = left
+        labels = merged(labels, verified(estimated(led(lists, turn), reps, estimate), texts))
         own = own.select("node", "text")
-    names = {"node": "b", "n": "nb", "comp": "cb", "live": "lb", "place": "pb", "before": "eb"}
-    met = lists.withColumnsRenamed({"node": "a", "n": "na", "comp": "ca", "live": "la", "place": "pa", "before": "ea"}).join(lists.withColumnsRenamed(names), "v")
-    # at the first value that two linked sets share, all they share is still to come in both;
-    # a pair that shares one of the values before is met there already
-    met = met.where("a < b AND ca <> cb AND NOT arrays_overlap(ea, eb) AND 7 * least(la - pa, lb - pb) >= 3 * (na + nb)").where(_alike_in_size("na", "nb"))
-    return crossing(rest, labels).unionByName(estimated(met.select("a", "b").distinct(), reps)).distinct(), labels
+    met = estimated(crossing_pairs(small, large), reps, estimate)
+    return crossing(rest, labels).unionByName(met).distinct(), labels
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without the members of each component but the smallest doc_id; columns unchanged."""
-    gone = find(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = find(docs).where("NOT kept").select("doc_id").distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("*").alias("row"))
+    return rows.join(gone, "doc_id", "left_anti").select("row.*")

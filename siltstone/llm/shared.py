@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+#: Tables written within each tidy() that is open.
+_OPEN: list[list[DataFrame]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -72,9 +74,33 @@ def scratch(df: DataFrame) -> DataFrame:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     kept = spark.read.schema(df.schema).parquet(path)
     kept._scratch_path = path
+    for made in _OPEN:
+        made.append(kept)
     return kept
 
 
+@contextmanager
+def tidy() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the scratch tables made within when it ends, but those that the tables given to keep() read."""
+    made: list[DataFrame] = []
+    needed: list[DataFrame] = []
+
+    def keep(table: DataFrame) -> DataFrame:
+        needed.append(table)
+        return table
+
+    _OPEN.append(made)
+    try:
+        yield keep
+    finally:
+        _OPEN.remove(made)
+        read = {name.rsplit("/scratch-", 1)[-1].split("/")[0] for table in needed for name in table.inputFiles()}
+        gone = [t for t in made if t._scratch_path.rsplit("/scratch-", 1)[-1] not in read]
+        discard(*gone)
+        for outer in _OPEN:
+            outer[:] = [t for t in outer if all(t is not g for g in gone)]
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes scratch tables that nothing reads any more."""
     for table in tables:
@@ -84,25 +110,33 @@ def discard(*tables: DataFrame) -> None:
 
 
 class Bloom:
-    """A bit set of fixed size over 64-bit keys, built by aggregation in the cluster.
+    """A bit set over 64-bit keys, built by aggregation in the cluster and sized by their number.
 
-    It is at most ``2**bits / 8`` bytes whatever the number of keys, so it may be
-    broadcast. It only spares work: a key that was added always passes, and what
-    passes wrongly is sorted out by the exact join that follows.
+    It has about BITS bits for each key, between 2**FEWEST and 2**MOST bits in all, so
+    it may be broadcast. It only spares work: a key that was added always passes, and
+    what passes wrongly is sorted out by the exact step that follows. With more keys than
+    2**MOST / BITS more pass wrongly; then that step's work is still in proportion to the
+    input.
     """
 
-    def __init__(self, keys: DataFrame, bits: int = 26):
+    BITS, FEWEST, MOST = 12, 20, 28
+
+    def __init__(self, keys: DataFrame):
         """keys: one long column named key."""
+        spark = keys.sparkSession
+        if not hasattr(keys, "_scratch_path"):
+            keys = scratch(keys)
+        bits = min(self.MOST, max(self.FEWEST, (self.BITS * keys.count()).bit_length()))
         mask = (1 << bits) - 1
         spots = keys.select(
             F.explode(F.array(F.col("key").bitwiseAND(mask), F.shiftrightunsigned("key", 32).bitwiseAND(mask))).alias("spot")
         )
         words = spots.groupBy(F.shiftright("spot", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(spot & 63 AS INT))")).alias("set"))
-        with frugal(keys.sparkSession):
+        with frugal(spark):
             words = words.toArrow()
         cells = np.zeros(max(1, (1 << bits) >> 6), np.uint64)
         cells[words["word"].to_numpy()] = words["set"].to_numpy().view(np.uint64)
-        self.mask, self.cells = mask, keys.sparkSession.sparkContext.broadcast(cells)
+        self.mask, self.cells = mask, spark.sparkContext.broadcast(cells)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         """A boolean for each key (int64 or uint64 array)."""
@@ -113,6 +147,30 @@ class Bloom:
         return out
 
 
+class Levels:
+    """How often 64-bit keys occur, in quarters of powers of two, in a table of at most 2**BITS bytes.
+
+    Keys that share a cell get the larger level, so it serves to put keys in one order
+    everywhere, the rare ones first as a rule.
+    """
+
+    BITS = 22
+
+    def __init__(self, counts: DataFrame, count: str):
+        """counts: a long column named key and how often the key occurs."""
+        cell = F.shiftrightunsigned("key", 8).bitwiseAND((1 << self.BITS) - 1).cast("int")
+        level = F.floor(4 * F.log2(F.col(count))).cast("int")
+        found = counts.groupBy(cell.alias("cell")).agg(F.max(level).cast("byte").alias("level"))
+        with frugal(counts.sparkSession):
+            found = found.toArrow()
+        cells = np.zeros(1 << self.BITS, np.uint8)
+        cells[found["cell"].to_numpy()] = found["level"].to_numpy()
+        self.cells = counts.sparkSession.sparkContext.broadcast(cells)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        return self.cells.value[keys.view(np.uint64) >> np.uint64(8) & np.uint64((1 << self.BITS) - 1)]
+
+
 def _forest(batches):
     """A spanning forest of a partition's edges, each node with the smallest node it reaches there."""
     parent: dict[int, int] = {}

@@ -71,3 +71,48 @@ def test_repeated_rows_and_extra_columns(spark):
 def test_empty_table(empty_docs):
     assert near_dedup.find(empty_docs).count() == 0
     assert near_dedup.keep_one(empty_docs).columns == empty_docs.columns
+
+
+def test_groups_of_near_copies_and_templates_make_few_pairs(make_docs, monkeypatch):
+    rng = random.Random(8)
+    base, template = prose(rng, 120), prose(rng, 100)
+    rows = [(k, changed(rng, base, rng.randrange(1, 8))) for k in range(500)]
+    rows += [(1000 + k, template + " " + prose(rng, 24 + k % 3)) for k in range(300)]
+    met = []
+    whole = near_dedup.crossing_pairs
+    monkeypatch.setattr(near_dedup, "crossing_pairs", lambda small, large: met.append(whole(small, large).count()) or whole(small, large))
+    check(make_docs(rows), rows)
+    assert met and met[0] <= 4 * len(rows)
+
+
+def test_the_estimate_loses_no_link_at_the_threshold(make_docs):
+    rng = random.Random(12)
+    rows = []
+    for k in range(200):
+        # 6 of 42 shared words changed at the ends: 36 shingles of 48 in all
+        w = prose(rng, 52, 10**6).split()
+        rows += [(2 * k, " ".join(w[:46])), (2 * k + 1, " ".join(w[6:]))]
+    docs = make_docs(rows)
+    sets = brute(rows)
+    assert sum(sets[2 * k + 1][1] == 2 * k for k in range(200)) == 200
+    check(docs, rows)
+    got = {r.doc_id: r.component_id for r in near_dedup.find(docs, estimate=0.0).collect()}
+    assert got == {i: c for i, (_, c) in sets.items()}
+
+
+def test_one_id_with_several_texts_is_one_document(make_docs):
+    rng = random.Random(4)
+    x, y = prose(rng, 40), prose(rng, 40)
+    out = near_dedup.find(make_docs([(7, x), (7, y), (9, x), (11, y), (13, "alone here")])).collect()
+    of = {}
+    for r in out:
+        of.setdefault(r.doc_id, set()).add(r.component_id)
+    assert all(len(c) == 1 for c in of.values()) and of[7] == {7} and of[13] == {13}
+    assert sorted([of[9], of[11]], key=min) == [{7}, {11}] or sorted([of[9], of[11]], key=min) == [{7}, {9}]
+
+
+def test_very_long_texts(make_docs):
+    rng = random.Random(6)
+    long = prose(rng, 150_000, 10**6)
+    rows = [(1, long), (2, long + " end"), (3, changed(rng, long, 9000)), (4, prose(rng, 150_000, 10**6)), (5, "x" * 2_000_000)]
+    check(make_docs(rows), rows)
