@@ -57,7 +57,7 @@ LIGHT = 48
 #: A pair goes if the union's sketch shares less than this part; 0.75 is expected of a linked one.
 ESTIMATE = 0.31
 LEADERS = 4
-#: Lists of its own whose leaders a class meets in a turn.
+#: Values of its own whose leaders a class meets in a turn.
 FEW = 3
 PRUNINGS = 2
 #: Crossing pairs for each listed value up to which all are verified at once.
@@ -126,8 +126,9 @@ def _each(column: pa.Array):
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that are links, by exact similarity of their whole texts (node, text)."""
-    half = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    full = half.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    # whole texts are never broadcast
+    half = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
+    full = half.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
     return full.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
 
 
@@ -214,21 +215,28 @@ def pruned(classes: DataFrame) -> tuple[DataFrame, Bloom, Levels]:
     return classes, several, Levels(shared, "m")
 
 
-def led(lists: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each member of lists (v, node, n, comp, live) with the leaders of FEW of its lists, unless in one component or too unlike in size.
+def picked(lists: DataFrame, turn: int) -> DataFrame:
+    """The rows of lists (v, node, n, comp, live) for FEW values of each class, the first in an order of values drawn for the turn.
 
-    A list has LEADERS leaders, each the most central member, the one with the largest
-    live part of its set, of a random half of the list: a class that is linked to any
-    member of a group of near copies is as a rule linked to such a one.
+    The order is the same for all, so classes that share most of their values pick the same.
+    """
+    few = F.slice(F.sort_array(F.collect_list(F.struct(F.xxhash64("v", F.lit(turn)).alias("lot"), "v"))), 1, FEW)
+    # a class has at most K listed values or the places of its set's first quarter
+    return lists.groupBy("node", "n", "comp", "live").agg(few.alias("e")).select("node", "n", "comp", "live", F.explode("e.v").alias("v"))
+
+
+def led(picks: DataFrame, turn: int) -> DataFrame:
+    """(a, b): the members of picks (v, node, n, comp, live) with the leaders of their values, unless in one component or too unlike in size.
+
+    A value has LEADERS leaders, each the most central member, the one with the largest
+    live part of its set, of a random half of those who picked it: a class that is linked
+    to any member of a group of near copies is as a rule linked to such a one.
     """
     half = lambda k: F.pmod(F.xxhash64("node", F.lit(turn * LEADERS + k)), F.lit(2))
     lots = [F.min(F.struct((half(k) - F.col("live") / F.col("n")).alias("lot"), "node", "n", "comp")) for k in range(LEADERS)]
-    leaders = lists.groupBy("v").agg(F.array_distinct(F.array(*lots)).alias("l")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    # at most K or a quarter of a set's values are there to choose from
-    mine = lists.groupBy("node", "n", "comp").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("v", F.lit(turn)).alias("lot"), "v"))).alias("vs"))
-    mine = mine.select("node", "n", "comp", F.explode(F.slice("vs", 1, FEW)).alias("e")).select("node", "n", "comp", "e.v")
-    member = mine.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(leaders, ["v", "salt"])
-    met = member.select(F.col("node").alias("x"), F.col("n").alias("na"), "comp", F.explode("l").alias("l")).where("x <> l.node AND comp <> l.comp")
+    leaders = picks.groupBy("v").agg(F.array_distinct(F.array(*lots)).alias("l")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    member = picks.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(leaders, ["v", "salt"])
+    met = member.select(F.col("node").alias("x"), F.col("n").alias("na"), F.col("comp").alias("c"), F.explode("l").alias("l")).where("x <> l.node AND c <> l.comp")
     met = met.select(F.least("x", "l.node").alias("a"), F.greatest("x", "l.node").alias("b"), "na", F.col("l.n").alias("nb"))
     return met.where(_alike_in_size("na", "nb")).select("a", "b").distinct()
 
@@ -282,8 +290,10 @@ def _labels(docs: DataFrame, drawn: DataFrame, estimate: float) -> DataFrame:
 
     # classes that may have links through longer lists only
     need = F.greatest(F.lit(1), F.floor(F.least(F.col("n"), F.lit(K)) * estimate))
-    heavy = lists.where(F.col("held") > LIGHT).groupBy("node", "n").agg(F.count("*").alias("live")).where(F.col("live") >= need)
-    heavy = scratch(heavy.select("node", "live"))
+    order = F.sort_array(F.collect_list(F.struct(F.xxhash64("v", F.lit(0)).alias("lot"), "v")))
+    heavy = lists.where(F.col("held") > LIGHT).groupBy("node", "n").agg(F.count("*").alias("live"), order.alias("vs")).where(F.col("live") >= need)
+    # of these, live and the set's size are counted on sketches
+    heavy = scratch(heavy.select("node", "n", F.col("node").alias("comp"), (F.col("live") * F.col("n") / F.least("n", F.lit(K))).alias("live"), F.slice("vs.v", 1, FEW).alias("vs")))
 
     wanted = scratch(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(heavy.select("node")).distinct())
     # a Bloom filter keeps the other texts out of the shuffle
@@ -296,9 +306,8 @@ def _labels(docs: DataFrame, drawn: DataFrame, estimate: float) -> DataFrame:
     some = not heavy.isEmpty()
     first = nearest
     if some:
-        long = lists.where(F.col("held") > LIGHT).join(heavy, "node").select("v", "node", F.least("n", F.lit(K)).alias("k"), "n", F.col("node").alias("comp"), "live")
-        # of these, live and the set's size are counted on sketches
-        first = first.unionByName(estimated(led(long.withColumn("live", F.col("live") * F.col("n") / F.col("k")), 0), reps, estimate))
+        picks = scratch(heavy.select("node", "n", "comp", "live", F.explode("vs").alias("v")))
+        first = first.unionByName(estimated(led(picks, 0), reps, estimate))
     labels = components(verified(first, texts))
     rest = crossing(pairs.join(nearest, ["a", "b"], "left_anti"), labels)
     if some:
@@ -357,9 +366,11 @@ def crossing_count(small: DataFrame, large: DataFrame) -> int:
 
 def crossing_pairs(small: DataFrame, large: DataFrame) -> DataFrame:
     """(a, b): the pairs of different components that meet; members of one component are never paired."""
-    some = small.select("v", "s", F.col("comp").alias("ca")).distinct().join(large.select("v", "s", F.col("comp").alias("cb")).distinct(), ["v", "s"]).where("ca <> cb")
-    half = some.join(small.withColumnsRenamed({"comp": "ca", "node": "a", "n": "na", "rest": "ra"}), ["v", "s", "ca"])
-    full = half.join(large.withColumnsRenamed({"comp": "cb", "node": "b", "n": "nb", "rest": "rb"}), ["v", "s", "cb"])
+    # exploded rows look small to the planner; none of these sides is broadcast
+    ours, theirs = (side.select("v", "s", F.col("comp").alias(c)).distinct() for side, c in ((small, "ca"), (large, "cb")))
+    some = ours.join(theirs.hint("merge"), ["v", "s"]).where("ca <> cb")
+    half = some.join(small.withColumnsRenamed({"comp": "ca", "node": "a", "n": "na", "rest": "ra"}).hint("merge"), ["v", "s", "ca"])
+    full = half.join(large.withColumnsRenamed({"comp": "cb", "node": "b", "n": "nb", "rest": "rb"}).hint("merge"), ["v", "s", "cb"])
     full = full.where("na <= nb AND 4 * na >= 3 * nb AND 7 * least(ra, rb) >= 3 * (na + nb)")
     return full.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -377,7 +388,7 @@ def _rest_of_heavy(reps: DataFrame, own: DataFrame, texts: DataFrame, rest: Data
         if left <= CROSSING * lists.count() or (before is not None and 8 * left > 7 * before):
             break
         before = left
-        labels = merged(labels, verified(estimated(led(lists, turn), reps, estimate), texts))
+        labels = merged(labels, verified(estimated(led(scratch(picked(lists, turn)), turn), reps, estimate), texts))
         own = own.select("node", "text")
     met = estimated(crossing_pairs(small, large), reps, estimate)
     return crossing(rest, labels).unionByName(met).distinct(), labels

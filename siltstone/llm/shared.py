@@ -14,8 +14,10 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 _OWN: dict[str, str] = {}
 #: Tables written within each tidy() that is open.
@@ -101,6 +103,29 @@ def tidy() -> Iterator[Callable[[DataFrame], DataFrame]]:
             outer[:] = [t for t in outer if all(t is not g for g in gone)]
 
 
+def shipped(spark: SparkSession, path: str) -> Broadcast:
+    """A vocabulary file of the driver, some megabytes, for all executors: none of them needs the path."""
+    with open(path, encoding="utf-8") as file:
+        return spark.sparkContext.broadcast((path, file.read()))
+
+
+def columns_of(row: str, columns: list[str], **changed: Column) -> list[Column]:
+    """The columns of a struct that carries whole rows, some changed: carried so, no name of theirs can clash with one beside them."""
+    return [(changed[c] if c in changed else F.col(row).getField(c)).alias(c) for c in columns]
+
+
+def named(column: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def rest_of(docs: DataFrame, *without: str) -> tuple[Column, StructField]:
+    """The columns of docs but some as one struct named row, and its field: so they go through Python whatever their names."""
+    fields = [f for f in docs.schema if f.name not in without]
+    row = F.struct(*[named(f.name).alias(f.name) for f in fields]) if fields else F.struct(F.lit(None).cast("int").alias("none"))
+    return row.alias("row"), StructField("row", StructType(fields or [StructField("none", IntegerType())]))
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes scratch tables that nothing reads any more."""
     for table in tables:
