@@ -14,8 +14,11 @@ pattern here; all others, and those that hold a special token's string, by the
 library's own normalizer and splitter. The result equals the library's encode()
 without special tokens added, and its decode() with special tokens kept.
 
-Cases: null and empty texts have no ids and decode to the empty string; repeated
-rows are encoded alike; extra columns pass through unchanged.
+Cases: null and empty texts have no ids and decode to the empty string; texts of any
+length are encoded whole, and long words merged by a heap; words of equal count go into
+the automaton in their own order, which changes no ids; repeated rows are encoded alike;
+an empty table gives an empty one; extra columns pass through unchanged, but those named
+ids or decoded are replaced.
 """
 
 from __future__ import annotations
@@ -26,16 +29,16 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
+from pyspark import Broadcast, SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 from tokenizers import Tokenizer
 
-from siltstone.llm.shared import scratch_root, small_batches
+from siltstone.llm.shared import columns_of, rest_of, scratch_root, shipped, small_batches
 from siltstone.llm.texts import LETTERS, NUMBERS, PLAIN
 
 #: Words in the automaton, and the bytes of one: with these its size has a bound.
@@ -59,10 +62,10 @@ def byte_characters() -> dict[int, str]:
 class Vocabulary:
     """Splits texts into words and merges words exactly."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
-        self.library = Tokenizer.from_file(path)
+    def __init__(self, file: str):
+        """file: the whole JSON text."""
+        model = json.loads(file)["model"]
+        self.library = Tokenizer.from_str(file)
         ids, suffix = model["vocab"], model["end_of_word_suffix"] or ""
         shown = byte_characters()
         self.bytes = {c: b for b, c in shown.items()}
@@ -265,22 +268,36 @@ class Coder:
                 self.known[w] = np.array([w], "<u4").tobytes()
 
 
-@lru_cache(maxsize=1)
-def _coder(path: str, name: str) -> Coder:
-    """One for each worker process, so that tasks after the first know its words."""
-    return Coder(vocabulary(path), Lexicon.mapped(SparkFiles.get(name)))
+#: Of each worker process: what was read last, so that tasks after the first find it, and words it knows.
+_READ: dict[str, Vocabulary] = {}
+_CODERS: dict[str, Coder] = {}
 
 
-@lru_cache(maxsize=2)
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+def read(path: str) -> Vocabulary:
+    with open(path, encoding="utf-8") as file:
+        return Vocabulary(file.read())
 
 
-def word_counts(docs: DataFrame, path: str) -> DataFrame:
+def _vocabulary(vocabulary: Broadcast) -> Vocabulary:
+    path, file = vocabulary.value
+    if path not in _READ:
+        _READ.clear()
+        _READ[path] = Vocabulary(file)
+    return _READ[path]
+
+
+def _coder(vocabulary: Broadcast, name: str) -> Coder:
+    if name not in _CODERS:
+        _CODERS.clear()
+        _CODERS[name] = Coder(_vocabulary(vocabulary), Lexicon.mapped(SparkFiles.get(name)))
+    return _CODERS[name]
+
+
+def word_counts(docs: DataFrame, vocabulary: Broadcast) -> DataFrame:
     """(word, count) over all texts, for words of at most LONGEST bytes; tasks count before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, counts = vocabulary(path).split, Counter()
+        split, counts = _vocabulary(vocabulary).split, Counter()
 
         def flush() -> pa.RecordBatch:
             rows = [(w, n) for w, n in counts.items() if isinstance(w, str) and len(w) <= LONGEST and len(w.encode("utf-8")) <= LONGEST]
@@ -301,8 +318,8 @@ def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON) -> str:
     """Compiles the most frequent words of docs and hands the file to all executors; its name there."""
     spark = docs.sparkSession
     small_batches(spark)
-    top = word_counts(docs, path).orderBy(F.desc("count"), "word").limit(size).toArrow()
-    merge = vocabulary(path).merge
+    top = word_counts(docs, shipped(spark, path)).orderBy(F.desc("count"), "word").limit(size).toArrow()
+    merge = read(path).merge
     raw = compile_lexicon({w: merge(w) for w in top["word"].to_pylist()})
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     jvm = spark.sparkContext._jvm
@@ -319,13 +336,14 @@ def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON) -> str:
 def encode_decode(docs: DataFrame, path: str, size: int = LEXICON) -> DataFrame:
     """docs with ids array<int> and decoded string for its column text."""
     name = build_lexicon(docs, path, size)
-    plain = [f for f in docs.schema if f.name not in ("ids", "decoded")]
-    shape = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in plain] + ["ids array<int>", "decoded string"])
+    vocabulary = shipped(docs.sparkSession, path)
+    row, field = rest_of(docs, "text", "ids", "decoded")
+    shape = StructType([field, StructField("text", StringType()), StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, coder = vocabulary(path), _coder(path, name)
+        words, coder = _vocabulary(vocabulary), _coder(vocabulary, name)
         for batch in batches:
-            texts = batch.column(batch.schema.names.index("text"))
+            texts = batch.column(1)
             for lo in range(0, len(texts), 1000):
                 part = batch.slice(lo, 1000)
                 coded = [np.frombuffer(x, "<u4") for x in coder.encode([t or "" for t in texts.slice(lo, 1000).to_pylist()])]
@@ -334,4 +352,5 @@ def encode_decode(docs: DataFrame, path: str, size: int = LEXICON) -> DataFrame:
                 decoded = pa.array([words.decode(x.tolist()) for x in coded], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, ids, decoded], names=[*part.schema.names, "ids", "decoded"])
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in plain]).mapInArrow(run, shape)
+    coded = docs.select(row, "text").mapInArrow(run, shape)
+    return coded.select(*columns_of("row", [c for c in docs.columns if c not in ("ids", "decoded")], text=F.col("text")), "ids", "decoded")

@@ -7,10 +7,15 @@ dot-product heuristic picks what goes into the open sequence: of the waiting pie
 that fit, the one whose demand vector (tokens, segments, loss-bearing tokens, each
 as a part of its limit) has the largest dot product with what is left of the limits.
 If none fits whole, the one with the largest product is cut to fit. A sequence is
-closed when it is full or one of the other limits is reached; then, to keep padding
+closed when it is full or nothing that waits fits any more; then, to keep padding
 low, its rest is cut off at the largest power of two (a sequence of such a length
 needs no padding) and waits for the next one.
 
+Loss-bearing ids are those at a document's end: as many as a column loss_tokens says, or,
+without one (documents have none), all but the first `prompt` of a document's ids, as if
+it began with its prompt. A document too long for one sequence is cut between the two
+first, so that a sequence takes ids of both kinds and all limits can be used up.
+
 How it runs: each partition of the input packs its own documents in one pass, so
 nothing is shuffled and the work of a lost executor is done again alike. Waiting
 pieces are bounded by WAITING, the rest is packed in the order of the input; at a
@@ -20,10 +25,11 @@ Sequence ids are the partition's number, shifted, and a counter.
 Ids come from a byte-level BPE vocabulary, a JSON file of the tokenizers library; the
 result equals that library's for every text.
 
-Cases: null and empty texts are the end id alone; loss-bearing ids are all ids of a
-document unless a column named loss_tokens gives how many at its end bear loss;
-repeated rows are packed like any others; extra columns are ignored; the last
-sequences of an empty table are none.
+Cases: null and empty texts are the end id alone; a null loss_tokens is as if the column
+were missing, one below 0 or above the document's ids is the nearest of these; very long
+texts are encoded whole and their pieces wait like others; pieces of equal product go in
+the order in which they wait; repeated rows are packed like any others; extra columns,
+whatever their names, are ignored; an empty table has no sequences.
 """
 
 from __future__ import annotations
@@ -31,24 +37,28 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from siltstone.llm.bpe import byte_characters
-from siltstone.llm.shared import small_batches
+from siltstone.llm.shared import shipped, small_batches
 from siltstone.llm.texts import PLAIN
 
 TOKENS = 1024
 SEGMENTS = 64
+LOSS = 960
+PROMPT = 0.25
 END = 0
-WAITING = 64
+WAITING = 128
+#: Bytes of ids that wait; a longer document is packed at once.
+HELD = 1 << 20
 #: What the vocabulary's words are made of, a fixed pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHAPE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -62,10 +72,9 @@ class Encoder:
     token's string, through the library itself.
     """
 
-    def __init__(self, path: str):
-        self.path = path
-        with open(path, encoding="utf-8") as file:
-            read = json.load(file)
+    def __init__(self, file: str):
+        """file: the whole JSON text."""
+        self.file, read = file, json.loads(file)
         model, self.special = read["model"], [t["content"] for t in read["added_tokens"]]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         ids = [model["vocab"][a + b] for a, b in pairs]
@@ -80,7 +89,7 @@ class Encoder:
     def tokenizer(self) -> Tokenizer:
         """The library's, read when a text needs it."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        tokenizer = Tokenizer.from_file(self.path)
+        tokenizer = Tokenizer.from_str(self.file)
         tokenizer.no_padding()
         tokenizer.no_truncation()
         return tokenizer
@@ -96,10 +105,22 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-@lru_cache(maxsize=1)
-def _encoder(path: str) -> Encoder:
-    """One for each worker process."""
-    return Encoder(path)
+    @classmethod
+    def read(cls, path: str) -> Encoder:
+        with open(path, encoding="utf-8") as file:
+            return cls(file.read())
+
+
+#: Of each worker process: what was read last, so that tasks after the first find it.
+_READ: dict[str, Encoder] = {}
+
+
+def _encoder(vocabulary: Broadcast) -> Encoder:
+    path, file = vocabulary.value
+    if path not in _READ:
+        _READ.clear()
+        _READ[path] = Encoder(file)
+    return _READ[path]
 
 
 class Packer:
@@ -139,13 +160,13 @@ class Packer:
         self.left = self.left - self.need(piece)
 
     def add(self, piece: tuple) -> None:
-        while len(piece[2]) // 4 >= self.limits[0] and not self.open and self.room(piece) == self.limits[0]:
-            head, piece = self.cut(piece, int(self.limits[0]))
-            self.place(head)
-            self.close()
-        if piece[2]:
+        doc, start, ids, whole, bears = piece
+        n = len(ids) // 4
+        if n > self.limits[0] and start < bears < start + n:
+            self.waiting += self.cut(piece, bears - start)
+        else:
             self.waiting.append(piece)
-        while len(self.waiting) > WAITING:
+        while len(self.waiting) > WAITING or sum(len(p[2]) for p in self.waiting) > HELD:
             self.fill()
 
     def fill(self) -> None:
@@ -211,16 +232,17 @@ class Packer:
         )
 
 
-def pack(docs: DataFrame, path: str, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int | None = None, end: int = END) -> DataFrame:
-    """The pieces of docs (doc_id, text): where each is in its document and in its sequence, with its ids."""
+def pack(docs: DataFrame, path: str, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int | None = None, prompt: float = PROMPT, end: int = END) -> DataFrame:
+    """The pieces of docs (doc_id, text): where each is in its document and in its sequence, with its ids; loss is by default tokens * LOSS / TOKENS."""
     small_batches(docs.sparkSession)
-    most = tokens if loss is None else loss
-    if min(tokens, segments, most) < 1:
-        raise ValueError("every limit must be at least 1")
+    most = max(1, tokens * LOSS // TOKENS) if loss is None else loss
+    if min(tokens, segments, most) < 1 or not 0 <= prompt <= 1:
+        raise ValueError("every limit must be at least 1, and prompt a part")
     tail = np.array([end], "<u4").tobytes()
+    vocabulary = shipped(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        encoder = _encoder(vocabulary)
         packer = Packer(TaskContext.get().partitionId() << 40, tokens, segments, most)
         rows = (batch.slice(lo, 500) for batch in batches for lo in range(0, len(batch), 500))
         for part in rows:
@@ -228,7 +250,7 @@ def pack(docs: DataFrame, path: str, tokens: int = TOKENS, segments: int = SEGME
             for doc, ids, bearing in zip(part.column(0).to_pylist(), coded, part.column(2).to_pylist(), strict=True):
                 ids += tail
                 n = len(ids) // 4
-                packer.add((doc, 0, ids, n, 0 if bearing is None else n - max(0, min(n, bearing))))
+                packer.add((doc, 0, ids, n, int(n * prompt) if bearing is None else n - max(0, min(n, bearing))))
                 if len(packer.placed) > 2000:
                     yield packer.take()
         packer.finish()

@@ -3,15 +3,16 @@ import random
 import numpy as np
 import pytest
 
+import public_tokenizers
 from siltstone.llm import bpe
 from tests.llm.conftest import prose
 
-PATH = "/opt/tokenizers/word_bpe_49k.json"
+PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
 @pytest.fixture(scope="module")
 def words():
-    return bpe.Vocabulary(PATH)
+    return bpe.read(PATH)
 
 
 def test_merges_and_decoding_equal_the_library(words):
@@ -57,3 +58,14 @@ def test_documents(make_docs, empty_docs, words):
         assert r.ids == words.library.encode(r.text or "", add_special_tokens=False).ids
         assert r.decoded == words.library.decode(r.ids, skip_special_tokens=False)
     assert bpe.encode_decode(empty_docs, PATH).count() == 0
+
+
+def test_very_long_texts_and_clashing_columns(make_docs, words):
+    rng = random.Random(6)
+    rows = [(1, prose(rng, 100_000, 10**6)), (2, "z" * 50_000), (2, "z" * 50_000), (3, "a b " * 20_000)]
+    docs = make_docs(rows).selectExpr("*", "1 AS decoded", "'k' AS word", "3 AS `count`", "4 AS `x.y`")
+    out = bpe.encode_decode(docs, PATH, size=100).collect()
+    for r, (i, text) in zip(sorted(out, key=lambda r: r.doc_id), rows, strict=True):
+        assert r.doc_id == i and r["x.y"] == 4 and r.word == "k" and r["count"] == 3
+        assert r.ids == words.library.encode(text, add_special_tokens=False).ids
+        assert r.decoded == words.library.decode(r.ids, skip_special_tokens=False)
