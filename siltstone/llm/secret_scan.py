@@ -2,20 +2,27 @@
 
 Patterns propose candidates in the whole text. A random forest decides on each from
 its length, characters and their transitions, how far dictionary words cover it, the
-path it stands in and the words beside it. The forest is trained from labelled
-findings (candidate, before, after, path, label); those of labelled_findings(), made
-by a seeded generator from formats of keys and of harmless look-alikes, are the
-default. At most SAMPLE findings are used, in the order given.
-
-How it runs: the forest is some hundred kilobytes, bounded by TREES and DEPTH, and is
-broadcast; scanning and redacting are one pass over the input without a shuffle.
-
-Cases: null and empty texts have no candidates; the forest judges the candidates of all
-patterns, also of those within others; secrets that overlap are one finding from the
-first character to the last, with kind and score of the earliest, then longest; of
-harmless candidates those that overlap no secret are left, the earlier, then the longer
-one; repeated rows are scanned each; extra columns pass
-through redact() unchanged, and a column named path, if there is one, is a feature.
+path it stands in and the words beside it. The dictionary is the fixed list WORDS and the
+LEXICON words that most documents of the corpus hold; transitions are counted on it. The
+path is the document's, from a column path, or else the last path or file name in the
+AROUND characters before the candidate. The forest is trained from labelled findings
+(candidate, before, after, path, label); those of labelled_findings(), made by a seeded
+generator from formats of keys and of harmless look-alikes, are the default. At most
+SAMPLE findings are used, in the order given.
+
+How it runs: the corpus' words are counted once, combined before the shuffle; the
+detector is some megabytes, bounded by TREES, DEPTH and LEXICON, and is broadcast;
+scanning and redacting are one pass over the input without a shuffle.
+
+Cases: null and empty texts have no candidates; texts and candidates of any length are
+scanned and measured whole; the forest judges the candidates of all patterns, also of
+those within others; secrets that overlap are one finding from the first character to the
+last, with kind and score of the earliest, then longest; of harmless candidates those that
+overlap no secret are left, the earlier, then the longer one; words that equally many
+documents hold go into the dictionary in their own order; repeated rows are scanned each;
+an empty table has no findings, and WORDS alone for a dictionary; extra columns,
+whatever their names, pass through redact() unchanged, and a column named path, if there
+is one, is a feature.
 """
 
 from __future__ import annotations
@@ -23,19 +30,24 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from siltstone.llm.shared import small_batches
+from siltstone.llm.shared import columns_of, rest_of, small_batches
 
 SAMPLE = 20_000
 TREES, DEPTH, LEAF, BINS = 40, 9, 4, 32
 THRESHOLD = 0.5
 NEAR = 48
+#: Characters before a candidate in which a path is looked for, and words counted from the corpus.
+AROUND = 300
+LEXICON = 20_000
 MASK = "[SECRET]"
 
 #: What the candidates of two patterns begin with or stand behind; a candidate may hold it again.
@@ -75,36 +87,51 @@ WORDS = (
 
 _FINDERS = {k: re.compile(p) for k, p in PATTERNS.items()}
 _HEADS = {k: re.compile(p) for k, p in HEADS.items()}
-_LEXICON = frozenset(w for w in WORDS if len(w) >= 4)
-_LONGEST = max(map(len, _LEXICON))
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-
-
-def _transition_model() -> np.ndarray:
-    """log P(next letter | letter) over a-z, from the dictionary's words."""
-    table = np.full((26, 26), 0.5)
-    for w in WORDS:
-        codes = [ord(c) - 97 for c in w]
-        for a, b in zip(codes, codes[1:], strict=False):
-            table[a, b] += 1
-    return np.log(table / table.sum(axis=1, keepdims=True))
-
-
-_TRANSITIONS = _transition_model()
-
-
-def coverage(candidate: str) -> float:
-    """The part of the characters that dictionary words cover, found greedily from the left, longest first."""
-    low, k, covered = candidate.lower(), 0, 0
-    while k < len(low):
-        for n in range(min(_LONGEST, len(low) - k), 3, -1):
-            if low[k : k + n] in _LEXICON:
-                covered += n
-                k += n
-                break
-        else:
-            k += 1
-    return covered / max(1, len(low))
+_PATH = re.compile(r"[A-Za-z0-9_.\-]*(?:[/\\][A-Za-z0-9_.\-]+)+|[A-Za-z0-9_\-]+\.(?:py|js|ts|java|go|rb|json|ya?ml|toml|ini|cfg|conf|env|md|txt|sh|xml|html?)\b")
+
+
+class Dictionary:
+    """Words, and log P(next letter | letter) over a-z among them."""
+
+    def __init__(self, words: Iterable[str]):
+        every = sorted({*WORDS, *words})
+        self.words = frozenset(w for w in every if len(w) >= 4)
+        self.longest = max(map(len, self.words))
+        table = np.full((26, 26), 0.5)
+        for w in every:
+            codes = [ord(c) - 97 for c in w]
+            for a, b in zip(codes, codes[1:], strict=False):
+                table[a, b] += 1
+        self.transitions = np.log(table / table.sum(axis=1, keepdims=True))
+
+    def coverage(self, candidate: str) -> float:
+        """The part of the characters that words cover, found greedily from the left, longest first."""
+        low, k, covered = candidate.lower(), 0, 0
+        while k < len(low):
+            for n in range(min(self.longest, len(low) - k), 3, -1):
+                if low[k : k + n] in self.words:
+                    covered += n
+                    k += n
+                    break
+            else:
+                k += 1
+        return covered / max(1, len(low))
+
+
+def corpus_words(docs: DataFrame, n: int = LEXICON) -> list[str]:
+    """The n runs of 4 to 16 letters a-z that most documents hold, lower-cased, ties in their own order."""
+    found = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(?<![\p{L}\p{N}])([a-z]{4,16})(?![\p{L}\p{N}])"), F.lit(1))
+    counted = docs.select(F.explode(F.array_distinct(found)).alias("word")).groupBy("word").agg(F.count("*").alias("docs")).where("docs > 1")
+    return [r.word for r in counted.orderBy(F.desc("docs"), "word").limit(n).collect()]
+
+
+def nearest_path(before: str) -> str:
+    """The last path or file name in the characters before a candidate."""
+    found = ""
+    for m in _PATH.finditer(before):
+        found = m.group()
+    return found
 
 
 def _beside(text: str, words: list[str]) -> float:
@@ -112,14 +139,14 @@ def _beside(text: str, words: list[str]) -> float:
     return float(any(w in low for w in words) or any(len(w) > 4 and any(w in x for x in low) for w in words))
 
 
-def features(candidate: str, before: str, after: str, path: str, kind: str) -> list[float]:
+def features(candidate: str, before: str, after: str, path: str, kind: str, known: Dictionary) -> list[float]:
     """What the forest sees of a candidate."""
     c = candidate
     n = max(1, len(c))
     classes = ["d" if x.isdigit() else "u" if x.isupper() else "l" if x.islower() else "s" for x in c]
     counts = Counter(c)
     letters = [ord(x) - 97 for x in c.lower() if "a" <= x <= "z"]
-    pairs = [_TRANSITIONS[a, b] for a, b in zip(letters, letters[1:], strict=False)]
+    pairs = [known.transitions[a, b] for a, b in zip(letters, letters[1:], strict=False)]
     run = best = 1
     for a, b in zip(c, c[1:], strict=False):
         run = run + 1 if a == b or ord(b) == ord(a) + 1 else 1
@@ -132,7 +159,7 @@ def features(candidate: str, before: str, after: str, path: str, kind: str) -> l
         -sum(v / n * math.log2(v / n) for v in counts.values()),
         len(counts) / n,
         sum(pairs) / len(pairs) if pairs else -5.0,
-        coverage(c),
+        known.coverage(c),
         float(all(x in "0123456789abcdefABCDEF" for x in c)), float(len(c) in (32, 40, 64)),
         float(bool(_UUID.fullmatch(c))),
         best / n,
@@ -202,35 +229,36 @@ class Forest:
         return total / max(1, len(self.trees))
 
 
-def labelled_findings(n: int = 6000) -> list[tuple[str, str, str, str, int]]:
-    """(candidate, before, after, path, label): half keys of many formats, half look-alikes."""
+def labelled_findings(n: int = 6000, extra: Sequence[str] = ()) -> list[tuple[str, str, str, str, int]]:
+    """(candidate, before, after, path, label): half keys of many formats, half look-alikes; extra words stand among those of WORDS."""
     rng = np.random.default_rng(99)
+    vocabulary = [*WORDS, *extra]
     draw = lambda alphabet, k: "".join(alphabet[i] for i in rng.integers(0, len(alphabet), k))
     one = lambda xs: xs[int(rng.integers(0, len(xs)))]
     low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     hexes, mixed = dig + "abcdef", low + up + dig
-    prose = lambda k: " ".join(one(WORDS) for _ in range(k))
+    prose = lambda k: " ".join(one(vocabulary) for _ in range(k))
     size = lambda a, b: int(rng.integers(a, b))
     kinds = ["", "RSA ", "EC ", "DSA ", "OPENSSH ", "ENCRYPTED "]
     lines = lambda k: "\n".join([*(draw(mixed + "+/", 64) for _ in range(k)), draw(mixed + "+/", size(4, 60)) + one(["", "=", "=="])])
     block = lambda kind, head: f"-----BEGIN {kind}PRIVATE KEY-----\n{head}{lines(size(1, 50))}\n-----END {kind}PRIVATE KEY-----"
     keys = [
         lambda: block(one(kinds), ""), lambda: block(one(kinds[:4]), f"Proc-Type: 4,ENCRYPTED\nDEK-Info: {one(['AES-128-CBC', 'AES-256-CBC', 'DES-EDE3-CBC'])},{draw(hexes, 32).upper()}\n\n"),
-        lambda: draw(hexes, one([32, 40, 40, 48, 64])), lambda: draw(mixed, size(20, 64)), lambda: draw(mixed + "+/", size(24, 60)) + one(["", "=", "=="]),
+        lambda: draw(hexes, one([32, 40, 40, 48, 64])), lambda: draw(hexes, size(12, 65)), lambda: draw(mixed, size(20, 64)), lambda: draw(mixed + "+/", size(24, 60)) + one(["", "=", "=="]),
         lambda: "AKIA" + draw(up + dig, 16), lambda: one(["ghp_", "gho_", "npm_", "hf_"]) + draw(mixed, 36), lambda: "sk-" + draw(mixed, size(32, 48)),
         lambda: one(["xoxb-", "xoxp-"]) + draw(dig, 11) + "-" + draw(mixed, 24), lambda: "AIza" + draw(mixed + "_-", 35), lambda: "eyJ" + draw(mixed, 24) + "." + draw(mixed, 48) + "." + draw(mixed + "_-", 43),
-        lambda: draw(mixed + "!@#%^&*", size(10, 24)), lambda: draw(mixed + "_-", size(20, 44)), lambda: one(WORDS).title() + draw(dig, size(2, 5)) + one(list("!@#%")) + one(["", one(WORDS)]),
+        lambda: draw(mixed + "!@#%^&*", size(10, 24)), lambda: draw(mixed + "_-", size(20, 44)), lambda: one(vocabulary).title() + draw(dig, size(2, 5)) + one(list("!@#%")) + one(["", one(vocabulary)]),
     ]
     names = ["api_key", "apikey", "secret", "token", "password", "auth_token", "client_secret", "access_key", "SECRET_KEY", "private_key", "credential", "bearer token"]
     harmless = [
         lambda: (f"-----BEGIN {one(kinds)}PRIVATE KEY-----" + one([" ", "\n"]) + one([prose(size(2, 20)), "x" * size(8, 64), one(FILLS).upper()]), prose(4) + " ", one([". ", "... ", ", "]) + prose(3)),
         lambda: (draw(hexes, 40), prose(3) + " commit ", " " + prose(2)), lambda: (draw(hexes, 64), one(["sha256:", "sha256 = ", "digest ", "checksum: "]), " " + prose(2)), lambda: (draw(hexes, 32), one(["md5 ", "etag \"", "hash: "]), one(["", "\""])),
         lambda: ("-".join(draw(hexes, k) for k in (8, 4, 4, 4, 12)), one(["uuid ", "id = \"", "request id ", prose(2) + " "]), " " + prose(2)),
-        lambda: ("".join(one(WORDS).title() for _ in range(size(3, 6))) + draw(dig, size(1, 3)), prose(4) + " ", " " + prose(3)), lambda: ("-".join(one(WORDS) for _ in range(size(3, 7))) + "-" + draw(dig, size(1, 5)), one(["href=\"/", "https://www.", "/"]), one(["\"", "/", " "])),
-        lambda: ("/".join(one(WORDS) for _ in range(size(3, 6))) + "/" + draw(dig, size(1, 4)), one(["https://", "/", "path "]), " " + prose(2)), lambda: ("_".join(one(WORDS) for _ in range(size(3, 6))) + draw(dig, 2), prose(3) + " ", "(" + one(WORDS)),
+        lambda: ("".join(one(vocabulary).title() for _ in range(size(3, 6))) + draw(dig, size(1, 3)), prose(4) + " ", " " + prose(3)), lambda: ("-".join(one(vocabulary) for _ in range(size(3, 7))) + "-" + draw(dig, size(1, 5)), one(["href=\"/", "https://www.", "/"]), one(["\"", "/", " "])),
+        lambda: ("/".join(one(vocabulary) for _ in range(size(3, 6))) + "/" + draw(dig, size(1, 4)), one(["https://", "/", "path "]), " " + prose(2)), lambda: ("_".join(one(vocabulary) for _ in range(size(3, 6))) + draw(dig, 2), prose(3) + " ", "(" + one(vocabulary)),
         lambda: (one(FILLS) + "_" + one(["key", "token", "secret"]) + "_" + draw(dig, 3), one(names) + " = \"", "\""), lambda: ("x" * size(12, 40), one(names) + "=", " "), lambda: ("1234567890" * size(2, 4) + "abcdef", one(names) + ": ", " " + prose(2)),
-        lambda: ("".join(one(WORDS) for _ in range(size(2, 5))), one(names) + ": ", " " + prose(3)), lambda: (draw(dig, size(20, 30)) + one(["kg", "ms", "px", "th"]), prose(3) + " ", " " + prose(2)), lambda: (one(WORDS) + "." + one(WORDS) + "." + one(WORDS) + "()", one(names) + " = ", " " + prose(2)),
-        lambda: ("get" + one(WORDS).title() + one(WORDS).title() + "FromRequest", one(["token = ", "auth: ", "password="]), ";"), lambda: (draw(hexes, 20) + ".chunk.js", "src=\"", "\""),
+        lambda: ("".join(one(vocabulary) for _ in range(size(2, 5))), one(names) + ": ", " " + prose(3)), lambda: (draw(dig, size(20, 30)) + one(["kg", "ms", "px", "th"]), prose(3) + " ", " " + prose(2)), lambda: (one(vocabulary) + "." + one(vocabulary) + "." + one(vocabulary) + "()", one(names) + " = ", " " + prose(2)),
+        lambda: ("get" + one(vocabulary).title() + one(vocabulary).title() + "FromRequest", one(["token = ", "auth: ", "password="]), ";"), lambda: (draw(hexes, 20) + ".chunk.js", "src=\"", "\""),
     ]
     out = []
     for k in range(n):
@@ -256,12 +284,19 @@ def kind_of(candidate: str, before: str) -> str:
     return "random"
 
 
-def train(findings: list[tuple[str, str, str, str, int]] | None = None) -> Forest:
-    rows = (labelled_findings() if findings is None else findings)[:SAMPLE]
+class Detector(NamedTuple):
+    forest: Forest
+    known: Dictionary
+
+
+def train(findings: list[tuple[str, str, str, str, int]] | None = None, words: Sequence[str] = ()) -> Detector:
+    """A forest from labelled findings, with WORDS and more words as its dictionary."""
+    rows = (labelled_findings(extra=words) if findings is None else findings)[:SAMPLE]
     if not rows:
         raise ValueError("the forest needs labelled findings")
-    x = np.array([features(c, b[-NEAR:], a[:NEAR], p, kind_of(c, b)) for c, b, a, p, _ in rows])
-    return Forest.fit(x, np.array([r[-1] for r in rows], float))
+    known = Dictionary(words)
+    x = np.array([features(c, b[-NEAR:], a[:NEAR], p or nearest_path(b[-AROUND:]), kind_of(c, b), known) for c, b, a, p, _ in rows])
+    return Detector(Forest.fit(x, np.array([r[-1] for r in rows], float)), known)
 
 
 def _spans(kind: str, text: str) -> Iterator[tuple[int, int]]:
@@ -309,13 +344,14 @@ def _settled(scored: list[tuple[int, int, str, float]]) -> list[tuple[int, int,
     return sorted(out)
 
 
-def scan_text(text: str, path: str, forest: Forest) -> list[tuple[int, int, str, float]]:
+def scan_text(text: str, path: str, detector: Detector) -> list[tuple[int, int, str, float]]:
     """(start, length, kind, score) of the findings, in code points, none overlapping."""
     found = candidates(text)
     if not found:
         return []
-    x = np.array([features(text[a:b], text[max(0, a - NEAR) : a], text[b : b + NEAR], path, k) for a, b, k in found])
-    settled = _settled([(a, b, k, float(s)) for (a, b, k), s in zip(found, forest.score(x), strict=True)])
+    at = lambda a: path or nearest_path(text[max(0, a - AROUND) : a])
+    x = np.array([features(text[a:b], text[max(0, a - NEAR) : a], text[b : b + NEAR], at(a), k, detector.known) for a, b, k in found])
+    settled = _settled([(a, b, k, float(s)) for (a, b, k), s in zip(found, detector.forest.score(x), strict=True)])
     return [(a, b - a, k, s) for a, b, k, s in settled]
 
 
@@ -324,10 +360,10 @@ def _paths(batch: pa.RecordBatch) -> list[str]:
     return [str(p or "") for p in batch.column(names.index("path")).to_pylist()] if "path" in names else [""] * len(batch)
 
 
-def scan(docs: DataFrame, forest: Forest) -> DataFrame:
+def scan(docs: DataFrame, detector: Detector) -> DataFrame:
     """(doc_id, start, length, kind, score, is_secret): the findings in docs (doc_id, text)."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(forest)
+    shared = docs.sparkSession.sparkContext.broadcast(detector)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -341,10 +377,10 @@ def scan(docs: DataFrame, forest: Forest) -> DataFrame:
     return found.withColumn("is_secret", F.col("score") >= THRESHOLD)
 
 
-def redact(docs: DataFrame, forest: Forest) -> DataFrame:
+def redact(docs: DataFrame, detector: Detector) -> DataFrame:
     """docs with every secret in text replaced by MASK; n_chars follows the text if it is there."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(forest)
+    shared = docs.sparkSession.sparkContext.broadcast(detector)
 
     def clean(text: str | None, path: str) -> str | None:
         at, parts = 0, []
@@ -356,9 +392,10 @@ def redact(docs: DataFrame, forest: Forest) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k = batch.schema.names.index("text")
-            texts = pa.array([clean(t.as_py(), p) for t, p in zip(batch.column(k), _paths(batch), strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([texts if j == k else c for j, c in enumerate(batch.columns)], names=batch.schema.names)
+            texts = pa.array([clean(t.as_py(), p or "") for t, p in zip(batch.column(1), batch.column(2).to_pylist(), strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts], names=["row", "text"])
 
-    out = docs.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    row, field = rest_of(docs, "text")
+    path = F.col("path").cast("string") if "path" in docs.columns else F.lit(None).cast("string")
+    out = docs.select(row, "text", path.alias("path")).mapInArrow(run, StructType([field, StructField("text", StringType())]))
+    return out.select(*columns_of("row", docs.columns, text=F.col("text"), n_chars=F.length("text").cast("long")))
