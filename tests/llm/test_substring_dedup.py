@@ -57,5 +57,41 @@ def test_rows_repeating_a_doc_id_are_one_document(make_docs):
 
 
 def test_factors_follow_one_reference():
-    hits = [{"word": 0, "n": 3, "ref_doc": 1}, {"word": 3, "n": 1, "ref_doc": 2}]
-    assert substring_dedup.parse(hits) == [{"start": 0, "length": 15, "ref_doc": 1}, {"start": 3, "length": 13, "ref_doc": 2}]
+    hits = [{"word": 0, "n": 3, "ref_doc": 1, "ref_word": 5}, {"word": 3, "n": 1, "ref_doc": 2, "ref_word": 8}, {"word": 4, "n": 2, "ref_doc": 2, "ref_word": 9}, {"word": 6, "n": 1, "ref_doc": 2, "ref_word": 40}]
+    spans = [(0, 15, 1, 5), (3, 15, 2, 8), (6, 13, 2, 40)]
+    assert substring_dedup.parse(hits) == [dict(zip(substring_dedup.SPAN, x, strict=True)) for x in spans]
+
+
+def test_every_factor_is_verbatim_in_its_reference(make_docs):
+    rng = random.Random(16)
+    shared = [prose(rng, n) for n in (30, 80, 200)]
+    rows = []
+    for k in range(120):
+        w = rng.choice(shared).split()
+        a = rng.randrange(0, 20)
+        rows.append((k, " ".join([prose(rng, rng.randrange(0, 30)), *w[a : a + rng.randrange(13, 150)], prose(rng, 5)])))
+    rows += [(300, prose(rng, 10, 3) * 9), (301, prose(rng, 10, 3) * 9)]
+    texts = {i: t.split() for i, t in rows}
+    seen = 0
+    for r in substring_dedup.drop_passages(make_docs(rows)).collect():
+        for f in r._spans:
+            seen += 1
+            assert f.ref_doc < r.doc_id and f.length >= 13
+            assert texts[r.doc_id][f.start : f.start + f.length] == texts[f.ref_doc][f.ref_start : f.ref_start + f.length]
+            # greedy: a factor ends only where its reference goes on otherwise
+            ahead, there = texts[r.doc_id][f.start + f.length :], texts[f.ref_doc][f.ref_start + f.length :]
+            assert not ahead or not there or ahead[0] != there[0] or any(g.start == f.start + f.length - 12 for g in r._spans)
+    assert seen > 100
+
+
+def test_one_doc_id_with_several_texts(make_docs):
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(20))
+    out = substring_dedup.drop_passages(make_docs([(1, a), (2, "x y " + a), (2, b), (3, b + " end")])).collect()
+    assert sorted((r.doc_id, r._n_words, r._n_removed) for r in out) == [(1, 30, 0), (2, 20, 0), (2, 32, 30), (3, 21, 20)]
+
+
+def test_hot_passages_and_very_long_texts(make_docs):
+    rng = random.Random(17)
+    hot, long = prose(rng, 25), prose(rng, 60_000, 10**6)
+    rows = [(k, prose(rng, 9, 10**6) + " " + hot) for k in range(300)] + [(900, long), (901, "y " + long)]
+    check(make_docs(rows), rows)
