@@ -3,28 +3,34 @@
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and
 returns a DataFrame; between stages the documents are written as Parquet and read
 again. All but the last return the columns of documents; n_chars follows the text.
+
+Cases: null, empty and blank texts are judged by the classifier like any other and, if
+kept, go on as empty ones; very long texts go through whole; rows that repeat a doc_id are
+judged alike and stay together; ties go to the smallest doc_id; an empty table gives no
+pieces; extra columns, whatever their names, pass through all stages but the last.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm import line_dedup, near_dedup, packing, quality_classifier, secret_scan
 from siltstone.llm.shared import scratch
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+#: A file of the installed package of public tokenizers.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts as good."""
     rules = quality_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality_classifier.score(docs, rules)
-    return scored.where("predicted = 1").select(*docs.columns)
+    return quality_classifier.keep_good(docs, rules)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier document holds."""
-    return line_dedup.drop_repeated(docs).select(*docs.columns)
+    return line_dedup.drop_repeated(docs, counts=False)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +40,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with every secret masked."""
-    return secret_scan.redact(docs, secret_scan.train())
+    return secret_scan.redact(docs, secret_scan.train(words=secret_scan.corpus_words(docs)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

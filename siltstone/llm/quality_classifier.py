@@ -11,10 +11,13 @@ their ids, which the driver holds as SAMPLE rows of statistics; only rows of the
 training folds: crc32(doc_id as text) mod 4 other than 2. Labels, lang, source and
 doc_id are no inputs of a score.
 
-Cases: null and empty texts have statistics of zero and a score like any other; a
-doc_id with both labels counts with each; without any training label, or with one
-label only, the score is the smoothed share of label 1 for every document; repeated
-rows are scored alike; score() replaces columns of its own names, others pass through.
+Cases: null and empty texts have statistics of zero and a score like any other; texts of
+any length are measured whole, in the task that reads them; a doc_id with both labels
+counts with each, one with several rows once, by the text of the smallest hash; without
+any training label, or with one label only, as in empty tables, the score is the smoothed
+share of label 1 for every document; repeated rows are scored alike, and ties in score
+need no order; score() replaces columns of its own names, others pass through, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.shared import columns_of
+
 SAMPLE = 20_000
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.7
@@ -180,16 +185,26 @@ def fit(docs: DataFrame, labels: DataFrame) -> Rules:
     train = train.where(fold(F.col("_doc")) != HELD_OUT).distinct().orderBy(F.xxhash64("_doc"), "_doc", "_quality").limit(SAMPLE)
     stats = statistics(F.col("text"))
     rows = docs.select("doc_id", "text").join(F.broadcast(train), F.col("doc_id") == F.col("_doc"))
-    rows = rows.select("doc_id", "_quality", *[c.alias(n) for n, c in stats.items()]).orderBy("doc_id", *stats, "_quality").limit(2 * SAMPLE).toArrow()
+    rows = rows.select("doc_id", F.xxhash64("text").alias("_mark"), "_quality", *[c.alias(n) for n, c in stats.items()])
+    # a doc_id's repeated rows count once for each label, the text of the smallest hash for all; so SAMPLE bounds the rows
+    rows = rows.groupBy("doc_id", "_quality").agg(F.min(F.struct("_mark", *stats)).alias("_s")).select("doc_id", "_quality", "_s.*").orderBy("doc_id", "_quality").toArrow()
     x = np.stack([rows[n].to_numpy() for n in stats], axis=1) if len(rows) else np.zeros((0, len(stats)))
     return fit_rules(list(stats), x, rows["_quality"].to_numpy().astype(np.float64))
 
 
-def score(docs: DataFrame, rules: Rules) -> DataFrame:
-    """docs with held_out, score and predicted."""
+def _scored(docs: DataFrame, rules: Rules) -> DataFrame:
+    """(row, id, score): docs' rows as one struct, so that none of their names matters."""
     stats = statistics(F.col("text"))
-    own = ["held_out", "score", "predicted"]
-    plain = [F.col(f"`{c}`") for c in docs.columns if c not in own]
-    rows = docs.select(*plain, F.struct(*[c.alias(n) for n, c in stats.items()]).alias("_stats"))
-    rows = rows.withColumn("score", rules.column({n: F.col(f"_stats.{n}") for n in stats})).drop("_stats")
-    return rows.withColumns({"held_out": F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False)), "predicted": (F.col("score") >= THRESHOLD).cast("int")})
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.struct(*[c.alias(n) for n, c in stats.items()]).alias("stats"))
+    return rows.select("row", "id", rules.column({n: F.col(f"stats.{n}") for n in stats}).alias("score"))
+
+
+def score(docs: DataFrame, rules: Rules) -> DataFrame:
+    """docs with score, held_out and predicted."""
+    own = {"score": F.col("score"), "held_out": F.coalesce(fold(F.col("id")) == HELD_OUT, F.lit(False)), "predicted": (F.col("score") >= THRESHOLD).cast("int")}
+    return _scored(docs, rules).select(*columns_of("row", [c for c in docs.columns if c not in own]), *[c.alias(name) for name, c in own.items()])
+
+
+def keep_good(docs: DataFrame, rules: Rules) -> DataFrame:
+    """The rows of docs whose score reaches THRESHOLD, unchanged."""
+    return _scored(docs, rules).where(F.col("score") >= THRESHOLD).select(*columns_of("row", docs.columns))

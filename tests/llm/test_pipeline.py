@@ -21,9 +21,9 @@ def test_each_stage_decides_on_what_its_predecessor_kept(spark):
     assert {(r.doc_id, r.text) for r in lined.collect()} == {(r.doc_id, r.text) for r in line_dedup.drop_repeated(good).collect()}
     assert {r.doc_id for r in single.collect()} == {r.doc_id for r in near_dedup.find(lined).where("kept").collect()}
     assert masked.count() == single.count()
-    assert secret_scan.scan(masked, secret_scan.train()).where("is_secret").count() == 0
+    assert secret_scan.scan(masked, secret_scan.train(words=secret_scan.corpus_words(single))).where("is_secret").count() == 0
     pieces = pipeline.STAGES[-1][1](spark, masked, DATA).collect()
-    encoder = packing.Encoder(pipeline.VOCABULARY)
+    encoder = packing.Encoder.read(pipeline.VOCABULARY)
     texts = [r.text or "" for r in masked.collect()]
     assert sum(r.length for r in pieces) == sum(len(x) // 4 + 1 for x in encoder.encode(texts))
 
