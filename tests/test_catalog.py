@@ -1,8 +1,10 @@
 """Every query with SQL equals DuckDB on the small tables."""
 
 import math
+import shutil
 import subprocess
 import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -46,6 +48,16 @@ def test_entry_loads_without_a_session():
     subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
 
 
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_entry_loads_without_the_removable_folders(tmp_path, pipeline):
+    top = Path(__file__).parents[1]
+    shutil.copytree(top / "siltstone", tmp_path / "siltstone", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ["__spark_entry__.py", *["corpus_pipeline.py"] * (pipeline and (top / "corpus_pipeline.py").exists())]:
+        shutil.copy(top / name, tmp_path)
+    code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql(); assert not [q for q in e.queries() if q.startswith('op') or q == 'pipeline']"
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120, cwd=tmp_path, env={"PATH": "/usr/bin:/bin"})
+
+
 def test_flagship_has_rows(spark):
     import __spark_entry__
 
