@@ -27,7 +27,8 @@ def judge_pair(number: Column, question: Column, context: Column, answer: Column
     return F.format_string("[%d]\nQuestion: %s\nContext: %s\nAnswer: %s\nReference: %s", number, cut(question, 200), cut(context, 800), cut(answer, 400), cut(reference, 200))
 
 
-def question_prompt(text: Column, pages: Column, n: int, mix: tuple[int, int, int] = (20, 50, 30)) -> Column:
+def question_prompt(text: Column, pages: Column, n: int | Column, mix: tuple[int, int, int] = (20, 50, 30)) -> Column:
     """A prompt for n questions with a mix of easy, medium and hard ones in percent."""
-    head = f"Write {n} questions as a JSON list with question, answer, question_type, difficulty, page_reference and evidence_snippets. Difficulty: {mix[0]}% easy, {mix[1]}% medium, {mix[2]}% hard.\nPages: "
-    return F.concat(F.lit(head), F.array_join(pages.cast("array<string>"), ", "), F.lit("\nText:\n"), text)
+    count = n if isinstance(n, Column) else F.lit(n)
+    head = f" questions as a JSON list with question, answer, question_type, difficulty, page_reference and evidence_snippets. Difficulty: {mix[0]}% easy, {mix[1]}% medium, {mix[2]}% hard.\nPages: "
+    return F.concat(F.lit("Write "), count.cast("string"), F.lit(head), F.array_join(pages.cast("array<string>"), ", "), F.lit("\nText:\n"), text)

@@ -30,8 +30,7 @@ def strip(text: Column) -> Column:
 def tokens(text: Column, keep_stop_words: bool = False) -> Column:
     """Lower-cased runs of letters and digits; without English stop words unless asked for."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({WORD})"), F.lit(1))
-    stops = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return found if keep_stop_words else F.filter(found, lambda w: ~F.array_contains(stops, w))
+    return found if keep_stop_words else F.filter(found, lambda w: ~w.isin(*STOP_WORDS))
 
 
 def words(text: Column) -> Column:

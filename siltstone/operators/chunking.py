@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import NamedTuple
 
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
+from siltstone.functions.models import Generator, generation
 from siltstone.functions.text import STOP_WORDS
 from siltstone.functions.vectorised import vectorised
 
@@ -47,6 +49,7 @@ _HEADINGS = [re.compile(p) for p in HEADINGS]
 _PAGE = re.compile(r"^\[Page\s+(\d+)\s*\|\s*type=(\w+)\]$")
 _NUMBERED = re.compile(r"^\d+((?:\.\d+)*)\.?\s+\S")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
+_TERM = re.compile(r"\b\w\w+\b")
 _RULE = re.compile(r"^[-\s|+]+$")
 _STOPS = frozenset(STOP_WORDS)
 
@@ -143,22 +146,48 @@ def split_long(sentence: str, most: int) -> list[str]:
 
 
 def topic_starts(sentences: list[str]) -> set[int]:
-    """Sentences at which the topic changes: windows of neighbours, weighed by tf-idf, have little in common."""
+    """Sentences at which the topic changes: windows of neighbours, weighed by tf-idf, have little in common.
+
+    A window differs from the one before by a sentence that enters and one that leaves,
+    so counts, squares and products are carried on from window to window.
+    """
     n, w = len(sentences), TOPIC_WINDOW
     if n < 2 * w + 1:
         return {0}
-    bags = [Counter(t for t in re.findall(r"\b\w\w+\b", s.lower()) if t not in _STOPS) for s in sentences]
-    windows = [sum(bags[max(0, k - w) : k + w + 1], Counter()) for k in range(n)]
-    df = Counter(t for bag in windows for t in bag)
-    weigh = lambda bag: {t: c * (math.log((1 + n) / (1 + df[t])) + 1) for t, c in bag.items()}
-    vectors = [weigh(bag) for bag in windows]
-    size = [math.sqrt(sum(x * x for x in v.values())) for v in vectors]
+    bags = [Counter(t for t in _TERM.findall(s.lower()) if t not in _STOPS) for s in sentences]
+    # how many windows hold a term: those around its sentences, each once
+    held: dict[str, int] = {}
+    reach: dict[str, int] = {}
+    for k, bag in enumerate(bags):
+        low, high = max(0, k - w), min(n - 1, k + w)
+        for t in bag:
+            held[t] = held.get(t, 0) + high - max(low - 1, reach.get(t, -1))
+            reach[t] = high
+    square = {t: (math.log((1 + n) / (1 + df)) + 1) ** 2 for t, df in held.items()}
+    now: dict[str, int] = {}
+    for bag in bags[: w + 1]:
+        for t, c in bag.items():
+            now[t] = now.get(t, 0) + c
+    size = sum(square[t] * c * c for t, c in now.items())
+    filled = sum(now.values())
     starts = {0}
+    none: Counter = Counter()
     for k in range(1, n):
-        a, b = vectors[k - 1], vectors[k]
-        whole = size[k - 1] * size[k]
-        if (sum(x * b.get(t, 0.0) for t, x in a.items()) / whole if whole else 0.0) < TOPIC_CHANGE:
+        new, old = bags[k + w] if k + w < n else none, bags[k - w - 1] if k > w else none
+        product, after = size, size
+        step = dict(new)
+        for t, c in old.items():
+            step[t] = step.get(t, 0) - c
+        for t, c in step.items():
+            if c:
+                have, weight = now.get(t, 0), square[t] * c
+                product += weight * have
+                after += weight * (2 * have + c)
+                now[t] = have + c
+                filled += c
+        if not filled or size <= 0 or product < TOPIC_CHANGE * math.sqrt(size * max(after, 0.0)):
             starts.add(k)
+        size = after if filled else 0.0
     return starts
 
 
@@ -364,3 +393,14 @@ def page_blocks(text: Column) -> Column:
     kind = F.regexp_extract_all(text, F.lit(tag), F.lit(2))
     bodies = F.split(text, tag, -1)
     return F.transform(number, lambda n, k: F.struct(n.cast("int").alias("page"), F.get(kind, k).alias("kind"), T.strip(F.get(bodies, k + 1)).alias("body")))
+
+
+def enough(text: Column, least: int = LEAST) -> Column:
+    """Whether a text has enough content to be a chunk."""
+    return F.length(T.strip(F.coalesce(text, F.lit("")))) >= least
+
+
+def model_context(text: Column, build: Callable[[], Generator], template: Column, cut: int = 1500) -> Column:
+    """A chunk under what a model says of its first cut characters; under the template where it says nothing."""
+    said = generation(F.concat(F.lit("Say in one or two sentences what this passage is about.\nContext: "), T.cut(F.coalesce(text, F.lit("")), cut)), build)["reply"]
+    return F.coalesce(F.concat(F.nullif(T.strip(said), F.lit("")), F.lit("\n\n"), text), F.concat(template, text))

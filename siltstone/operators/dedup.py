@@ -32,26 +32,30 @@ def _rotate(x: np.ndarray, r: int) -> np.ndarray:
     return (x << np.uint32(r)) | (x >> np.uint32(32 - r))
 
 
-def murmur3(key: bytes, seeds: np.ndarray) -> np.ndarray:
-    """The 32-bit x86 murmur3 of a key for each seed, signed."""
-    h = seeds.astype(np.uint32)
-    c1, c2 = 0xCC9E2D51, 0x1B873593
-
-    def word(k: int) -> np.uint32:
-        k = k * c1 & 0xFFFFFFFF
-        k = (k << 15 | k >> 17) & 0xFFFFFFFF
-        return np.uint32(k * c2 & 0xFFFFFFFF)
-
+def _words_of(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The keys as rows of little-endian 32-bit words, their lengths, and the words' and tails' masks."""
+    size = np.array([len(k) for k in keys], np.int64)
+    width = max(4, int(-(-size.max() // 4) * 4)) if len(size) else 4
+    table = np.frombuffer(b"".join(k.ljust(width, b"\0") for k in keys), "<u4").reshape(len(keys), -1)
+    spots = np.arange(table.shape[1])
+    whole = size[:, None] // 4
+    return table, size.astype(np.uint32), spots < whole, (spots == whole) & (size[:, None] % 4 > 0)
+
+
+def murmur3(keys: list[bytes], seeds: np.ndarray) -> np.ndarray:
+    """(keys, seeds): the 32-bit x86 murmur3 of each key for each seed, signed; all keys are hashed at once."""
+    table, size, whole, tail = _words_of(keys)
     with np.errstate(over="ignore"):
-        whole = len(key) // 4
-        for k in range(whole):
-            h = _rotate(h ^ word(int.from_bytes(key[4 * k : 4 * k + 4], "little")), 13) * np.uint32(5) + np.uint32(0xE6546B64)
-        if rest := key[4 * whole :]:
-            h = h ^ word(int.from_bytes(rest, "little"))
-        h = h ^ np.uint32(len(key))
+        mixed = _rotate(table * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+        h = np.repeat(seeds.astype(np.uint32)[None], len(keys), axis=0)
+        for k in range(table.shape[1]):
+            met = h ^ mixed[:, k, None]
+            h = np.where(whole[:, k, None], _rotate(met, 13) * np.uint32(5) + np.uint32(0xE6546B64), np.where(tail[:, k, None], met, h))
+        h ^= size[:, None]
         h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
         h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
-    return (h ^ (h >> np.uint32(16))).view(np.int32)
+        h ^= h >> np.uint32(16)
+    return h.view(np.int32)
 
 
 def shingles(text: str, n: int = SHINGLE) -> set[str]:
@@ -60,22 +64,39 @@ def shingles(text: str, n: int = SHINGLE) -> set[str]:
     return {low[k : k + n] for k in range(len(low) - n + 1)} if len(low) >= n else {low}
 
 
+@vectorised("array<string>")
+def shingle_sets(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: sorted(shingles(t or "")))
+
+
+#: Shingles hashed at once.
+AT_ONCE = 4096
+#: Shingles that a batch remembers before it starts anew.
+REMEMBERED = 200_000
+
+
 @vectorised("array<int>")
 def signature(text: pd.Series) -> pd.Series:
-    """The least hash of a text's shingles for each of PERMUTATIONS seeds."""
-    seeds, known = np.arange(PERMUTATIONS, dtype=np.uint32), {}
-
-    def of(t: str | None) -> np.ndarray:
-        if len(known) > 200_000:
+    """The least hash of a text's shingles for each of PERMUTATIONS seeds; a batch's distinct shingles are hashed together."""
+    seeds = np.arange(PERMUTATIONS, dtype=np.uint32)
+    out: list[np.ndarray] = []
+    known: dict[str, int] = {}
+    hashed = np.empty((AT_ONCE, PERMUTATIONS), np.int32)
+    for t in text:
+        own = shingles(t or "")
+        new = sorted(own - known.keys())
+        if len(known) + len(new) > REMEMBERED:
             known.clear()
-        rows = []
-        for s in shingles(t or ""):
-            if s not in known:
-                known[s] = murmur3(s.encode("utf-8"), seeds)
-            rows.append(known[s])
-        return np.min(rows, axis=0)
-
-    return text.map(of)
+            new = sorted(own)
+        first, after = len(known), len(known) + len(new)
+        if after > len(hashed):
+            hashed = np.concatenate([hashed[:first], np.empty((2 * after - first, PERMUTATIONS), np.int32)])
+        for lo in range(0, len(new), AT_ONCE):
+            part = new[lo : lo + AT_ONCE]
+            hashed[first + lo : first + lo + len(part)] = murmur3([s.encode("utf-8") for s in part], seeds)
+        known.update(zip(new, range(first, after), strict=True))
+        out.append(hashed[[known[s] for s in own]].min(axis=0))
+    return pd.Series(out)
 
 
 def band_keys(signed: DataFrame, key: str) -> DataFrame:

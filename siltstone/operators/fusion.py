@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.prompts import plain_prompt
+from siltstone.operators.vector import top_k_cosine
+
 #: The constant of reciprocal rank fusion.
 RRF = 60
 
@@ -62,3 +66,13 @@ def context(results: DataFrame, query: str, filename: str, content: str, scores:
     head = F.format_string("[Document %d] (Score: %.4f)\n%s", F.col("rank"), F.col("score"), F.col(content)) if scores else F.format_string("[Document: %s]\n%s", F.col(filename), F.col(content))
     blocks = F.array_sort(F.collect_list(F.struct("rank", head.alias("b"))))
     return results.groupBy(query).agg(F.array_join(F.transform(blocks, lambda x: x["b"]), "\n\n").alias("context"))
+
+
+def answers(questions: DataFrame, query: str, question: str, corpus: DataFrame, key: str, text: str, embed: Callable[[Column], Column], generate: Callable[[Column], Column], k: int = 3) -> DataFrame:
+    """(query, prompt, reply, error): the graph of embedder, retriever, prompt and generator as one plan."""
+    asked = questions.select(F.col(query), F.col(question).alias("_q")).withColumn("_v", embed(F.col("_q")))
+    held = corpus.select(F.col(key), F.col(text).alias("_text"), embed(F.col(text)).alias("_v"))
+    found = top_k_cosine(asked.select(F.col(query), "_v"), query, held.select(key, "_v"), key, "_v", k).join(held.select(key, "_text"), key)
+    said = context(found.withColumn("_file", F.col(key).cast("string")), query, "_file", "_text")
+    prompts = asked.join(said, query, "left").select(query, plain_prompt(F.col("_q"), F.coalesce("context", F.lit(""))).alias("prompt"))
+    return prompts.withColumn("_g", generate(F.col("prompt"))).select(query, "prompt", F.col("_g.reply").alias("reply"), F.col("_g.error").alias("error"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 
-TOC_LINE = r"(\.\s*){2,}.*\d+\s*$"
 #: Fixed lists and patterns of the page rules.
+TOC_LINE = r"(\.\s*){2,}.*\d+\s*$"
 LEGAL = ["copyright", "all rights reserved", "liability", "no warranty", "reproduction prohibited", "proprietary", "confidential", "legal notice", "disclaimer"]
 REVISION = ["revision", "version", "author", "change", "date", "release", "history"]
 CLASS_WORDS = ["attribute", "multiplicity", "type", "category", "stereotype", "aggregation", "class", "meta", "role"]
@@ -21,14 +22,27 @@ LIST_LINE = r"^\s*([-•*]|\d+[.)]) "
 RUNNING_HEADER = r"(?i)^(?:(?:Specification|Requirements|Explanation|Adaptive Platform|Classic Platform)\s+of\s+\S|\S+\s+(?:AP|CP|FO|TR)\s+R\d{2}-\d{2}|\S+\s+Release\s+\d)"
 
 
+def text_lines(text: Column) -> Column:
+    """The lines of a text that are not blank."""
+    return T.lines(T.strip(F.coalesce(text, F.lit(""))))
+
+
+def count_lines(lines: Column, pattern: str) -> Column:
+    return F.size(F.filter(lines, lambda x: x.rlike(pattern)))
+
+
+def share_of_lines(lines: Column, pattern: str) -> Column:
+    return T.share(count_lines(lines, pattern), F.size(lines))
+
+
 def line_share(text: Column, pattern: str) -> Column:
     """The part of the lines that are not blank in which a pattern is found."""
-    found = T.lines(T.strip(F.coalesce(text, F.lit(""))))
-    return T.share(F.size(F.filter(found, lambda x: x.rlike(pattern))), F.size(found))
+    return let(text_lines(text), lambda ls: share_of_lines(ls, pattern))
 
 
-def line_count(text: Column, pattern: str) -> Column:
-    return F.size(F.filter(T.lines(F.coalesce(text, F.lit(""))), lambda x: x.rlike(pattern)))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once for each row."""
+    return F.transform(F.array(value), body)[0]
 
 
 def hits(text: Column, words: list[str]) -> Column:
@@ -39,8 +53,8 @@ def hits(text: Column, words: list[str]) -> Column:
 
 def toc_page(text: Column) -> Column:
     """Whether a page is a table of contents: 50 to 5000 characters, at least 5 lines, half of them with dots and a number."""
-    body = T.strip(F.coalesce(text, F.lit("")))
-    return F.length(body).between(50, 5000) & (F.size(T.lines(body)) >= 5) & (line_share(text, TOC_LINE) >= 0.5)
+    n = F.length(T.strip(F.coalesce(text, F.lit(""))))
+    return n.between(50, 5000) & let(text_lines(text), lambda ls: (F.size(ls) >= 5) & (share_of_lines(ls, TOC_LINE) >= 0.5))
 
 
 def _typed(rules: list[tuple[Column, str, float]]) -> Column:
@@ -55,9 +69,9 @@ def _typed(rules: list[tuple[Column, str, float]]) -> Column:
 def classify(text: Column, tables: Column, images: Column) -> Column:
     """(page_type, confidence) of a page by its text and its numbers of tables and images."""
     n = F.length(T.strip(F.coalesce(text, F.lit(""))))
-    return _typed([
+    return let(text_lines(text), lambda ls: _typed([
         ((n < 150) & (tables == 0) & (images == 0), "cover", 0.65),
-        ((n < 5000) & (line_share(text, TOC_LINE) > 0.35), "toc", 0.80),
+        ((n < 5000) & (share_of_lines(ls, TOC_LINE) > 0.35), "toc", 0.80),
         ((n < 300) & (images > 0) & (tables == 0), "image", 0.72),
         ((n < 300) & (images > 0), "diagram", 0.55),
         ((tables > 1) | ((tables == 1) & (n < 600)), "table", 0.85),
@@ -65,31 +79,31 @@ def classify(text: Column, tables: Column, images: Column) -> Column:
         ((n > 500) & (images == 0), "text", 0.90),
         (n > 200, "text", 0.75),
         (images > 0, "image", 0.55),
-    ])
+    ]))
 
 
 def classify_more(text: Column, tables: Column, images: Column) -> Column:
     """classify() with legal, revision, code, item, class, glossary and list pages told apart."""
     body = T.strip(F.coalesce(text, F.lit("")))
     n = F.length(body)
-    return _typed([
+    return let(text_lines(text), lambda ls: _typed([
         ((n < 150) & (tables == 0) & (images == 0), "cover", 0.65),
         ((n < 1500) & (tables == 0) & (hits(body, LEGAL) >= 2), "disclaimer", 0.82),
         ((tables > 0) & (hits(body, REVISION) >= 3), "revision_history", 0.85),
-        ((n < 5000) & (line_share(text, TOC_LINE) > 0.35), "toc", 0.80),
+        ((n < 5000) & (share_of_lines(ls, TOC_LINE) > 0.35), "toc", 0.80),
         ((n < 300) & (images > 0) & (tables == 0), "image", 0.72),
         ((n < 300) & (images > 0), "diagram", 0.55),
-        (line_count(body, CODE_LINE) >= 3, "code_snippet", 0.85),
-        (line_count(body, ITEM_LINE) >= 2, "specification_item", 0.85),
+        (count_lines(ls, CODE_LINE) >= 3, "code_snippet", 0.85),
+        (count_lines(ls, ITEM_LINE) >= 2, "specification_item", 0.85),
         ((tables > 0) & (hits(body, CLASS_WORDS) >= 3), "class_reference", 0.78),
-        ((line_share(text, GLOSSARY_LINE) > 0.30) & (n < 4000), "glossary", 0.80),
+        ((share_of_lines(ls, GLOSSARY_LINE) > 0.30) & (n < 4000), "glossary", 0.80),
         ((tables > 1) | ((tables == 1) & (n < 600)), "table", 0.85),
         (tables == 1, "mixed", 0.70),
-        ((n > 100) & (line_share(text, LIST_LINE) > 0.45), "list", 0.82),
+        ((n > 100) & (share_of_lines(ls, LIST_LINE) > 0.45), "list", 0.82),
         ((n > 500) & (images == 0), "text", 0.90),
         (n > 200, "text", 0.75),
         (images > 0, "image", 0.55),
-    ])
+    ]))
 
 
 def combine(page_type: Column, confidence: Column, images: Column, vision: Column, sure: float = 0.65) -> Column:
@@ -99,14 +113,19 @@ def combine(page_type: Column, confidence: Column, images: Column, vision: Colum
     return F.struct(F.when(asked & (vision != "unknown"), vision).otherwise(ruled).alias("page_type"), F.when(asked, 1.0).otherwise(confidence).alias("confidence"), asked.alias("used_vision"))
 
 
+#: Page types in the order in which a vision model's prose is searched for them, each with the words looked for; fixed lists.
+SEEN = ["table", "image", "diagram", "equation", "cover", "toc", "mixed", "text"]
+SEEN_MORE = [
+    "specification_item", "class_reference", "code_snippet", "glossary", "revision_history", "disclaimer",
+    "table", "image", "diagram", "equation", "cover", "toc", "list", "mixed", "text",
+]
+SEEN_AS = {"specification_item": "specification item", "class_reference": "class reference", "code_snippet": "code", "revision_history": "revision"}
+
+
 def vision_keyword(response: Column, more: bool = False) -> Column:
     """The page type that a vision model's prose names first in the order of the types."""
-    order = ["table", "image", "diagram", "equation", "cover", "toc", "mixed", "text"]
-    if more:
-        order = ["specification_item", "class_reference", "code_snippet", "glossary", "revision_history", "disclaimer", *order[:6], "list", *order[6:]]
-    word = lambda k: k.split("_")[0] if k in ("code_snippet", "revision_history") else k.replace("_", " ")
     low = F.lower(F.coalesce(response, F.lit("")))
-    return F.coalesce(*[F.when(low.contains(word(k)), F.lit(k)) for k in order], F.lit("unknown"))
+    return F.coalesce(*[F.when(low.contains(SEEN_AS.get(k, k)), F.lit(k)) for k in (SEEN_MORE if more else SEEN)], F.lit("unknown"))
 
 
 def route(page_type: Column, text: Column, tables: Column, vision: Column, ocr: Column) -> Column:
@@ -206,30 +225,41 @@ def bookmark_trail(pages: DataFrame, bookmarks: DataFrame, key: str, levels: int
     return every.where("level IS NULL").select(key, "page", trail.alias("trail"))
 
 
-def near_rects(rects: DataFrame, key: str, gap: float) -> DataFrame:
-    """(key, a, b) of a page's rectangles (key, id, x0, y0, x1, y1) with gaps of at most gap both ways.
+def image_markers(images: Column, page: Column, described: Column, drawn: Column, diagram: Column) -> Column:
+    """The tagged blocks of a page's visual elements, one for each meaningful image (width, height), then one for its drawings.
 
-    Rectangles meet by grid cells as wide as the gap, so only those of a neighbourhood are compared.
+    All images share the page's description, each with its size; without one they are
+    named as embedded. Drawings are a block of their own where they are described: beside
+    images only if the page has many of them (drawn).
     """
-    cell = lambda c: F.floor(F.col(c) / gap)
-    cells = rects.withColumn("_cx", F.explode(F.sequence(cell("x0") - 1, cell("x1") + 1))).withColumn("_cy", F.explode(F.sequence(cell("y0") - 1, cell("y1") + 1)))
-    names = {c: f"{c}_b" for c in ("id", "x0", "y0", "x1", "y1")}
-    met = cells.join(cells.withColumnsRenamed(names), [key, "_cx", "_cy"]).where("id < id_b")
-    apart = lambda lo, hi: F.greatest(F.lit(0.0), F.greatest(F.col(lo), F.col(f"{lo}_b")) - F.least(F.col(hi), F.col(f"{hi}_b")))
-    return met.where((apart("x0", "x1") <= gap) & (apart("y0", "y1") <= gap)).select(key, F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
-
-
-def rect_clusters(rects: DataFrame, key: str, gap: float) -> DataFrame:
-    """(key, id, cluster): rectangles joined by near_rects, a cluster named by its smallest id."""
-    edges = near_rects(rects, key, gap)
-    both = edges.unionByName(edges.select(key, F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-    labels = rects.select(key, "id", F.col("id").alias("cluster")).checkpoint()
-    while True:
-        least = both.join(labels.select(key, F.col("id").alias("b"), "cluster"), [key, "b"]).groupBy(key, F.col("a").alias("id")).agg(F.min("cluster").alias("_c"))
-        new = labels.join(least, [key, "id"], "left").select(key, "id", F.least("cluster", F.coalesce("_c", "cluster")).alias("cluster"), F.col("cluster").alias("_old")).checkpoint()
-        if new.where("cluster <> _old").isEmpty():
-            return labels
-        labels = new.drop("_old")
+    kept = F.filter(F.coalesce(images, F.array().cast("array<struct<width:int,height:int>>")), lambda i: meaningful_image(i["width"], i["height"]))
+    n = F.size(kept)
+    told = F.coalesce(described, F.lit("")) != ""
+
+    def block(i: Column, k: Column) -> Column:
+        size = F.format_string("%d\u00d7%d px", i["width"], i["height"])
+        own = F.format_string("%s\n[Image %d/%d on page %d, size %s]", described, k + 1, n, page, size)
+        bare = F.format_string("[Embedded image %d/%d, page %d, size %s]", k + 1, n, page, size)
+        return F.format_string("\n[IMAGE %d]\n%s\n", k + 1, F.when(told, own).otherwise(bare))
+
+    said = (F.coalesce(diagram, F.lit("")) != "") & ((n == 0) | drawn)
+    return F.concat(F.transform(kept, block), F.when(said, F.array(F.format_string("\n[DIAGRAM 1]\n%s\n", diagram))).otherwise(F.array().cast("array<string>")))
+
+
+def vision_type(response: Column, more: bool = False, cut: int = 4000) -> Column:
+    """The page type of a vision model's answer: that of its JSON object, unknown if it is none of the types; of prose, the first type that it names."""
+    said = F.substring(F.coalesce(response, F.lit("")), 1, cut)
+    bare = T.strip(F.regexp_replace(said, r"```[a-z]*\n?", ""))
+    kind = F.lower(T.strip(F.coalesce(F.get_json_object(bare, "$.type"), F.lit("unknown"))))
+    known = F.when(kind.isin(*(SEEN_MORE if more else SEEN)), kind).otherwise("unknown")
+    return F.when(F.get_json_object(bare, "$").startswith("{"), known).otherwise(vision_keyword(said, more))
+
+
+def tiered(first: Column, second: Column, recognised: Column, least: int = 300) -> Column:
+    """A page's text out of three readers: the first's; the second's where that has less than least characters and the second more; the recognised one where both are blank."""
+    of = lambda c: T.strip(F.coalesce(c, F.lit("")))
+    better = F.when((F.length(of(first)) < least) & (F.length(of(second)) > F.length(of(first))), of(second)).otherwise(of(first))
+    return F.when(better == "", of(recognised)).otherwise(better)
 
 
 def anomalies(pages: DataFrame) -> DataFrame:

@@ -107,3 +107,10 @@ def parse_judge(response: pd.Series, size: pd.Series) -> pd.Series:
 @vectorised("array<struct<claims:int,hallucinated:int,rate:double>>")
 def parse_claims(response: pd.Series, size: pd.Series) -> pd.Series:
     return pd.Series([claims(r, int(n)) for r, n in zip(response, size, strict=True)])
+
+
+def model_headings(response: Column) -> Column:
+    """Headings out of a model's reply, a JSON list of objects: array of (heading, level), levels from 1 to 6 and 2 without one, blank ones left out."""
+    found = json_list(response, "array<struct<heading:string,level:int>>")
+    rows = F.transform(found, lambda h: F.struct(T.strip(F.coalesce(h["heading"], F.lit(""))).alias("heading"), F.greatest(F.lit(1), F.least(F.lit(6), F.coalesce(h["level"], F.lit(2)))).alias("level")))
+    return F.filter(rows, lambda h: h["heading"] != "")

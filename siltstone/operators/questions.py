@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
+from siltstone.functions.models import Generator
 
 #: Fixed lists of the quality rules.
 VAGUE = ["something", "anything", "somehow", "maybe", "possibly"]
@@ -38,11 +40,17 @@ def review_overlap(answer: Column, document: Column) -> Column:
     return T.overlap(own, T.words(F.lower(document)))
 
 
-def validate(rows: DataFrame, order: str, question: str = "question", answer: str = "answer", context: str = "context") -> DataFrame:
+#: Cosine from which on two questions say the same.
+SAME = 0.85
+
+
+def validate(rows: DataFrame, order: str, question: str = "question", answer: str = "answer", context: str = "context", vector: str | None = None, same: float = SAME) -> DataFrame:
     """rows with reason, the first rule a question breaks or valid, in the rules' order.
 
     Duplicates are judged in the order of a column: the first question of a normal form
-    that reaches the rule stands, whatever becomes of it afterwards.
+    that reaches the rule stands, whatever becomes of it afterwards. With a column of
+    vectors, a question whose cosine with an earlier valid one is at least same is a
+    semantic duplicate; that rule stands between exact duplicates and grounding.
     """
     q, a = T.strip(F.col(question)), T.strip(F.col(answer))
     missing = [F.when(F.coalesce(F.col(c), F.lit("")) == "", f"missing {c}") for c in (question, answer, "question_type", "difficulty")]
@@ -50,8 +58,75 @@ def validate(rows: DataFrame, order: str, question: str = "question", answer: st
     rows = rows.withColumns({"_early": early, "_hash": T.question_hash(F.col(question))})
     seen = Window.partitionBy("_hash").orderBy(F.col("_early").isNotNull(), order)
     rows = rows.withColumn("_nth", F.row_number().over(seen))
-    late = F.when(F.col("_nth") > 1, "exact duplicate").when(~grounded(F.col(answer), F.col(context))["grounded"], "not grounded").otherwise("valid")
-    return rows.withColumn("reason", F.coalesce("_early", late)).drop("_early", "_hash", "_nth")
+    reason = F.coalesce("_early", F.when(F.col("_nth") > 1, "exact duplicate"))
+    late = F.when(~grounded(F.col(answer), F.col(context))["grounded"], "not grounded")
+    if vector is None:
+        return rows.withColumn("reason", F.coalesce(reason, late, F.lit("valid"))).drop("_early", "_hash", "_nth")
+    rows = rows.withColumns({"_reason": reason, "_late": late})
+    asked = rows.where("_reason IS NULL").select(F.col(order).alias("key"), F.col(vector).alias("vector"), F.col("_late").isNull().alias("standing"))
+    copies = said_before(asked, same).select(F.col("key").alias("_key"))
+    met = rows.join(copies, F.col(order) == F.col("_key"), "left")
+    found = F.coalesce("_reason", F.when(F.col("_key").isNotNull(), "semantic duplicate"), "_late", F.lit("valid"))
+    return met.withColumn("reason", found).drop("_early", "_hash", "_nth", "_reason", "_late", "_key")
+
+
+def said_before(rows: DataFrame, same: float = SAME) -> DataFrame:
+    """(key) of the rows (key, vector, standing) alike to an earlier accepted one; accepted are standing rows that are alike to no earlier accepted one.
+
+    Pairs come from products of blocks of vectors. Then each turn accepts the rows without
+    an undecided earlier neighbour and drops their neighbours, as decisions go in order.
+    """
+    from siltstone.operators.vector import alike
+
+    standing = rows.where("standing")
+    pairs = alike(standing, rows, "key", "vector", same).where("a < b").persist()
+    # only standing rows decide over one another
+    edges = pairs.join(standing.select(F.col("key").alias("b")), "b", "left_semi").select("a", "b").persist()
+    lost = None
+    while not edges.isEmpty():
+        free = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        out = edges.join(free, "a").select("b").distinct().persist()
+        lost = out if lost is None else lost.unionByName(out)
+        done = free.select(F.col("a").alias("x")).unionByName(out.select(F.col("b").alias("x"))).persist()
+        edges = edges.join(done, F.col("a") == F.col("x"), "left_anti").join(done, F.col("b") == F.col("x"), "left_anti").select("a", "b").persist()
+    accepted = standing.select(F.col("key").alias("a"))
+    if lost is not None:
+        accepted = accepted.join(lost.select(F.col("b").alias("a")), "a", "left_anti")
+    return pairs.join(accepted, "a", "left_semi").select(F.col("b").alias("key")).distinct()
+
+
+#: What a model's list of questions holds.
+ASKED = "array<struct<question:string,answer:string,question_type:string,difficulty:string,page_reference:string,evidence_snippets:array<string>>>"
+
+
+def generate(docs: DataFrame, document: str, chunks: Column, n: int, build: Callable[[], Generator], vector: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(document, id, question, answer, question_type, difficulty, page_reference, reason) of at most n questions for each document.
+
+    chunks is an array of (text, pages). Each chunk is asked for max(1, n // chunks)
+    questions, a single one for n; a reply's questions are validated against their chunk, numbered, and if
+    more than n are valid, of each type the first ones stay.
+    """
+    from siltstone.functions import models, prompts
+    from siltstone.operators import parsing
+
+    parts = docs.select(F.col(document).alias("_doc"), F.size(chunks).alias("_of"), F.posexplode(chunks).alias("_chunk", "_c"))
+    each = F.when(F.col("_of") > 1, F.greatest(F.lit(1), F.floor(F.lit(n) / F.col("_of")))).otherwise(n).cast("int")
+    asked = parts.withColumn("_reply", models.generation(prompts.question_prompt(F.col("_c.text"), F.col("_c.pages"), each), build)["reply"])
+    rows = asked.select("_doc", "_of", "_chunk", F.col("_c.text").alias("context"), F.posexplode(parsing.json_list(F.col("_reply"), ASKED)).alias("_spot", "_q")).select("_doc", "_of", "_chunk", "_spot", "context", "_q.*")
+    rows = rows.withColumn("_order", F.format_string("%s:%08d:%08d", F.col("_doc").cast("string"), F.col("_chunk"), F.col("_spot")))
+    if vector is not None:
+        rows = rows.withColumn("_vector", vector(F.col("question")))
+    judged = validate(rows, "_order", vector="_vector" if vector is not None else None).where("reason = 'valid'")
+    place = F.row_number().over(Window.partitionBy("_doc").orderBy("_chunk", "_spot"))
+    many = F.when(F.col("_of") > 1, "Multiple pages").otherwise("Page 1")
+    named = judged.withColumn("_place", place).withColumns({"id": F.format_string("%s_q%03d", F.col("_doc").cast("string"), F.col("_place")), "page_reference": F.coalesce(F.nullif("page_reference", F.lit("")), many)})
+    # of each type the first max(1, n // types), types in the order they appear, then the first of the rest
+    kinds = named.groupBy("_doc", "question_type").agg(F.min("_place").alias("_first"))
+    share = kinds.groupBy("_doc").agg(F.greatest(F.lit(1), F.floor(F.lit(n) / F.count("*"))).alias("_share"))
+    nth = F.row_number().over(Window.partitionBy("_doc", "question_type").orderBy("_place"))
+    ranked = named.join(kinds, ["_doc", "question_type"]).join(share, "_doc").withColumn("_rest", nth > F.col("_share"))
+    order = Window.partitionBy("_doc").orderBy("_rest", F.when(~F.col("_rest"), F.col("_first")), "_place")
+    return ranked.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= n).select(F.col("_doc").alias(document), "id", "question", "answer", "question_type", "difficulty", "page_reference", "reason")
 
 
 def number(rows: DataFrame, document: str, order: str) -> DataFrame:
@@ -137,7 +212,7 @@ def exact_duplicates(rows: DataFrame) -> DataFrame:
 
 def random_sample(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """n rows by the smallest hashes of a key and a seed, the same in every run."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return rows.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)
 
 
 def review_sheet(rows: DataFrame, columns: list[str], cut: int = 200, cut_columns: tuple[str, ...] = ("answer", "evidence")) -> DataFrame:

@@ -71,3 +71,21 @@ def search(queries: DataFrame, query: str, query_text: str, weights: DataFrame,
     asked = postings(queries, query, query_text, model, keep_stop_words=True).withColumnRenamed("weight", "_q")
     met = weights.join(asked, "term").groupBy(query, key).agg(F.sum(F.col("_q") * F.col("weight")).alias("_s"))
     return top_k(met, query, key, F.col("_s"), k)
+
+
+def search_texts(queries: DataFrame, query: str, query_text: str, corpus: DataFrame, key: str, text: str, k: int) -> DataFrame:
+    """As search() with the model and postings of corpus, of which only those of the queries' terms are ever made.
+
+    Tokens meet the distinct terms of the queries where they are read, so what is
+    counted and shuffled is what can score; a term's documents are counted on the same
+    counts.
+    """
+    asked = term_frequency(queries, query, query_text, keep_stop_words=True)
+    terms = asked.select("term").distinct()
+    found = corpus.select(key, T.tokens(F.col(text)).alias("_t")).select(key, F.size("_t").cast("long").alias("_total"), F.explode("_t").alias("term"))
+    counted = found.join(terms, "term", "left_semi").groupBy(key, "_total", "term").agg(F.count("*").alias("_n"))
+    n = corpus.agg(F.count("*").alias("n")).scalar()
+    model = counted.groupBy("term").agg(F.count("*").alias("_df")).select("term", idf(n, F.col("_df")).alias("_idf"))
+    weighed = asked.join(model, "term").select(query, "term", (F.col("tf") * F.col("_idf")).alias("_q"), "_idf")
+    met = counted.join(weighed, "term").select(query, key, (F.col("_q") * (F.col("_n") / F.col("_total") * F.col("_idf"))).alias("_part"))
+    return top_k(met.groupBy(query, key).agg(F.sum("_part").alias("_s")), query, key, F.col("_s"), k)

@@ -31,6 +31,19 @@ def check_dimension(vectors: DataFrame, column: str, dim: int) -> DataFrame:
     return vectors.where(F.assert_true(F.size(column) == dim, F.lit(f"{column} must have {dim} components")).isNull())
 
 
+def _first(found: np.ndarray, k: int) -> np.ndarray:
+    """The places of each row's k largest numbers, largest first, equal ones in their order."""
+    if found.shape[1] <= 4 * k:
+        return np.argsort(-found, axis=1, kind="stable")[:, :k]
+    edge = -np.partition(-found, k - 1, axis=1)[:, k - 1 : k]
+    # those above the edge and, of those on it, the first
+    on = found == edge
+    need = k - (found > edge).sum(axis=1, keepdims=True)
+    chosen = (found > edge) | (on & (np.cumsum(on, axis=1) <= need))
+    places = np.nonzero(chosen)[1].reshape(len(found), k)
+    return np.take_along_axis(places, np.argsort(-np.take_along_axis(found, places, axis=1), axis=1, kind="stable"), axis=1)
+
+
 def _block(corpus: DataFrame, key: str, vector: str, asked: pa.Table, query: str, k: int, digits: int) -> DataFrame:
     ids = asked[query].to_numpy()
     matrix = np.stack(asked["_v"].to_pylist()).astype(np.float64)
@@ -48,7 +61,7 @@ def _block(corpus: DataFrame, key: str, vector: str, asked: pa.Table, query: str
                 found = np.round(wanted @ (x / np.where(size > 0, size, 1)[:, None]).T, digits)
                 own = keys[lo : lo + 2048]
                 order = np.argsort(own, kind="stable")
-                best = order[np.argsort(-found[:, order], axis=1, kind="stable")[:, :k]]
+                best = order[_first(found[:, order], k)]
                 rows = np.repeat(np.arange(len(names)), best.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(names[rows]), pa.array(own[best.ravel()]), pa.array(found[rows, best.ravel()])], names=[query, key, "score"])
 
@@ -74,3 +87,37 @@ def top_k_cosine(queries: DataFrame, query: str, corpus: DataFrame, key: str, ve
         return queries.sparkSession.createDataFrame([], f"{query} long, {key} {dict(corpus.dtypes)[key]}, score double, rank int")
     order = Window.partitionBy(query).orderBy(F.desc("score"), key)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def alike(left: DataFrame, right: DataFrame, key: str, vector: str, least: float, digits: int = 6) -> DataFrame:
+    """(a, b, similarity) of the rows of left and right whose cosine is at least so much, rounded, but for rows with themselves.
+
+    Rows of left are taken in blocks of QUERY_BLOCK; each block is one pass over right by matrix products.
+    """
+    spark = left.sparkSession
+    kind = dict(left.dtypes)[key]
+    asked = left.select(key, F.col(vector).cast("array<double>").alias("_v")).where("_v IS NOT NULL")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    found = None
+    for b in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).toArrow()
+        if not len(part):
+            continue
+        matrix = np.stack(part["_v"].to_pylist()).astype(np.float64)
+        shared = spark.sparkContext.broadcast((part[key].combine_chunks(), matrix / np.maximum(np.linalg.norm(matrix, axis=1), 1e-300)[:, None]))
+
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, wanted = shared.value
+            for batch in batches:
+                for lo in range(0, len(batch), 2048):
+                    keys, x = batch.column(0).slice(lo, 2048), batch.column(1).slice(lo, 2048)
+                    x = np.asarray(x.flatten(), np.float64).reshape(len(x), -1)
+                    score = np.round(wanted @ (x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]).T, digits)
+                    row, column = np.nonzero(score >= least)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(row)), keys.take(pa.array(column)), pa.array(score[row, column])], names=["a", "b", "similarity"])
+
+        got = right.select(key, F.col(vector).cast("array<double>")).where(F.col(vector).isNotNull()).mapInArrow(scan, f"a {kind}, b {kind}, similarity double")
+        found = got if found is None else found.unionByName(got)
+    if found is None:
+        return spark.createDataFrame([], f"a {kind}, b {kind}, similarity double")
+    return found.where("a <> b")

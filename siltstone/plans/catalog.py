@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.plans import corpus, evaluate, question_sets, search
+from siltstone.plans import corpus, evaluate, ingestion, layout, question_sets, search
 
 FLAGSHIP = "retrieval_by_language"
-_EVERY = search.QUERIES | evaluate.QUERIES | question_sets.QUERIES | corpus.QUERIES
+_EVERY = search.QUERIES | evaluate.QUERIES | question_sets.QUERIES | corpus.QUERIES | layout.QUERIES | ingestion.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

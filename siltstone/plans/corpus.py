@@ -175,6 +175,84 @@ def html_headings(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("page_id", "section", F.col("s.title").alias("title"), F.col("s.level").alias("level"), F.length("s.content").alias("chars"))
 
 
+def _html_sql(x: str) -> str:
+    """What files.html_text does, in SQL."""
+    text = f"regexp_replace({x}, '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', ' ', 'g')"
+    for n in range(1, 7):
+        text = f"regexp_replace({text}, '(?i)<h{n}\\b[^>]*>', chr(10) || '{'#' * n} ', 'g')"
+    text = f"regexp_replace({text}, '(?i)<(?:br|/p|/div|/li|/tr|/h[1-6]|p|div|li|tr|article|nav|ul)\\b[^>]*>', chr(10), 'g')"
+    text = f"regexp_replace({text}, '<[^>]*>', '', 'g')"
+    for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        text = f"replace({text}, '{name}', '{sign}')"
+    text = f"regexp_replace({text}, '[ \\t]+', ' ', 'g')"
+    return strip_sql(f"regexp_replace({text}, ' ?\\n[ \\n]*', chr(10), 'g')")
+
+
+def _sections_sql(rows: str, key: str, first: str, numbered: bool, columns: str) -> str:
+    """The sections of rows (key, text) by heading lines; for texts without page tags."""
+    heading = " OR ".join(f"regexp_matches(b, '{p}')" for p in chunking.HEADINGS)
+    dots = r"WHEN regexp_matches(b, '^\d+((?:\.\d+)*)\.?\s+\S') THEN length(regexp_extract(b, '^\d+((?:\.\d+)*)\.?\s+\S', 1)) - length(replace(regexp_extract(b, '^\d+((?:\.\d+)*)\.?\s+\S', 1), '.', '')) + 1"
+    kind = lambda c: f"CASE WHEN starts_with(lower({c}), '[table ') THEN 'table' WHEN regexp_full_match(lower({c}), '\\[image \\d+\\]') THEN 'image' WHEN regexp_full_match(lower({c}), '\\[diagram \\d+\\]') THEN 'diagram' ELSE 'text' END"
+    return f"""WITH x AS ({rows}), l AS (SELECT {key}, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM x),
+h AS (SELECT *, {strip_sql('line')} AS b FROM l), g AS (SELECT *, b <> '' AND length(b) < 200 AND ({heading}) AS head FROM h),
+v AS (SELECT *, CASE WHEN starts_with(b, '#') THEN length(b) - length(ltrim(b, '#')) WHEN {kind('b')} <> 'text' THEN 4 {dots if numbered else ''} WHEN b = upper(b) AND b <> lower(b) THEN 1 ELSE 2 END AS level FROM g),
+n AS (SELECT *, count(*) FILTER (WHERE head) OVER (PARTITION BY {key} ORDER BY i) AS s FROM v),
+c AS (SELECT {key}, s, coalesce(max(CASE WHEN head THEN trim(trim(b, '#: ')) END), '{first}') AS title, coalesce(max(CASE WHEN head THEN level END), 0) AS level, {strip_sql("coalesce(string_agg(CASE WHEN b <> '' THEN line || chr(10) ELSE chr(10) END, '' ORDER BY i) FILTER (WHERE NOT head), '')")} AS content FROM n GROUP BY 1, 2),
+k AS (SELECT {key}, s, title, CAST(level AS INT) AS level, {kind('title')} AS kind, length(content) AS chars FROM c WHERE content <> ''),
+a AS (SELECT * FROM k UNION ALL SELECT {key}, 0, 'Document', 0, 'text', length(text) FROM x WHERE {key} NOT IN (SELECT {key} FROM k)),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY {key} ORDER BY s) - 1 AS INT) AS section FROM a)
+SELECT {columns} FROM o"""
+
+
+_HEADED = "'1 Scope of work' || chr(10) || text || chr(10) || '## Second part ##' || chr(10) || substring(text, 1, 50) || chr(10) || '[Table 4]' || chr(10) || 'ALL IN CAPITALS' || chr(10) || 'Closing words:' || chr(10) || 'end'"
+
+
+def section_headed(spark: SparkSession, d: str) -> DataFrame:
+    """Sections of documents with headings of every kind around their texts."""
+    head = F.concat(F.lit("1 Scope of work\n"), "text", F.lit("\n## Second part ##\n"), F.substring("text", 1, 50), F.lit("\n[Table 4]\nALL IN CAPITALS\nClosing words:\nend"))
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(chunking.sections(head)).alias("section", "s"))
+    return rows.select("doc_id", "section", F.col("s.title").alias("title"), F.col("s.level").alias("level"), F.col("s.kind").alias("kind"), F.length("s.content").alias("chars"))
+
+
+def char_shingles(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct shingles of four characters, and the least and last of them, as the signatures take them."""
+    found = dedup.shingle_sets("text")
+    return table(spark, d, "documents").select("doc_id", found.alias("s")).select("doc_id", F.size("s").cast("long").alias("shingles"), F.array_min("s").alias("first"), F.array_max("s").alias("last"))
+
+
+_SHINGLES_SQL = f"""WITH s AS (SELECT doc_id, list_distinct(CASE WHEN length(text) >= {dedup.SHINGLE} THEN list_transform(range(1, length(text) - {dedup.SHINGLE - 2}), lambda k: lower(substring(text, CAST(k AS BIGINT), {dedup.SHINGLE}))) ELSE [lower(text)] END) AS s FROM (SELECT doc_id, lower(text) AS text FROM documents))
+SELECT doc_id, CAST(len(s) AS BIGINT) AS shingles, list_min(s) AS first, list_max(s) AS last FROM s"""
+
+
+def model_context(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks under what a stand-in says of them, its first sentence; blank ones under the template."""
+    from siltstone.functions.models import FirstSentences
+
+    text = F.when(F.col("doc_id") % 9 != 0, F.col("text")).otherwise("")
+    got = chunking.model_context(text, lambda: FirstSentences(1), F.concat(F.lit("Source: "), "source", F.lit("\n")))
+    return table(spark, d, "documents").select("doc_id", F.md5(got).alias("context_md5"))
+
+
+_MODEL_CONTEXT_SQL = f"""WITH t AS (SELECT doc_id, source, CASE WHEN doc_id % 9 <> 0 THEN text ELSE '' END AS t FROM documents),
+c AS (SELECT *, string_split(regexp_replace({strip_sql("substring(t, 1, 1500)")}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))[1] AS said FROM t)
+SELECT doc_id, md5(CASE WHEN {strip_sql("said")} <> '' THEN {strip_sql("said")} || chr(10) || chr(10) || t ELSE 'Source: ' || source || chr(10) || t END) AS context_md5 FROM c"""
+
+
+def recognised_text(spark: SparkSession, d: str) -> DataFrame:
+    """Images read by a first engine, which reads nothing of some, and by a second."""
+    from siltstone.functions import models
+
+    image = F.when(F.col("doc_id") % 3 != 0, F.encode("lang", "UTF-8"))
+    return table(spark, d, "documents").select("doc_id", models.recognised(image, [models.PlainBytes, _Fallback]).alias("text"), models.described(image, "What is it?", models.PlainBytes).alias("described"))
+
+
+class _Fallback:
+    """A second engine that reads every image as the same word."""
+
+    def read(self, images: list[bytes | None]) -> list[str]:
+        return ["unreadable"] * len(images)
+
+
 def section_detect(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select("doc_id", F.posexplode(chunking.sections("text")).alias("section", "s"))
     return rows.select("doc_id", "section", F.col("s.title").alias("title"), F.col("s.level").alias("level"), F.col("s.kind").alias("kind"), F.length("s.content").alias("chars"))
@@ -220,8 +298,12 @@ QUERIES = {
     "chunk_sizes": (chunk_sizes, "SELECT count(*) AS n, CAST(min(length(text)) AS BIGINT) AS min, CAST(max(length(text)) AS BIGINT) AS max, CAST(floor(avg(length(text))) AS BIGINT) AS mean FROM documents"),
     "anomaly_rules": (anomaly_rules, _ANOMALY_SQL),
     "event_windows": (event_windows, "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2"),
-    "html_headings": (html_headings, None),
-    "section_detect": (section_detect, None),
+    "html_headings": (html_headings, _sections_sql(f"SELECT page_id, {_html_sql('html')} AS text FROM pages", "page_id", "Document", True, "page_id, section, title, level, chars")),
+    "section_detect": (section_detect, _sections_sql("SELECT doc_id, text FROM documents", "doc_id", "Introduction", False, "doc_id, section, title, level, kind, chars")),
+    "section_headed": (section_headed, _sections_sql(f"SELECT doc_id, {_HEADED} AS text FROM documents", "doc_id", "Introduction", False, "doc_id, section, title, level, kind, chars")),
+    "char_shingles": (char_shingles, _SHINGLES_SQL),
+    "model_context": (model_context, _MODEL_CONTEXT_SQL),
+    "recognised_text": (recognised_text, "SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN lang ELSE 'unreadable' END AS text, CASE WHEN doc_id % 3 <> 0 THEN 'text: ' || lang END AS described FROM documents"),
     "parent_child": (parent_child, None),
     "page_aware_chunks": (page_aware_chunks, None),
     "minhash_signature": (minhash_signature, None),

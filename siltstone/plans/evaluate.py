@@ -230,6 +230,75 @@ def generation_phase(spark: SparkSession, d: str) -> DataFrame:
     return told.join(base, "question_id").select("question_id", "model", "answer", F.round(similarity, 6).alias("similarity_to_baseline"))
 
 
+def evidence_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """Each passage of the benchmark with the first of five documents of sparse search that holds it exactly."""
+    from siltstone.plans.search import sparse_topk
+
+    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("snippet"))
+    found = sparse_topk(spark, d).where("rank <= 5").join(items, "item_id").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    held = found.where(F.contains("text", F.col("snippet"))).groupBy("item_id").agg(F.min("rank").alias("found_in_rank"))
+    return items.select("item_id").join(held, "item_id", "left")
+
+
+def _evidence_sql() -> str:
+    from siltstone.plans.search import _FOUND
+
+    return f"WITH {_FOUND}, x AS (SELECT f.item_id, min(rank) AS r FROM f JOIN benchmark b ON b.item_id = f.item_id JOIN documents d ON d.doc_id = f.doc_id WHERE rank <= 5 AND contains(d.text, b.text) GROUP BY 1) SELECT b.item_id, CAST(r AS INT) AS found_in_rank FROM benchmark b LEFT JOIN x ON x.item_id = b.item_id"
+
+
+def rouge(spark: SparkSession, d: str) -> DataFrame:
+    rows = questions(spark, d).where("answer IS NOT NULL")
+    return rows.select("question_id", *[F.round(metrics.rouge_n(F.col("answer"), F.col("question"), n), 6).alias(f"rouge_{n}") for n in (1, 2)])
+
+
+def _rouge_sql() -> str:
+    from siltstone.plans.tables import QUESTIONS_SQL, tokens_sql
+
+    parts = [f"WITH {QUESTIONS_SQL}, t AS (SELECT question_id, {tokens_sql('answer', True)} AS a, {tokens_sql('question', True)} AS b FROM q0 WHERE answer IS NOT NULL)"]
+    for n in (1, 2):
+        gram = lambda c: f"list_transform(range(1, len({c}) - {n - 2}), lambda k: array_to_string({c}[CAST(k AS BIGINT):CAST(k + {n - 1} AS BIGINT)], ' '))"  # noqa: B023, E731
+        parts.append(f"x{n} AS (SELECT question_id, g, count(*) AS c FROM (SELECT question_id, unnest({gram('a')}) AS g FROM t) GROUP BY 1, 2), y{n} AS (SELECT question_id, g, count(*) AS c FROM (SELECT question_id, unnest({gram('b')}) AS g FROM t) GROUP BY 1, 2)")
+        parts.append(f"h{n} AS (SELECT x.question_id, sum(least(x.c, y.c)) AS h FROM x{n} x JOIN y{n} y ON y.question_id = x.question_id AND y.g = x.g GROUP BY 1)")
+    score = lambda n: f"round(CASE WHEN greatest(0, len(a) - {n - 1}) + greatest(0, len(b) - {n - 1}) = 0 THEN 0.0 ELSE 2 * coalesce(h{n}.h, 0) / (greatest(0, len(a) - {n - 1}) + greatest(0, len(b) - {n - 1})) END, 6) AS rouge_{n}"
+    return ", ".join(parts) + f" SELECT t.question_id, {score(1)}, {score(2)} FROM t LEFT JOIN h1 ON h1.question_id = t.question_id LEFT JOIN h2 ON h2.question_id = t.question_id"
+
+
+def model_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Every question with every model, and the stand-in's reply: the first or the first two sentences."""
+    rows = questions(spark, d).select("question_id", "question").withColumn("model", F.explode(F.array(F.lit("one"), F.lit("two"))))
+    reply = lambda n: models.generation(F.concat(F.lit("Context: "), "question"), lambda: models.FirstSentences(n))["reply"]
+    return rows.select("question_id", "model", F.md5(F.when(F.col("model") == "one", reply(1)).otherwise(reply(2))).alias("answer_md5"))
+
+
+def _grid_sql() -> str:
+    from siltstone.plans.tables import QUESTIONS_SQL, strip_sql
+
+    return f"WITH {QUESTIONS_SQL}, s AS (SELECT question_id, string_split(regexp_replace({strip_sql('question')}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS s FROM q0) SELECT question_id, 'one' AS model, md5(s[1]) AS answer_md5 FROM s UNION ALL SELECT question_id, 'two', md5(array_to_string(s[1:2], ' ')) FROM s"
+
+
+def embedding_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Answers against questions by vectors of tokens, and the scores of a model that is switched off."""
+    rows = questions(spark, d).where("answer IS NOT NULL")
+    scored = rows.select("question_id", metrics.embedding_score(F.col("answer"), F.col("question")).alias("e"), metrics.ragas().alias("r"))
+    return scored.select("question_id", *[F.round(f"e.{c}", 6).alias(c) for c in ("precision", "recall", "f1")], "r.*")
+
+
+def answer_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Hits, precision and reciprocal rank of chunks: those of the first five documents of a passage's search that hold it."""
+    from siltstone.plans.search import passages, sparse_topk
+
+    held = passages(table(spark, d, "documents"), table(spark, d, "benchmark")).withColumn("held", F.lit(True))
+    met = sparse_topk(spark, d).where("rank <= 5").join(held, ["item_id", "doc_id"], "left")
+    hits = F.count_if(F.col("held"))
+    return met.groupBy("item_id").agg(hits.alias("hits"), F.round(hits / 5, 6).alias("precision_at_5"), F.round(F.coalesce(1 / F.min(F.when(F.col("held"), F.col("rank"))), F.lit(0.0)), 6).alias("mrr"))
+
+
+def _hits_sql() -> str:
+    from siltstone.plans.search import _FOUND, _HELD
+
+    return f"WITH {_FOUND}, {_HELD} SELECT f.item_id, count(h.doc_id) AS hits, round(count(h.doc_id) / 5, 6) AS precision_at_5, round(coalesce(1.0::DOUBLE / min(CASE WHEN h.doc_id IS NOT NULL THEN rank END), 0.0), 6) AS mrr FROM f LEFT JOIN h ON h.item_id = f.item_id AND h.doc_id = f.doc_id WHERE rank <= 5 GROUP BY 1"
+
+
 QUERIES = {
     "metric_summary": (metric_summary, f"WITH {EVALUATION_SQL} {_SUMMARY_SQL}"),
     "latency_stats": (latency_stats, f"WITH {EVALUATION_SQL} SELECT {_LATENCY} FROM e"),
@@ -251,6 +320,11 @@ QUERIES = {
     "best_worst_docs": (best_worst_docs, _BEST_SQL),
     "resume_anti_join": (resume_anti_join, f"WITH {EVALUATION_SQL} SELECT question_id, found, CASE WHEN question_id % 3 = 0 THEN 'done' ELSE 'open' END AS state FROM e"),
     "baseline_similarity": (baseline_similarity, _BASELINE_SQL),
+    "evidence_ranks": (evidence_ranks, _evidence_sql()),
+    "answer_hits": (answer_hits, _hits_sql()),
+    "rouge": (rouge, _rouge_sql()),
+    "model_grid": (model_grid, _grid_sql()),
+    "embedding_scores": (embedding_scores, None),
     "text_scores": (text_scores, None),
     "fuzzy_evidence": (fuzzy_evidence, None),
     "judge_parse": (judge_parse, None),

@@ -53,10 +53,7 @@ f AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 
 
 def _found(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, _DOCS)
-    model = sparse.fit(docs, "text")
-    weights = sparse.postings(docs, "doc_id", "text", model)
-    return sparse.search(table(spark, d, "benchmark"), "item_id", "text", weights, "doc_id", model, K)
+    return sparse.search_texts(table(spark, d, "benchmark"), "item_id", "text", table(spark, d, _DOCS), "doc_id", "text", K)
 
 
 def sparse_topk(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +50,63 @@ def with_dead_letters(rows: DataFrame, good: str, bad: str, error: str = "error"
     return rows.sparkSession.read.parquet(good).count(), n
 
 
+def retried(write: Callable[[], None], attempts: int = 3, wait: float = 1.0) -> bool:
+    """Whether a write went through within the attempts; wait seconds, then twice as long each, lie between them."""
+    for turn in range(attempts):
+        try:
+            write()
+            return True
+        except Exception:
+            if turn + 1 < attempts:
+                time.sleep(wait * 2**turn)
+    return False
+
+
+def write_spool(parents: DataFrame, children: DataFrame, path: str) -> int:
+    """Parents and children as JSON lines, each with its chunk_type, and how many there are.
+
+    The closing line, which says how many of each were written, follows in a file of its
+    own once the others are in place; so a spool without it was cut short.
+    """
+    spark = parents.sparkSession
+    for rows, kind, mode in ((parents, "parent", "overwrite"), (children, "child", "append")):
+        rows.select(F.to_json(F.struct(F.lit(kind).alias("chunk_type"), *rows.columns)).alias("value")).write.mode(mode).text(path)
+    counts = spark.read.text(path).select(F.get_json_object("value", "$.chunk_type").alias("k")).agg(F.count_if(F.col("k") == "parent").alias("total_parents"), F.count_if(F.col("k") == "child").alias("total_children"))
+    n = counts.first()
+    end = spark.range(1).select(F.to_json(F.struct(F.lit(True).alias("__complete"), F.lit(n["total_children"]).alias("total_children"), F.lit(n["total_parents"]).alias("total_parents"))).alias("value"))
+    end.coalesce(1).write.mode("append").text(path)
+    return n["total_parents"] + n["total_children"]
+
+
+def write_progress(results: DataFrame, path: str, key: str, every: int = 25) -> int:
+    """Appends the results that the progress at path lacks, in parts of as many questions as say, and returns how many were added."""
+    spark = results.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    held = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    new = resume(results, spark.read.parquet(path).select(key), key) if held else results
+    new = new.persist()
+    n = new.count()
+    if n:
+        new.repartitionByRange(max(1, -(-n // every)), key).write.mode("append").parquet(path)
+    new.unpersist()
+    return n
+
+
+def save_upload(spark: SparkSession, name: str, content: bytes, folder: str) -> str:
+    """Writes an upload into a folder that a file source reads, under its own name without folders; the path."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{re.split(r'[/\\\\]', name)[-1]}")
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(content))
+    out.close()
+    return path.toString()
+
+
+def json_safe(rows: DataFrame) -> DataFrame:
+    """rows with every column that JSON has no type for as text."""
+    native = ("string", "boolean", "tinyint", "smallint", "int", "bigint", "float", "double")
+    return rows.select(*[F.col(f"`{c}`") if t in native or t.startswith(("array<string>", "array<double>", "array<int>", "array<bigint>")) else F.col(f"`{c}`").cast("string").alias(c) for c, t in rows.dtypes])
+
+
 def write_model(model: DataFrame, path: str) -> None:
     model.write.mode("overwrite").parquet(path)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import metrics as M
 from siltstone.functions import models
 from siltstone.functions import text as T
-from siltstone.operators import dedup, evaluation, fusion, pages, parsing, questions, sparse, vector
+from siltstone.operators import dedup, evaluation, fusion, layout, pages, parsing, questions, sparse, vector
 
 
 def values(df):
@@ -72,8 +72,8 @@ def test_dense_search_equals_expression(spark):
 def test_murmur_known_values_and_greedy_dedup(spark):
     import numpy as np
 
-    assert dedup.murmur3(b"abcd", np.array([42], np.uint32))[0] == -396302900
-    assert dedup.murmur3(b"", np.array([1], np.uint32)).view(np.uint32)[0] == 0x514E28B7
+    assert dedup.murmur3([b"abcd"], np.array([42], np.uint32))[0, 0] == -396302900
+    assert dedup.murmur3([b"", b"abcd"], np.array([1], np.uint32)).view(np.uint32)[0, 0] == 0x514E28B7
     base = "the quick brown fox jumps over the lazy dog and runs through the wide open field of golden wheat " * 3
     texts = [base, base + "x", "entirely different content about astronomy and stars " * 4, base, base + " yz", ""]
     signed = spark.createDataFrame(list(enumerate(texts)), "id long, t string").select("id", dedup.signature("t").alias("signature")).checkpoint()
@@ -151,7 +151,7 @@ def test_page_rules(spark):
 
 def test_layout(spark):
     rects = spark.createDataFrame([(1, k, float(x), 0.0, float(x + 5), 5.0) for k, x in enumerate([0, 8, 16, 50, 57])], "page int, id int, x0 double, y0 double, x1 double, y1 double")
-    assert sorted(values(pages.rect_clusters(rects, "page", 4.0).select("id", "cluster"))) == [(0, 0), (1, 0), (2, 0), (3, 3), (4, 3)]
+    assert sorted(values(layout.rect_clusters(rects, "page", 4.0).select("id", "cluster"))) == [(0, 0), (1, 0), (2, 0), (3, 3), (4, 3)]
     chars = [(1, 1, 10.0, float(i), 18.0, c, i) for i, c in enumerate("Title")] + [(1, 1, 40.0, float(i), 10.0, c, 10 + i) for i, c in enumerate("body text here")]
     heads = pages.font_headings(spark.createDataFrame(chars, "doc int, page int, top double, x double, size double, text string, pos int"), "doc")
     assert [(r.text, r.level) for r in heads.collect()] == [("Title", 1)]
