@@ -136,11 +136,14 @@ def _settled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     held = rows.groupBy("anchor", "content").agg(F.min(F.struct("doc", "place")).alias("first"), F.max("doc").alias("most"), F.count("*").alias("m"))
     firsts = scratch(held.select("anchor", "content", F.col("first.doc").alias("least"), F.col("first.place").alias("least_place"), "most", "m"))
     again = firsts.where("least < most").select(F.col("anchor").alias("a2"), F.col("content").alias("c2"), "least", "least_place", (F.col("m") * HEAVY > rows.count()).alias("heavy"))
-    same = (F.col("anchor") == F.col("a2")) & (F.col("content") == F.col("c2"))
-    heavy = F.broadcast(again.where("heavy"))
-    hits = rows.join(heavy, same).unionByName(rows.join(heavy.select("a2", "c2"), same, "left_anti").join(again.where("NOT heavy"), same))
+    heavy = again.where("heavy").select(F.col("a2").alias("a1"), F.col("c2").alias("c1"), F.struct("least", "least_place").alias("known"))
+    met = rows.join(F.broadcast(heavy), (F.col("anchor") == F.col("a1")) & (F.col("content") == F.col("c1")), "left")
+    # rows that have met a heavy content are dealt by keys of their own, so that none gathers
+    met = met.withColumn("anchor", F.when(F.col("known").isNull(), F.col("anchor")).otherwise(F.xxhash64("doc", "place")))
+    met = met.join(again.where("NOT heavy").select("a2", "c2", F.struct("least", "least_place").alias("found")), (F.col("anchor") == F.col("a2")) & (F.col("content") == F.col("c2")) & F.col("known").isNull(), "left")
+    hits = met.withColumn("ref", F.coalesce("known", "found")).where("doc > ref.least").select("doc", "place", "n", "ref.least", "ref.least_place")
     word = lambda place: F.col(place).bitwiseAND(WORD_PART)
-    return firsts, hits.where("doc > least").select("doc", F.shiftright("place", 32).cast("int").alias("mark"), word("place").alias("word"), "n", F.col("least").alias("ref_doc"), word("least_place").alias("ref_word"))
+    return firsts, hits.select("doc", F.shiftright("place", 32).cast("int").alias("mark"), word("place").alias("word"), "n", F.col("least").alias("ref_doc"), word("least_place").alias("ref_word"))
 
 
 def matches(docs: DataFrame) -> DataFrame:
