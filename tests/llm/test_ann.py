@@ -59,3 +59,43 @@ def test_parallel_error_is_smaller_than_by_plain_assignment():
     book = ann.Codebook.fit(x)
     part = lambda codes: np.abs(((book.split(x) - np.stack([book.words[j][codes[:, j]] for j in range(32)], axis=1)) * book.split(x)).sum(axis=(1, 2))).mean()
     assert part(book.assign(x)) < 0.9 * part(book.assign(x, turns=0))
+
+
+def test_many_blocks_parts_and_turns(spark, monkeypatch):
+    """Vectors around centres: a query scans some of the parts, in several turns, each part over several blocks."""
+    for name, value in (("BLOCK", 300), ("PART", 100), ("ASK", 40 * 16 * 8), ("SAMPLE", 3000)):
+        monkeypatch.setattr(ann, name, value)
+    rng = np.random.default_rng(8)
+    middle = rng.normal(size=(40, 16)) * 3
+    rows = [(i, (middle[i % 40 if i % 3 else 0] + rng.normal(size=16) * 0.4).astype(np.float32).tolist()) for i in range(6000)]
+    seen = []
+    monkeypatch.setattr(ann, "scan", lambda *a, scan=ann.scan: seen.append(a[4]) or scan(*a))
+    want, got = exact(rows, 20, 50), found(spark, rows, step=50)
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) / (20 * len(want)) >= 0.9
+    assert len(seen) > 1 and max(seen) < 30 and all(len(v) == 20 for v in got.values())
+
+
+def test_recall_on_the_given_table(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, list(r.embedding)) for r in table.select("vec_id", "embedding").collect()]
+    want, got = exact(rows, 20, 20), {}
+    for r in ann.search(table, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sum(len(got[q] & {i for i, _ in want[q]}) for q in want) / (20 * len(want)) >= 0.98
+
+
+def test_doubles_are_scored_as_they_are(spark):
+    rows = [(k, [1.0 + k * 1e-12, 0.1]) for k in range(50)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(ann.search(df, F.col("vec_id") == 0, 3).collect(), key=lambda r: r.rank)
+    assert [r.vec_id for r in got] == [49, 48, 47]
+    assert got[0].score == (1.0 + 49e-12) * 1.0 + 0.1 * 0.1
+
+
+def test_one_vector_that_a_third_of_all_rows_hold(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 200)
+    rng = np.random.default_rng(9)
+    hot = rng.normal(size=8).astype(np.float32).tolist()
+    rows = [(i, hot if i % 3 == 0 else rng.normal(size=8).astype(np.float32).tolist()) for i in range(3000)]
+    want, got = exact(rows, 20, 300), found(spark, rows, step=300)
+    assert {q: [i for i, _ in v] for q, v in got.items() if q % 3 == 0} == {q: [i for i, _ in v] for q, v in want.items() if q % 3 == 0}
