@@ -20,8 +20,8 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trusted = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return quality_rules.judge(_table(spark, sf_dir, "documents"), trusted)
+    labels = _table(spark, sf_dir, "labels")
+    return quality_rules.judge(_table(spark, sf_dir, "documents"), labels.where("quality = 1"), labels.where("quality = 0"))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
