@@ -18,9 +18,11 @@ shuffle; ranks are rows (kind, host), so both directions share each of TURNS joi
 host results meet the pages by a salted key, as one host may hold a third of them.
 
 Cases: a null url or one without :// has an empty host and path, which no rule fits;
-an empty host has no edges and is allowed; a null html has no links; repeated rows
-are judged each and weigh each; rules of equal length go by verdict, block first;
-extra columns are not carried.
+an empty host has no edges and is allowed; a null html has no links; urls and pages of any
+length are read whole; repeated rows are judged each and weigh each; rules of equal
+length go by verdict, block first; equal trust and distrust allow; without rules, or
+without pages that any fits, all are allowed; an empty table gives no rows; extra
+columns, whatever their names, are not carried.
 """
 
 from __future__ import annotations
@@ -105,7 +107,9 @@ def propagate(seeds: DataFrame, edges: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for each row of pages (page_id, url, html)."""
     spark = pages.sparkSession
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string") if rules is None else rules
+    if rules is None:
+        fixed = [F.struct(*[F.lit(x).alias(c) for x, c in zip(rule, ("host", "path", "verdict"), strict=True)]) for rule in RULES]
+        rules = spark.range(1).select(F.explode(F.array(*fixed)).alias("r")).select("r.*")
     read = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     known = ruled(read, rules)
     counts = scratch(known.where("ruling IS NOT NULL").groupBy(F.col("ruling").alias("kind"), "host").agg(F.count("*").cast("double").alias("n")))

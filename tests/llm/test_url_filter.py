@@ -58,3 +58,19 @@ def test_repeated_rows_and_empty_table(spark):
     rows = [(1, "http://a.com/en/", None)] * 3
     assert spark.createDataFrame(rows, PAGES).selectExpr("*", "1 AS host", "2 AS rule", "3 AS trust").transform(U.judge).count() == 3
     assert U.judge(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_ties_long_urls_repeated_rows_and_empty_tables(spark):
+    shape = "page_id long, url string, html string"
+    rules = spark.createDataFrame([("com", "/aa/", "allow"), ("x.com", "/a", "block"), ("com", "/aaa", "block")], "host string, path string, verdict string")
+    long = "https://deep.x.com/" + "a" * 200_000
+    rows = [(1, "http://x.com/aa/1", None), (2, long, "x" * 100_000), (3, "http://y.com/aa/", ""), (3, "http://y.com/aa/", ""), (4, None, None), (5, "no scheme", None)]
+    out = {r.page_id: r for r in U.judge(spark.createDataFrame(rows, shape), rules).collect()}
+    # x.com/a and com/aa/ are seven characters each: block goes first
+    assert (out[1].rule, out[1].verdict) == ("x.com/a", "block")
+    assert out[2].path == "/" + "a" * 200_000 and out[2].verdict == "block"
+    assert out[3].verdict == "allow" and out[4].host == "" and out[5].path == "" and out[4].rule is None
+    assert U.judge(spark.createDataFrame(rows, shape), rules).count() == len(rows)
+    assert U.judge(spark.createDataFrame([], shape)).count() == 0
+    alone = U.judge(spark.createDataFrame(rows, shape), rules.limit(0)).collect()
+    assert {r.verdict for r in alone} == {"allow"} and {r.rule for r in alone} == {None}
