@@ -16,7 +16,7 @@ without special tokens added, and its decode() with special tokens kept.
 
 Cases: null and empty texts have no ids and decode to the empty string; texts of any
 length are encoded whole, and long words merged by a heap; words of equal count go into
-the automaton in their own order, which changes no ids; repeated rows are encoded alike;
+the automaton in their own order, those that occur once never, which changes no ids; repeated rows are encoded alike;
 an empty table gives an empty one; extra columns pass through unchanged, but those named
 ids or decoded are replaced.
 """
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 from tokenizers import Tokenizer
 
-from siltstone.llm.shared import columns_of, rest_of, scratch_root, shipped, small_batches
+from siltstone.llm.shared import columns_of, most_frequent, rest_of, scratch_root, shipped, small_batches, tidy
 from siltstone.llm.texts import LETTERS, NUMBERS, PLAIN
 
 #: Words in the automaton, and the bytes of one: with these its size has a bound.
@@ -318,7 +318,8 @@ def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON) -> str:
     """Compiles the most frequent words of docs and hands the file to all executors; its name there."""
     spark = docs.sparkSession
     small_batches(spark)
-    top = word_counts(docs, shipped(spark, path)).orderBy(F.desc("count"), "word").limit(size).toArrow()
+    with tidy():
+        top = most_frequent(word_counts(docs, shipped(spark, path)).where("count > 1"), "word", "count", size).toArrow()
     merge = read(path).merge
     raw = compile_lexicon({w: merge(w) for w in top["word"].to_pylist()})
     name = f"lexicon-{uuid.uuid4().hex}.bin"

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from siltstone.llm.shared import columns_of, rest_of, small_batches
+from siltstone.llm.shared import columns_of, most_frequent, rest_of, small_batches, tidy
 
 SAMPLE = 20_000
 TREES, DEPTH, LEAF, BINS = 40, 9, 4, 32
@@ -123,7 +123,8 @@ def corpus_words(docs: DataFrame, n: int = LEXICON) -> list[str]:
     """The n runs of 4 to 16 letters a-z that most documents hold, lower-cased, ties in their own order."""
     found = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(?<![\p{L}\p{N}])([a-z]{4,16})(?![\p{L}\p{N}])"), F.lit(1))
     counted = docs.select(F.explode(F.array_distinct(found)).alias("word")).groupBy("word").agg(F.count("*").alias("docs")).where("docs > 1")
-    return [r.word for r in counted.orderBy(F.desc("docs"), "word").limit(n).collect()]
+    with tidy():
+        return [r.word for r in most_frequent(counted, "word", "docs", n).collect()]
 
 
 def nearest_path(before: str) -> str:

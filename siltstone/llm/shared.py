@@ -134,6 +134,23 @@ def discard(*tables: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def most_frequent(counted: DataFrame, key: str, count: str, n: int) -> DataFrame:
+    """The n rows of counted with the largest counts, ties to the smaller key.
+
+    How many rows have counts of each size, at most a few hundred sizes, tells which are
+    out of the question; so tasks hand over little more than n rows in all.
+    """
+    kept = scratch(counted)
+    size = F.floor(8 * F.log2(F.col(count))).cast("int")
+    sizes = sorted(((r["s"], r["m"]) for r in kept.groupBy(size.alias("s")).agg(F.count("*").alias("m")).collect()), reverse=True)
+    total, least = 0, None
+    for s, m in sizes:
+        least, total = s, total + m
+        if total >= n:
+            break
+    return (kept if least is None else kept.where(size >= least)).orderBy(F.desc(count), key).limit(n)
+
+
 class Bloom:
     """A bit set over 64-bit keys, built by aggregation in the cluster and sized by their number.
 
