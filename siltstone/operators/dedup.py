@@ -5,17 +5,23 @@ of at least the threshold. That is the first maximal independent set, in the ord
 the chunks, of the graph of similar pairs. Banding misses no pair: an estimate of 0.8
 leaves at most 25 of 128 places different, which touch at most 25 of 32 bands.
 
+Bands put all texts of one language together, as they share the commonest shingles. So the decision
+goes by single places instead, which misses no pair either: two signatures that agree
+in m places or more share one of the 128 - m + 1 rarest (place, value) of each, in an order
+of rarity that is the same for all. Only those make buckets.
+
 Chunks of equal signatures are one class from the start, its earliest chunk standing
 for it, so copies cost nothing.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
@@ -24,8 +30,9 @@ from siltstone.functions.vectorised import vectorised
 PERMUTATIONS, BANDS, SHINGLE = 128, 32, 4
 ROWS = PERMUTATIONS // BANDS
 THRESHOLD = 0.8
-#: Undecided members of a bucket up to which its pairs are listed.
-BUCKET = 64
+#: Undecided members of a bucket up to which its pairs are listed, and the first ones of a larger one that a turn compares all with.
+BUCKET, HEADS = 64, 32
+CELLS = 1 << 20
 
 
 def _rotate(x: np.ndarray, r: int) -> np.ndarray:
@@ -112,59 +119,108 @@ def _agreeing(pairs: DataFrame, signed: DataFrame, key: str, threshold: float) -
     return pairs.join(left, "a").join(right, "b").select("a", "b", (same / PERMUTATIONS).alias("agreement")).where(F.col("agreement") >= threshold)
 
 
+def _cell(token):
+    """A token's cell in the table of levels, for columns and for arrays alike."""
+    return token * 40503 >> 8 if isinstance(token, np.ndarray) else F.shiftright(token * F.lit(40503).cast("long"), 8)
+
+
+def _levels(firsts: DataFrame) -> np.ndarray:
+    """How often the tokens of a cell occur, in quarters of powers of two: CELLS bytes, whatever the number of chunks."""
+    token = F.explode(F.transform("signature", lambda v, k: v.cast("long") * PERMUTATIONS + k))
+    counts = firsts.select(token.alias("t")).groupBy(F.pmod(_cell(F.col("t")), F.lit(CELLS)).cast("int").alias("cell")).agg(F.floor(4 * F.log2(F.count("*"))).cast("byte").alias("level")).toArrow()
+    table = np.zeros(CELLS, np.uint8)
+    table[counts["cell"].to_numpy()] = counts["level"].to_numpy()
+    return table
+
+
+def rare_tokens(firsts: DataFrame, key: str, threshold: float) -> DataFrame:
+    """(key, bucket): each chunk's rarest tokens, as many as a similar one must share one of."""
+    most = PERMUTATIONS - math.ceil(threshold * PERMUTATIONS - 1e-9) + 1
+    levels = firsts.sparkSession.sparkContext.broadcast(_levels(firsts))
+
+    def rare(signature: pd.Series) -> pd.Series:
+        table = np.stack(signature.to_list()).astype(np.int64) * PERMUTATIONS + np.arange(PERMUTATIONS)
+        order = np.lexsort((table, levels.value[_cell(table) % CELLS]))[:, :most]
+        return pd.Series(list(np.take_along_axis(table, order, axis=1)))
+
+    return firsts.select(key, F.explode(F.pandas_udf(rare, "array<long>")("signature")).alias("bucket"))
+
+
 def _shared(keys: DataFrame) -> DataFrame:
-    """Band keys that at least two chunks have."""
-    held = keys.groupBy("band", "band_key").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    return keys.join(held, ["band", "band_key"])
+    """Buckets that at least two chunks are in."""
+    held = keys.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    return keys.join(held, "bucket")
 
 
-def similar_pairs(keys: DataFrame, signed: DataFrame, key: str, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, agreement) with a < b of all pairs that share a band key; for buckets of bounded size."""
-    other = keys.select(F.col(key).alias("b"), "band", "band_key")
-    pairs = keys.withColumnRenamed(key, "a").join(other, ["band", "band_key"]).where("a < b").select("a", "b").distinct()
+def similar_pairs(keys: DataFrame, signed: DataFrame, key: str, threshold: float = THRESHOLD, bucket: tuple[str, ...] = ("band", "band_key")) -> DataFrame:
+    """(a, b, agreement) with a < b of all pairs that share a bucket; for buckets of bounded size."""
+    other = keys.select(F.col(key).alias("b"), *bucket)
+    pairs = keys.withColumnRenamed(key, "a").join(other, list(bucket)).where("a < b").select("a", "b").distinct()
     return _agreeing(pairs, signed, key, threshold)
 
 
-def _without(keys: DataFrame, key: str, out: DataFrame) -> DataFrame:
-    return _shared(keys.join(out.toDF("_out"), F.col(key) == F.col("_out"), "left_anti")).checkpoint()
+def _cut(rows: DataFrame) -> DataFrame:
+    """rows computed once, their lineage cut where the session has a checkpoint folder."""
+    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.persist()
 
 
 def keep_first(signed: DataFrame, key: str, threshold: float = THRESHOLD) -> DataFrame:
     """(key, kept, duplicate_of) for every row of signed (key, signature), keys in order of arrival.
 
-    While a bucket has more than BUCKET undecided members, a turn keeps the chunks that
-    are the first of all their buckets and drops what is similar to them, comparing
-    each bucket's members with its first only. Then the remaining pairs are listed, and
-    each turn keeps the chunks without an undecided earlier neighbour and drops their
-    neighbours. State is written out between turns.
+    While a bucket has more than BUCKET undecided members, a turn compares each large
+    bucket's members with its first HEADS, keeps what has no undecided earlier similar
+    one, as far as that is known, and drops what is similar to the kept. Then the remaining pairs are
+    listed, and each turn keeps the chunks without an undecided earlier neighbour and
+    drops their neighbours. State is written out between turns.
     """
     classes = signed.groupBy("signature").agg(F.min(key).alias("_first"))
-    firsts = classes.select(F.col("_first").alias(key), "signature").checkpoint()
-    keys = _shared(band_keys(firsts, key)).checkpoint()
+    firsts = _cut(classes.select(F.col("_first").alias(key), "signature"))
+    keys = _cut(_shared(rare_tokens(firsts, key, threshold)))
     gone: list[DataFrame] = []
-    while (keys.groupBy("band", "band_key").count().agg(F.max("count")).first()[0] or 0) > BUCKET:
-        heads = keys.groupBy("band", "band_key").agg(F.min(key).alias("a")).checkpoint()
+    while (keys.groupBy("bucket").count().agg(F.max("count")).first()[0] or 0) > BUCKET:
+        place = F.row_number().over(Window.partitionBy("bucket").orderBy(key))
+        heads = keys.withColumn("_place", place).where(F.col("_place") <= HEADS).select("bucket", F.col(key).alias("a"))
+        heads = _cut(heads)
+        met = keys.withColumnRenamed(key, "b").join(heads, "bucket").where("a < b").select("a", "b").distinct()
+        edges = _cut(_agreeing(met, firsts, key, threshold).select("a", "b"))
+        # of a chunk that is a head of all its buckets, every earlier neighbour is known
         own = keys.groupBy(F.col(key).alias("a")).agg(F.count("*").alias("_n"))
-        free = heads.groupBy("a").agg(F.count("*").alias("_m")).join(own, "a").where("_n = _m").select("a").checkpoint()
-        met = keys.withColumnRenamed(key, "b").join(heads.join(free, "a", "left_semi"), ["band", "band_key"]).where("a <> b").select("a", "b").distinct()
-        lost = _agreeing(met, firsts, key, threshold).groupBy("b").agg(F.min("a").alias("by")).checkpoint()
-        gone.append(lost)
-        keys = _without(keys, key, free.union(lost.select("b")))
-    edges = similar_pairs(keys, firsts, key, threshold).select("a", "b").checkpoint()
-    while not edges.isEmpty():
-        # an earlier end without an earlier neighbour is kept; what it touches goes
-        free = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti").checkpoint()
-        lost = edges.join(free, "a").groupBy("b").agg(F.min("a").alias("by")).checkpoint()
+        known = _cut(heads.groupBy("a").agg(F.count("*").alias("_m")).join(own, "a").where("_n = _m").select("a"))
+        kept, lost = _decided(edges, known)
         gone.append(lost)
-        out = free.union(lost.select("b")).toDF("x")
-        edges = edges.join(out, F.col("a") == F.col("x"), "left_anti").join(out, F.col("b") == F.col("x"), "left_anti").checkpoint()
+        out = kept.select(F.col("a").alias("_out")).unionByName(lost.select(F.col("b").alias("_out"))).distinct()
+        keys = _cut(_shared(keys.join(out, F.col(key) == F.col("_out"), "left_anti")))
+    edges = _cut(similar_pairs(keys, firsts, key, threshold, ("bucket",)).select("a", "b"))
+    every = keys.select(F.col(key).alias("a")).distinct()
+    gone.append(_decided(edges, every)[1])
     rows = signed.join(classes, "signature").select(key, "_first")
-    if gone:
-        rows = rows.join(reduce(DataFrame.unionByName, gone).withColumnRenamed("b", "_first"), "_first", "left")
-    else:
-        rows = rows.withColumn("by", F.lit(None).cast("long"))
+    least = reduce(DataFrame.unionByName, gone).groupBy("b").agg(F.min("by").alias("by")).withColumnRenamed("b", "_first")
     copy = F.when(F.col(key) != F.col("_first"), F.col("_first"))
-    return rows.select(key, (F.col("by").isNull() & copy.isNull()).alias("kept"), F.coalesce("by", copy).alias("duplicate_of"))
+    return rows.join(least, "_first", "left").select(key, (F.col("by").isNull() & copy.isNull()).alias("kept"), F.coalesce("by", copy).alias("duplicate_of"))
+
+
+def _decided(edges: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a) of the chunks kept and (b, by) of those dropped, by edges (a, b) with a first, where all edges towards the known are there."""
+    left, open_ = edges, known
+    kept, lost = None, None
+    while True:
+        # a known one without an undecided earlier neighbour is kept; what it touches goes
+        free = _cut(open_.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti"))
+        if free.isEmpty():
+            break
+        hit = _cut(left.join(free, "a").groupBy("b").agg(F.min("a").alias("by")))
+        kept = free if kept is None else kept.unionByName(free)
+        lost = hit if lost is None else lost.unionByName(hit)
+        out = free.unionByName(hit.select(F.col("b").alias("a"))).distinct()
+        open_ = _cut(open_.join(out, "a", "left_anti"))
+        gone = hit.select(F.col("b").alias("x"))
+        left = left.join(free, "a", "left_anti").join(gone, F.col("a") == F.col("x"), "left_anti").join(gone, F.col("b") == F.col("x"), "left_anti")
+        left = _cut(left)
+    if kept is None:
+        kind = dict(known.dtypes)["a"]
+        empty = known.sparkSession.createDataFrame([], f"a {kind}, b {kind}, by {kind}")
+        return empty.select("a"), empty.select("b", "by")
+    return kept, lost
 
 
 def questions_by_hash(rows: DataFrame, question: str, order: str) -> DataFrame:
