@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import columns_of
+from siltstone.llm.shared import fresh, named
 
 SAMPLE = 20_000
 FOLDS, HELD_OUT = 4, 2
@@ -192,19 +192,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> Rules:
     return fit_rules(list(stats), x, rows["_quality"].to_numpy().astype(np.float64))
 
 
-def _scored(docs: DataFrame, rules: Rules) -> DataFrame:
-    """(row, id, score): docs' rows as one struct, so that none of their names matters."""
-    stats = statistics(F.col("text"))
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.struct(*[c.alias(n) for n, c in stats.items()]).alias("stats"))
-    return rows.select("row", "id", rules.column({n: F.col(f"stats.{n}") for n in stats}).alias("score"))
+def _scored(docs: DataFrame, rules: Rules) -> tuple[DataFrame, str]:
+    """docs with the score, and the name of that column, which docs lack."""
+    found, stats = statistics(F.col("text")), fresh(docs, "stats")
+    own = fresh(docs, "points")
+    rows = docs.select("*", F.struct(*[c.alias(n) for n, c in found.items()]).alias(stats))
+    return rows.select(*map(named, docs.columns), rules.column({n: F.col(stats).getField(n) for n in found}).alias(own)), own
 
 
 def score(docs: DataFrame, rules: Rules) -> DataFrame:
     """docs with score, held_out and predicted."""
-    own = {"score": F.col("score"), "held_out": F.coalesce(fold(F.col("id")) == HELD_OUT, F.lit(False)), "predicted": (F.col("score") >= THRESHOLD).cast("int")}
-    return _scored(docs, rules).select(*columns_of("row", [c for c in docs.columns if c not in own]), *[c.alias(name) for name, c in own.items()])
+    rows, points = _scored(docs, rules)
+    own = {"score": F.col(points), "held_out": F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False)), "predicted": (F.col(points) >= THRESHOLD).cast("int")}
+    return rows.select(*[named(c) for c in docs.columns if c not in own], *[c.alias(name) for name, c in own.items()])
 
 
 def keep_good(docs: DataFrame, rules: Rules) -> DataFrame:
     """The rows of docs whose score reaches THRESHOLD, unchanged."""
-    return _scored(docs, rules).where(F.col("score") >= THRESHOLD).select(*columns_of("row", docs.columns))
+    rows, points = _scored(docs, rules)
+    return rows.where(F.col(points) >= THRESHOLD).select(*map(named, docs.columns))

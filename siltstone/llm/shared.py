@@ -119,6 +119,14 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A name that no column of docs has, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def rest_of(docs: DataFrame, *without: str) -> tuple[Column, StructField]:
     """The columns of docs but some as one struct named row, and its field: so they go through Python whatever their names."""
     fields = [f for f in docs.schema if f.name not in without]
