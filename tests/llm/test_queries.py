@@ -38,4 +38,5 @@ def test_columns_and_rows(spark, name):
     if one and name not in ("op9_secret_scan", "op10_packing"):
         assert rows.count() == spark.read.parquet(f"{DATA}/{one}.parquet").count()
     else:
-        assert rows.count() > 0
+        # no document of the smallest tables holds a secret
+        assert (rows.count() > 0) == (name != "op9_secret_scan")
