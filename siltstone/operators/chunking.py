@@ -320,6 +320,12 @@ def smart_sections(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [s._asdict() for s in split_sections(t or "", "Document", numbered=True)])
 
 
+@vectorised("array<int>")
+def topics(text: pd.Series) -> pd.Series:
+    """The numbers of the sentences at which the topic changes."""
+    return text.map(lambda t: sorted(topic_starts(split_sentences(t or ""))))
+
+
 @vectorised(_PAGED)
 def page_chunks(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [{"text": c, "pages": p} for c, p in page_aware(t or "")] if t else [])

@@ -97,11 +97,17 @@ def latency_bins(rows: DataFrame, latency: str = "latency", metric: str = "recal
 
 
 def failures(rows: DataFrame, groups: Sequence[str], digits: int = 6) -> DataFrame:
-    """(dimension, value, failures, questions, failure_rate): rows not found, errors among them, in total and by group."""
-    lost = F.count_if(F.col("found") == 0)
-    out = [rows.agg(F.lit("all").alias("dimension"), F.lit("all").alias("value"), lost.alias("failures"), F.count("*").alias("questions"))]
-    out += [rows.groupBy(F.coalesce(g, F.lit("unknown")).alias("value")).agg(lost.alias("failures"), F.count("*").alias("questions")).select(F.lit(g).alias("dimension"), "value", "failures", "questions") for g in groups]
-    every = reduce(DataFrame.unionByName, out)
+    """(dimension, value, failures, questions, failure_rate): rows not found, errors among them, in total and by group, in one pass by grouping sets."""
+    named = rows.select("found", *[F.coalesce(g, F.lit("unknown")).alias(g) for g in groups])
+    sets = named.groupingSets([[], *[[F.col(g)] for g in groups]], *[F.col(g) for g in groups]).agg(F.grouping_id().alias("_set"), F.count_if(F.col("found") == 0).alias("failures"), F.count("*").alias("questions"))
+    n = len(groups)
+    # the set of one group has the bits of all others
+    alone = [(2**n - 1) - 2 ** (n - 1 - k) for k in range(n)]
+    dimension = F.when(F.col("_set") == 2**n - 1, "all")
+    value = F.when(F.col("_set") == 2**n - 1, "all")
+    for k, g in enumerate(groups):
+        dimension, value = dimension.when(F.col("_set") == alone[k], g), value.when(F.col("_set") == alone[k], F.col(g))
+    every = sets.select(dimension.alias("dimension"), value.alias("value"), "failures", "questions")
     return every.withColumn("failure_rate", F.round(F.try_divide("failures", "questions"), digits)).where("failures > 0 OR dimension = 'all'")
 
 

@@ -265,7 +265,35 @@ def parent_child(spark: SparkSession, d: str) -> DataFrame:
 
 def page_aware_chunks(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select("doc_id", F.posexplode(chunking.page_chunks("text")).alias("chunk", "c"))
-    return rows.select("doc_id", "chunk", F.length("c.text").alias("chars"), "c.pages")
+    return rows.select("doc_id", "chunk", F.length("c.text").alias("chars"), F.array_join("c.pages", ",").alias("pages"))
+
+
+_PAGED = "'[Page 1] ' || substring(text, 1, 900) || chr(10) || '[Page 2] ' || substring(text, 901, 900) || chr(10) || '[Page 30] end'"
+
+
+def page_marked_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of three marked pages, all of which fit one chunk."""
+    paged = F.concat(F.lit("[Page 1] "), F.substring("text", 1, 900), F.lit("\n[Page 2] "), F.substring("text", 901, 900), F.lit("\n[Page 30] end"))
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(chunking.page_chunks(paged)).alias("chunk", "c"))
+    return rows.select("doc_id", "chunk", F.length("c.text").alias("chars"), F.array_join("c.pages", ",").alias("pages"))
+
+
+def table_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The nations of each region as a table's text, chunked by rows under its header."""
+    line = F.concat_ws(" | ", F.col("n_nationkey").cast("string"), F.col("n_name"))
+    rows = table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("l")))).alias("ls"))
+    text = F.concat(F.lit("[Table 1]\nkey | name\n----------\n"), F.array_join(F.transform("ls", lambda x: x["l"]), "\n"))
+    up = chunking.parents(rows.select("n_regionkey", text.alias("text")), "n_regionkey")
+    return up.select("n_regionkey", "parent_index", "title", "kind", "text", "sentence_count")
+
+
+_TABLE_CHUNKS_SQL = """WITH t AS (SELECT n_regionkey, 'key | name' || chr(10) || '----------' || chr(10) || string_agg(n_nationkey || ' | ' || n_name, chr(10) ORDER BY n_nationkey) AS t, count(*) AS n FROM nation GROUP BY 1)
+SELECT n_regionkey, 0 AS parent_index, '[Table 1]' AS title, 'table' AS kind, '[[Table 1]]' || chr(10) || t AS text, CAST(n + 2 AS INT) AS sentence_count FROM t WHERE length(t) >= 60"""
+
+
+def semantic_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Where the topics of each document begin, among its sentences."""
+    return table(spark, d, "documents").select("doc_id", F.explode(chunking.topics("text")).alias("sentence"))
 
 
 def minhash_signature(spark: SparkSession, d: str) -> DataFrame:
@@ -305,7 +333,10 @@ QUERIES = {
     "model_context": (model_context, _MODEL_CONTEXT_SQL),
     "recognised_text": (recognised_text, "SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN lang ELSE 'unreadable' END AS text, CASE WHEN doc_id % 3 <> 0 THEN 'text: ' || lang END AS described FROM documents"),
     "parent_child": (parent_child, None),
-    "page_aware_chunks": (page_aware_chunks, None),
+    "page_aware_chunks": (page_aware_chunks, f"SELECT doc_id, 0 AS chunk, CAST(length({strip_sql('text')}) AS INT) AS chars, '' AS pages FROM documents WHERE {strip_sql('text')} <> ''"),
+    "page_marked_chunks": (page_marked_chunks, f"SELECT doc_id, 0 AS chunk, CAST(length({_PAGED}) AS INT) AS chars, '1,2,30' AS pages FROM documents"),
+    "table_chunks": (table_chunks, _TABLE_CHUNKS_SQL),
+    "semantic_chunks": (semantic_chunks, None),
     "minhash_signature": (minhash_signature, None),
     "near_dup_greedy": (near_dup_greedy, None),
 }

@@ -216,6 +216,35 @@ def incremental_ingest(spark: SparkSession, d: str) -> DataFrame:
     return count("parents").join(count("children"), "file_hash")
 
 
+def _database(spark: SparkSession) -> str:
+    """A new database whose tables lie in a workspace of their own."""
+    name = f"siltstone_{uuid.uuid4().hex[:12]}"
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{workspace(spark)}'")
+    return name
+
+
+def upserts(spark: SparkSession, d: str) -> DataFrame:
+    """A table of vectors written in three turns, each with rows that the one before has, too."""
+    rows, name = table(spark, d, "embeddings").select("vec_id", "label"), f"{_database(spark)}.vectors"
+    sinks.upsert(rows.where("vec_id % 2 = 0").withColumn("turn", F.lit(1)), name, "vec_id")
+    sinks.upsert(rows.where("vec_id % 3 = 0").withColumn("turn", F.lit(2)), name, "vec_id")
+    sinks.retried(lambda: sinks.upsert(rows.where("vec_id % 5 = 0").withColumn("turn", F.lit(3)), name, "vec_id"))
+    return spark.table(name)
+
+
+def collections(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a collection is there before and after it is written, and what a prefix drops."""
+    database = _database(spark)
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("dense"))
+    found = [("before", str(sinks.ensure_collection(spark, f"{database}.vectors", 64)).lower())]
+    for name in ("vectors", "temp_a", "test_b"):
+        sinks.upsert(rows.where("vec_id < 5"), f"{database}.{name}", "vec_id")
+    found.append(("after", str(sinks.ensure_collection(spark, f"{database}.vectors", 64)).lower()))
+    found.append(("dropped", ",".join(sinks.drop_by_prefix(spark, dry_run=False, database=database))))
+    found.append(("left", ",".join(sorted(t.name for t in spark.catalog.listTables(database)))))
+    return spark.createDataFrame(found, "step string, result string")
+
+
 QUERIES = {
     "load_by_suffix": (load_by_suffix, _LOAD_SQL),
     "txt_round_trip": (txt_round_trip, "SELECT lang, count(*) AS lines, min(md5(text)) AS first, max(md5(text)) AS last FROM documents GROUP BY 1"),
@@ -237,5 +266,7 @@ QUERIES = {
     "projection": (projection, "SELECT doc_id, lang FROM documents"),
     "config_dump": (config_dump, f"SELECT * FROM (VALUES ('chunking', '{{\"child\": {chunking.CHILD}, \"parent\": {chunking.PARENT}}}'), ('retrieval', '{{\"top_k\": 10, \"weights\": [0.6, 0.4]}}')) AS t(section, settings)"),
     "min_content": (min_content, f"SELECT doc_id FROM documents WHERE length({strip_sql('substring(text, 1, doc_id % 100)')}) >= {chunking.LEAST}"),
+    "upserts": (upserts, "SELECT vec_id, label, CASE WHEN vec_id % 5 = 0 THEN 3 WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END AS turn FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 = 0 OR vec_id % 5 = 0"),
+    "collections": (collections, "SELECT * FROM (VALUES ('before', 'false'), ('after', 'true'), ('dropped', 'temp_a,test_b'), ('left', 'vectors')) AS t(step, result)"),
     "incremental_ingest": (incremental_ingest, None),
 }

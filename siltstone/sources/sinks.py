@@ -126,12 +126,12 @@ def resume(questions: DataFrame, progress: DataFrame, key: str = "id") -> DataFr
     return questions.join(progress.select(key), key, "left_anti")
 
 
-def drop_by_prefix(spark: SparkSession, prefixes: tuple[str, ...] = ("temp", "test"), dry_run: bool = True) -> list[str]:
-    """Names of the tables that begin with a prefix; they are dropped unless it is a dry run."""
-    names = sorted(t.name for t in spark.catalog.listTables() if t.name.lower().startswith(prefixes))
+def drop_by_prefix(spark: SparkSession, prefixes: tuple[str, ...] = ("temp", "test"), dry_run: bool = True, database: str | None = None) -> list[str]:
+    """Names of the tables of a database, the current one by default, that begin with a prefix; they are dropped unless it is a dry run."""
+    names = sorted(t.name for t in spark.catalog.listTables(database) if t.name.lower().startswith(prefixes))
     if not dry_run:
         for name in names:
-            spark.sql(f"DROP TABLE IF EXISTS {name}")
+            spark.sql(f"DROP TABLE IF EXISTS {f'{database}.' if database else ''}{name}")
     return names
 
 
