@@ -225,6 +225,11 @@ def bookmark_trail(pages: DataFrame, bookmarks: DataFrame, key: str, levels: int
     return every.where("level IS NULL").select(key, "page", trail.alias("trail"))
 
 
+#: Fixed formats of the blocks for images and drawings.
+IMAGE_BLOCK, DIAGRAM_BLOCK = "\n[IMAGE %d]\n%s\n", "\n[DIAGRAM 1]\n%s\n"
+SHOWN, EMBEDDED = "%s\n[Image %d/%d on page %d, size %s]", "[Embedded image %d/%d, page %d, size %s]"
+
+
 def image_markers(images: Column, page: Column, described: Column, drawn: Column, diagram: Column) -> Column:
     """The tagged blocks of a page's visual elements, one for each meaningful image (width, height), then one for its drawings.
 
@@ -238,12 +243,12 @@ def image_markers(images: Column, page: Column, described: Column, drawn: Column
 
     def block(i: Column, k: Column) -> Column:
         size = F.format_string("%d\u00d7%d px", i["width"], i["height"])
-        own = F.format_string("%s\n[Image %d/%d on page %d, size %s]", described, k + 1, n, page, size)
-        bare = F.format_string("[Embedded image %d/%d, page %d, size %s]", k + 1, n, page, size)
-        return F.format_string("\n[IMAGE %d]\n%s\n", k + 1, F.when(told, own).otherwise(bare))
+        own = F.format_string(SHOWN, described, k + 1, n, page, size)
+        bare = F.format_string(EMBEDDED, k + 1, n, page, size)
+        return F.format_string(IMAGE_BLOCK, k + 1, F.when(told, own).otherwise(bare))
 
     said = (F.coalesce(diagram, F.lit("")) != "") & ((n == 0) | drawn)
-    return F.concat(F.transform(kept, block), F.when(said, F.array(F.format_string("\n[DIAGRAM 1]\n%s\n", diagram))).otherwise(F.array().cast("array<string>")))
+    return F.concat(F.transform(kept, block), F.when(said, F.array(F.format_string(DIAGRAM_BLOCK, diagram))).otherwise(F.array().cast("array<string>")))
 
 
 def vision_type(response: Column, more: bool = False, cut: int = 4000) -> Column:
