@@ -53,7 +53,7 @@ from siltstone.llm.texts import PLAIN
 
 TOKENS = 1024
 SEGMENTS = 64
-LOSS = 960
+LOSS = 992
 PROMPT = 0.25
 END = 0
 WAITING = 128
