@@ -62,6 +62,8 @@ FEW = 3
 PRUNINGS = 2
 #: Crossing pairs for each listed value up to which all are verified at once.
 CROSSING = 1
+#: Values of a bucket, about, in which they are counted.
+BUCKET = 1 << 18
 #: Size classes for each doubling of a set's size.
 STEPS = 16
 SALTS = 16
@@ -158,12 +160,52 @@ def _least(n: int) -> int:
     return -(-3 * n // 4)
 
 
-def _values(batches):
-    """(v, comp) of every value of each class (node, text, comp)."""
-    for batch in batches:
-        sets = list(shingle_sets(batch.column(1)))
-        comp = np.repeat(np.asarray(batch.column(2)), [len(s) for s in sets])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)), pa.array(comp, pa.int64())], names=["v", "comp"])
+def _packed_into(buckets: int):
+    """(b, packed): the values of each batch of classes (node, text, comp) in buckets, each distinct one once with its least and largest component and its count."""
+
+    def packed(batches):
+        for batch in batches:
+            sets = list(shingle_sets(batch.column(1)))
+            rows = np.zeros((4, sum(map(len, sets))), np.int64)
+            if sets:
+                rows[0] = np.concatenate(sets)
+                rows[1] = rows[2] = np.repeat(np.asarray(batch.column(2)), [len(s) for s in sets])
+                rows[3] = 1
+            rows = _summed(rows)
+            bucket = (rows[0].view(np.uint64) >> np.uint64(8)) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            names, first = np.unique(bucket[order], return_index=True)
+            parts = np.split(rows[:, order], first[1:], axis=1) if len(names) else []
+            yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array([p.tobytes() for p in parts], pa.binary())], names=["b", "packed"])
+
+    return packed
+
+
+def _summed(rows: np.ndarray) -> np.ndarray:
+    """Rows (value, least component, largest component, count) with each value once."""
+    rows = rows[:, np.argsort(rows[0], kind="stable")]
+    if not rows.shape[1]:
+        return rows
+    first = np.flatnonzero(np.concatenate(([True], rows[0, 1:] != rows[0, :-1])))
+    return np.stack([rows[0, first], np.minimum.reduceat(rows[1], first), np.maximum.reduceat(rows[2], first), np.add.reduceat(rows[3], first)])
+
+
+def _several(table: pa.Table) -> pa.Table:
+    """(key, m) of a bucket's values that several components hold."""
+    parts = [np.frombuffer(x, np.int64).reshape(4, -1) for x in table["packed"].to_pylist()]
+    rows = _summed(np.concatenate(parts, axis=1))
+    rows = rows[:, rows[1] != rows[2]]
+    return pa.table({"key": pa.array(rows[0]), "m": pa.array(rows[3])})
+
+
+def held_by_several(classes: DataFrame, total: int) -> DataFrame:
+    """(key, m): the values that several components of classes (node, text, comp) hold, and how many classes do.
+
+    Values travel packed and combined in each batch; with some BUCKET of them in a
+    bucket, what one task merges is bounded by that and the number of batches.
+    """
+    buckets = max(16, -(-total // BUCKET))
+    return classes.mapInArrow(_packed_into(buckets), "b long, packed binary").groupBy("b").applyInArrow(_several, "key long, m long")
 
 
 def _alive_through(several: Bloom):
@@ -200,16 +242,15 @@ def _listed_through(several: Bloom, rarity: Levels):
     return listed
 
 
-def pruned(classes: DataFrame) -> tuple[DataFrame, Bloom, Levels]:
-    """The classes (node, text, comp) that may still be linked to another component, the values that may link them, and how many hold these.
+def pruned(classes: DataFrame, total: int) -> tuple[DataFrame, Bloom, Levels]:
+    """The classes (node, text, comp), of about total values, that may still be linked to another component, the values that may link them, and how many hold these.
 
     A value that one component alone holds can't; classes with too few others go, and
     with them what only they held, for PRUNINGS turns. The Bloom filter lets some values
     pass wrongly, which keeps classes in but never leaves a link out.
     """
     for _ in range(PRUNINGS):
-        held = classes.mapInArrow(_values, "v long, comp long").groupBy("v").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m"))
-        shared = scratch(held.where("c0 <> c1").select(F.col("v").alias("key"), "m"))
+        shared = scratch(held_by_several(classes, total))
         several = Bloom(shared.select("key"))
         classes = scratch(classes.mapInArrow(_alive_through(several), "node long, text string, comp long"))
     return classes, several, Levels(shared, "m")
@@ -345,14 +386,16 @@ def met_across(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(v, s, comp, node, n, rest) of the smaller and of the larger members of the pairs that lists may join.
 
     A pair is met in the size class s of its smaller member (equal ones both ways), and
-    only if what is left of both sets at v can make a link: 7 * rest >= 3 * (n + m).
+    only if what is left of both sets at v can make a link: 7 * rest >= 3 * (n + m). A
+    larger member looks only where there are smaller ones of another component.
     """
     small = lists.where("7 * rest >= 6 * n").withColumn("s", _class_of_size("n"))
-    top = F.expr("least(n, floor(7 * rest / 3) - n)")
-    large = lists.withColumns({"low": F.expr("(3 * n + 3) div 4"), "top": top}).where("top >= low")
-    large = large.withColumn("s", F.explode(F.sequence(_class_of_size("low"), _class_of_size("top"))))
-    columns = ["v", "s", "comp", "node", "n", "rest"]
-    return small.select(*columns), large.select(*columns)
+    # a value has a bounded number of size classes
+    there = small.groupBy("v", "s").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).groupBy("v").agg(F.collect_list(F.struct("s", "c0", "c1")).alias("there"))
+    large = lists.withColumns({"low": F.expr("(3 * n + 3) div 4"), "top": F.expr("least(n, floor(7 * rest / 3) - n)")}).where("top >= low")
+    large = large.join(there.hint("merge"), "v").withColumns({"low": _class_of_size("low"), "top": _class_of_size("top")})
+    large = large.withColumn("t", F.explode(F.filter("there", lambda t: t["s"].between(F.col("low"), F.col("top")) & ~((t["c0"] == F.col("comp")) & (t["c1"] == F.col("comp"))))))
+    return small.select("v", "s", "comp", "node", "n", "rest"), scratch(large.select("v", F.col("t.s").alias("s"), "comp", "node", "n", "rest"))
 
 
 def crossing_count(small: DataFrame, large: DataFrame) -> int:
@@ -377,10 +420,11 @@ def crossing_pairs(small: DataFrame, large: DataFrame) -> DataFrame:
 
 def _rest_of_heavy(reps: DataFrame, own: DataFrame, texts: DataFrame, rest: DataFrame, labels: DataFrame, estimate: float) -> tuple[DataFrame, DataFrame]:
     """The pairs still to be verified, those among classes of long lists included, and the components so far."""
+    total = reps.join(own.select("node"), "node", "left_semi").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     own, before, turn = own.select("node", "text"), None, 0
     while True:
         turn += 1
-        own, several, rarity = pruned(scratch(_current(own, labels, "node").select("node", "text", F.col("comp_node").alias("comp"))))
+        own, several, rarity = pruned(scratch(_current(own, labels, "node").select("node", "text", F.col("comp_node").alias("comp"))), total)
         lists = scratch(own.mapInArrow(_listed_through(several, rarity), "v long, rest long, node long, n long, comp long, live long"))
         small, large = met_across(lists)
         left = crossing_count(small, large)
