@@ -38,7 +38,7 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 #: Rows and bytes of a batch that Python gets: rows hold whole texts or blocks of vectors.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 32 << 20}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 500, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 _FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
