@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.functions.vectorised import vectorised
+from siltstone.session import cut
 
 PERMUTATIONS, BANDS, SHINGLE = 128, 32, 4
 ROWS = PERMUTATIONS // BANDS
@@ -159,11 +160,6 @@ def similar_pairs(keys: DataFrame, signed: DataFrame, key: str, threshold: float
     return _agreeing(pairs, signed, key, threshold)
 
 
-def _cut(rows: DataFrame) -> DataFrame:
-    """rows computed once, their lineage cut where the session has a checkpoint folder."""
-    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.persist()
-
-
 def keep_first(signed: DataFrame, key: str, threshold: float = THRESHOLD) -> DataFrame:
     """(key, kept, duplicate_of) for every row of signed (key, signature), keys in order of arrival.
 
@@ -173,24 +169,25 @@ def keep_first(signed: DataFrame, key: str, threshold: float = THRESHOLD) -> Dat
     listed, and each turn keeps the chunks without an undecided earlier neighbour and
     drops their neighbours. State is written out between turns.
     """
+    signed = cut(signed)
     classes = signed.groupBy("signature").agg(F.min(key).alias("_first"))
-    firsts = _cut(classes.select(F.col("_first").alias(key), "signature"))
-    keys = _cut(_shared(rare_tokens(firsts, key, threshold)))
+    firsts = cut(classes.select(F.col("_first").alias(key), "signature"))
+    keys = cut(_shared(rare_tokens(firsts, key, threshold)))
     gone: list[DataFrame] = []
     while (keys.groupBy("bucket").count().agg(F.max("count")).first()[0] or 0) > BUCKET:
         place = F.row_number().over(Window.partitionBy("bucket").orderBy(key))
         heads = keys.withColumn("_place", place).where(F.col("_place") <= HEADS).select("bucket", F.col(key).alias("a"))
-        heads = _cut(heads)
+        heads = cut(heads)
         met = keys.withColumnRenamed(key, "b").join(heads, "bucket").where("a < b").select("a", "b").distinct()
-        edges = _cut(_agreeing(met, firsts, key, threshold).select("a", "b"))
+        edges = cut(_agreeing(met, firsts, key, threshold).select("a", "b"))
         # of a chunk that is a head of all its buckets, every earlier neighbour is known
         own = keys.groupBy(F.col(key).alias("a")).agg(F.count("*").alias("_n"))
-        known = _cut(heads.groupBy("a").agg(F.count("*").alias("_m")).join(own, "a").where("_n = _m").select("a"))
+        known = cut(heads.groupBy("a").agg(F.count("*").alias("_m")).join(own, "a").where("_n = _m").select("a"))
         kept, lost = _decided(edges, known)
         gone.append(lost)
         out = kept.select(F.col("a").alias("_out")).unionByName(lost.select(F.col("b").alias("_out"))).distinct()
-        keys = _cut(_shared(keys.join(out, F.col(key) == F.col("_out"), "left_anti")))
-    edges = _cut(similar_pairs(keys, firsts, key, threshold, ("bucket",)).select("a", "b"))
+        keys = cut(_shared(keys.join(out, F.col(key) == F.col("_out"), "left_anti")))
+    edges = cut(similar_pairs(keys, firsts, key, threshold, ("bucket",)).select("a", "b"))
     every = keys.select(F.col(key).alias("a")).distinct()
     gone.append(_decided(edges, every)[1])
     rows = signed.join(classes, "signature").select(key, "_first")
@@ -205,17 +202,17 @@ def _decided(edges: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     kept, lost = None, None
     while True:
         # a known one without an undecided earlier neighbour is kept; what it touches goes
-        free = _cut(open_.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti"))
+        free = cut(open_.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti"))
         if free.isEmpty():
             break
-        hit = _cut(left.join(free, "a").groupBy("b").agg(F.min("a").alias("by")))
+        hit = cut(left.join(free, "a").groupBy("b").agg(F.min("a").alias("by")))
         kept = free if kept is None else kept.unionByName(free)
         lost = hit if lost is None else lost.unionByName(hit)
         out = free.unionByName(hit.select(F.col("b").alias("a"))).distinct()
-        open_ = _cut(open_.join(out, "a", "left_anti"))
+        open_ = cut(open_.join(out, "a", "left_anti"))
         gone = hit.select(F.col("b").alias("x"))
         left = left.join(free, "a", "left_anti").join(gone, F.col("a") == F.col("x"), "left_anti").join(gone, F.col("b") == F.col("x"), "left_anti")
-        left = _cut(left)
+        left = cut(left)
     if kept is None:
         kind = dict(known.dtypes)["a"]
         empty = known.sparkSession.createDataFrame([], f"a {kind}, b {kind}, by {kind}")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
+from siltstone.session import cut
 
 #: Fixed values of the layout rules, in points and square points.
 GAP, BAND, PAD = 24.0, 55.0, 10.0
@@ -42,26 +43,21 @@ def rect_clusters(rects: DataFrame, key: str, gap: float) -> DataFrame:
     """(key, id, cluster): rectangles joined by near_rects, a cluster named by its smallest id.
 
     Labels go from neighbour to neighbour and, through the cluster that they name, in
-    doubling steps; state is written out between turns where the session has a folder for it.
+    doubling steps; state is written out between turns.
     """
     edges = near_rects(rects, key, gap)
-    both = _written(edges.unionByName(edges.select(key, F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = _written(rects.select(key, "id", F.col("id").alias("cluster")))
+    both = cut(edges.unionByName(edges.select(key, F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = cut(rects.select(key, "id", F.col("id").alias("cluster")))
     while True:
         least = both.join(labels.select(key, F.col("id").alias("b"), "cluster"), [key, "b"]).groupBy(key, F.col("a").alias("id")).agg(F.min("cluster").alias("_c"))
         new = labels.join(least, [key, "id"], "left").select(key, "id", F.col("cluster").alias("_old"), F.least("cluster", F.coalesce("_c", "cluster")).alias("cluster"))
         up = new.select(key, F.col("id").alias("cluster"), F.col("cluster").alias("_up"))
-        new = _written(new.join(up, [key, "cluster"], "left").select(key, "id", "_old", F.least("cluster", F.coalesce("_up", "cluster")).alias("cluster")))
+        new = cut(new.join(up, [key, "cluster"], "left").select(key, "id", "_old", F.least("cluster", F.coalesce("_up", "cluster")).alias("cluster")))
         if new.where("cluster <> _old").isEmpty():
             return labels
         labels = new.drop("_old")
 
 
-def _written(rows: DataFrame) -> DataFrame:
-    """rows with their lineage cut in the session's checkpoint folder; as they are without one."""
-    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.persist()
-
-
 def _boxes(rects: DataFrame, key: str, gap: float, least: int, area: float) -> DataFrame:
     """(key, x0, y0, x1, y1) around the clusters of at least so many rectangles and so large an area."""
     met = rects.join(rect_clusters(rects, key, gap), [key, "id"]).groupBy(key, "cluster").agg(F.count("*").alias("_n"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))

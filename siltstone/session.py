@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "siltstone", master: str | None = None, **conf: str) -> SparkSession:
@@ -19,3 +21,13 @@ def session(name: str = "siltstone", master: str | None = None, **conf: str) ->
     for key, value in (settings | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """rows written to the session's checkpoint folder, their lineage cut; in local mode without one, to a temporary folder."""
+    context = rows.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="siltstone-"))
+    return rows.checkpoint()
