@@ -8,11 +8,10 @@ length cancels out. It is kept if the score reaches the threshold and none of th
 rules failed: fewer than 50 words, or more than half of the words in three-word windows
 that the text has twice or more.
 
-The threshold follows from at most SAMPLE documents of each list that pass the base, those
-of the smallest hashes of their ids: it is halfway between the two neighbouring scores that part
-trusted from rejected ones best, by the sum of both lists' shares on the right side, the
-lowest of equally good ones. Without rejected documents it is the least score of a
-trusted one.
+The threshold follows from all documents of both lists that pass the base: it is halfway
+between the two neighbouring scores that part trusted from rejected ones best, by the sum
+of both lists' shares on the right side, the lowest of equally good ones. Without
+rejected documents it is the least score of a trusted one.
 
 How it runs: one pass counts the raw corpus, combined before the shuffle to a row
 for each bucket and task; another counts the target's documents: a table of at most
@@ -20,19 +19,21 @@ for each bucket and task; another counts the target's documents: a table of at m
 is shuffled to meet the list of ids, however long that is. The weights, always
 BUCKETS rows of 12 bytes, are broadcast to the scoring pass, which explodes each
 document's grams, looks up their weights and averages them; a document's grams
-never leave its task before they are one row again. The sample meets the documents by a
-broadcast of its ids.
+never leave its task before they are one row again. Scored rows, without texts, are
+written once; the threshold and the result are both taken from them. Listed ids meet
+them in a shuffle of ids and scores; the distinct scores are dealt out by ranges of about
+RANGE, summed within each and over the ranges before it.
 
 Cases: null, empty and blank texts have no words, fail the base and score 0; texts of any
 length are counted and scored whole; an empty list of trusted ids gives every document
-the score 0, so that the base alone decides; an id on both lists is sampled from both; repeated rows count
+the score 0, so that the base alone decides; an id on both lists counts with both; repeated rows count
 as often as they occur; scores equal to the threshold are kept; an empty table gives no
 rows; extra columns, whatever their names, are not carried.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,7 +44,8 @@ BUCKETS = 1 << 16
 ALPHA = 0.5
 #: Bits of the hash that tells documents that can't be trusted ones before the list of ids is met.
 SPOTS = 24
-SAMPLE = 5000
+#: Distinct scores, about, that one task sorts for the threshold, in MOST_RANGES ranges at most.
+RANGE, MOST_RANGES = 1 << 13, 1 << 12
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Repeated windows up to which membership is looked up one by one; beyond, windows are sorted.
@@ -131,30 +133,39 @@ def weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     return both.select("bucket", F.when(ts > 0, ratio).otherwise(0.0).alias("weight"))
 
 
-def threshold_of(docs: DataFrame, table: DataFrame, trusted: DataFrame, rejected: DataFrame | None) -> float:
-    """The score that parts samples of the two lists best."""
+def threshold_of(scored: DataFrame, trusted: DataFrame, rejected: DataFrame | None) -> float:
+    """The score that parts the two lists best, of all their documents in scored (doc_id, n_words, n_repeat_words, llr_score)."""
     lists = [(trusted, 1), (rejected, 0)] if rejected is not None else [(trusted, 1)]
-    drawn = [rows.select(F.col("doc_id").alias("_listed"), F.lit(y).alias("_good")).where("_listed IS NOT NULL").distinct().orderBy(F.xxhash64("_listed"), "_listed").limit(SAMPLE) for rows, y in lists]
-    ids = F.broadcast(drawn[0].unionByName(drawn[1]) if len(drawn) > 1 else drawn[0])
-    labelled = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_listed"))
-    scored = _scored(labelled, table, ["_good"]).where(~_failed()).select("_good", F.col("llr_score").alias("x"))
-    # no more than twice SAMPLE ids; one partition holds them
-    counted = scratch(scored.groupBy("x").agg(F.sum("_good").alias("good"), F.sum(1 - F.col("_good")).alias("bad")))
-    order = Window.orderBy("x")
-    below = counted.select("x", F.lag("x").over(order).alias("before"), F.sum("bad").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("out"), F.sum("good").over(order.rowsBetween(0, Window.unboundedFollowing)).alias("in"))
-    sums = counted.agg(F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.min(F.when(F.col("good") > 0, F.col("x"))).alias("least")).first()
+    listed = [rows.select(F.col("doc_id").alias("_listed"), F.lit(y).alias("_good")).where("_listed IS NOT NULL").distinct() for rows, y in lists]
+    ids = listed[0].unionByName(listed[1]) if len(listed) > 1 else listed[0]
+    labelled = scored.where(~_failed()).select("doc_id", F.col("llr_score").alias("x")).join(ids, F.col("doc_id") == F.col("_listed"))
+    counted = scratch(labelled.groupBy("x").agg(F.sum("_good").alias("good"), F.sum(1 - F.col("_good")).alias("bad")))
+    sums = counted.agg(F.count("*").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.min(F.when(F.col("good") > 0, F.col("x"))).alias("least")).first()
     if not sums["good"] or not sums["bad"]:
         return sums["least"] if sums["good"] else 0.0
-    gain = F.coalesce("out", F.lit(0)) / sums["bad"] + F.col("in") / sums["good"]
+    # partitions of ranges are numbered in the order of their scores
+    ranges = min(MOST_RANGES, 1 + sums["n"] // RANGE)
+    dealt = scratch(counted.repartitionByRange(ranges, "x").withColumn("range", F.spark_partition_id()))
+    # no more than MOST_RANGES rows, unless the session has more partitions
+    up_to = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = dealt.groupBy("range").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"), F.max("x").alias("m"))
+    earlier = earlier.select("range", *[F.coalesce(F.sum(c).over(up_to), F.lit(0)).alias(to) for c, to in (("g", "good_before"), ("b", "bad_before"))], F.max("m").over(up_to).alias("x_before"))
+    order = Window.partitionBy("range").orderBy("x")
+    within = order.rowsBetween(Window.unboundedPreceding, -1)
+    below = dealt.select("range", "x", F.lag("x").over(order).alias("last"), *[F.coalesce(F.sum(c).over(within), F.lit(0)).alias(c) for c in ("good", "bad")])
+    below = below.join(F.broadcast(earlier), "range").withColumn("before", F.coalesce("last", "x_before"))
+    gain = (F.col("bad_before") + F.col("bad")) / sums["bad"] + (sums["good"] - F.col("good_before") - F.col("good")) / sums["good"]
     return below.select(F.coalesce((F.col("x") + F.col("before")) / 2, "x").alias("edge"), gain.alias("gain")).orderBy(F.desc("gain"), "edge").first()["edge"]
 
 
 def judge(docs: DataFrame, trusted: DataFrame, rejected: DataFrame | None = None, threshold: float | None = None) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr_score) for each row of docs; trusted and rejected have doc_id."""
-    table = scratch(weights(docs, trusted))
-    edge = threshold_of(docs, table, trusted, rejected) if threshold is None else threshold
-    out = _scored(docs, table).withColumn("base_failed", _failed())
-    return out.select(*KEYS, "base_failed", (~F.col("base_failed") & (F.col("llr_score") >= edge)).alias("kept"), "llr_score")
+    scored = _scored(docs, scratch(weights(docs, trusted)))
+    if threshold is None:
+        scored = scratch(scored)
+        threshold = threshold_of(scored, trusted, rejected)
+    out = scored.withColumn("base_failed", _failed())
+    return out.select(*KEYS, "base_failed", (~F.col("base_failed") & (F.col("llr_score") >= threshold)).alias("kept"), "llr_score")
 
 
 KEYS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -164,8 +175,8 @@ def _failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def _scored(docs: DataFrame, table: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    """KEYS, llr_score and extra columns for each row of docs."""
+def _scored(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """KEYS and llr_score for each row of docs."""
 
     def measured(found: Column) -> Column:
         size, chars = F.size(found).cast("long"), F.length(F.array_join(found, "")).cast("long")
@@ -175,8 +186,7 @@ def _scored(docs: DataFrame, table: DataFrame, extra: Sequence[str] = ()) -> Dat
     text = F.coalesce("text", F.lit(""))
     filled = F.filter(F.split(text, "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     again = let(filled, lambda ls: F.size(ls) - F.size(F.array_distinct(ls)))
-    rows = docs.select("doc_id", *extra, let(words(F.col("text")), measured).alias("m"), F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), again.cast("long").alias("n_dup_lines"))
+    rows = docs.select("doc_id", let(words(F.col("text")), measured).alias("m"), F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), again.cast("long").alias("n_dup_lines"))
     # a row's grams stay in its task, so they are one row again before the shuffle
-    own = [*KEYS, *extra]
-    grams = rows.select(F.monotonically_increasing_id().alias("_row"), "m.*", "doc_id", "n_symbols", "n_dup_lines", *extra).select("_row", *own, F.explode_outer("buckets").alias("bucket"))
-    return grams.join(F.broadcast(table), "bucket", "left").groupBy("_row", *own).agg(F.coalesce(F.avg("weight"), F.lit(0.0)).alias("llr_score")).drop("_row")
+    grams = rows.select(F.monotonically_increasing_id().alias("_row"), "m.*", "doc_id", "n_symbols", "n_dup_lines").select("_row", *KEYS, F.explode_outer("buckets").alias("bucket"))
+    return grams.join(F.broadcast(table), "bucket", "left").groupBy("_row", *KEYS).agg(F.coalesce(F.avg("weight"), F.lit(0.0)).alias("llr_score")).drop("_row")

@@ -81,6 +81,33 @@ def test_threshold_parts_the_labelled_documents(spark, make_docs):
     assert all(alone[i] for i, _ in good[:20]) and sum(alone[i] for i, _ in bad) <= sum(out[i].llr_score >= min(scores[0]) for i, _ in bad)
 
 
+@pytest.mark.parametrize("ranges", [None, 300])
+def test_threshold_counts_every_labelled_document(spark, monkeypatch, ranges):
+    if ranges:
+        monkeypatch.setattr(Q, "RANGE", ranges)
+    word = "concat(if(pmod(xxhash64(id, k), 100) < 40 + 4 * (id % 2), 'g', 'b'), pmod(xxhash64(k, id), 200))"
+    docs = spark.range(13_000).selectExpr("id AS doc_id", f"array_join(transform(sequence(1, 55), k -> {word}), ' ') AS text").cache()
+    good, bad = (docs.where(f"doc_id % 2 = {y}").select("doc_id") for y in (1, 0))
+    out = Q.judge(docs, good, bad).collect()
+    rows = sorted((r.llr_score, r.doc_id % 2) for r in out if not r.base_failed)
+    total = Counter(y for _, y in rows)
+    # more of each than any sample that was ever drawn
+    assert min(total.values()) > 6_000
+    scores = sorted({x for x, _ in rows})
+    below, gains, k = Counter(), [], 0
+    for last, x in zip([None, *scores], scores, strict=False):
+        while rows[k][0] < x:
+            below[rows[k][1]] += 1
+            k += 1
+        gains.append((below[0] / total[0] + (total[1] - below[1]) / total[1], -(x if last is None else (x + last) / 2)))
+    edge = -max(gains)[1]
+    assert {r.doc_id for r in out if r.kept} == {r.doc_id for r in out if not r.base_failed and r.llr_score >= edge}
+    scored = spark.createDataFrame(out).cache()
+    assert Q.threshold_of(scored, good, bad) == edge
+    assert Q.threshold_of(scored, good.where("doc_id < 0"), bad) == 0.0
+    assert Q.threshold_of(scored, good, None) == min(x for x, y in rows if y)
+
+
 def test_repeated_rows_very_long_texts_and_ties(spark, make_docs):
     long = prose(random.Random(1), 200_000, 5000)
     rows = [(1, long), (1, long), (2, "a b c " * 30), (2, "a b c " * 30), (3, "")]
