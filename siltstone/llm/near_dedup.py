@@ -43,7 +43,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -131,7 +130,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     # whole texts are never broadcast
     half = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
     full = half.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
-    return full.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
+    # written here, so that no task holds a second Python worker for what is done with the links
+    return scratch(full.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long"))
 
 
 def _alike_in_size(a: str, b: str) -> Column:
@@ -357,9 +357,10 @@ def _labels(docs: DataFrame, drawn: DataFrame, estimate: float) -> DataFrame:
 
 
 def _held_by(bloom: Bloom):
-    @F.pandas_udf("boolean")
-    def held(key: pd.Series) -> pd.Series:
-        return pd.Series(bloom.has(key.to_numpy()))
+    # on Arrow arrays, since pandas would stay in the memory of every Python worker
+    @F.arrow_udf("boolean")
+    def held(key: pa.Array) -> pa.Array:
+        return pa.array(bloom.has(key.to_numpy()))
 
     return held
 

@@ -1,4 +1,6 @@
 import random
+import subprocess
+import sys
 from itertools import combinations
 
 from siltstone.llm import near_dedup
@@ -116,3 +118,13 @@ def test_very_long_texts(make_docs):
     long = prose(rng, 150_000, 10**6)
     rows = [(1, long), (2, long + " end"), (3, changed(rng, long, 9000)), (4, prose(rng, 150_000, 10**6)), (5, "x" * 2_000_000)]
     check(make_docs(rows), rows)
+
+
+def test_a_task_holds_one_lean_python_worker(spark):
+    texts = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "x y")], "node long, text string")
+    links = near_dedup.verified(spark.createDataFrame([(1, 2), (1, 3)], "a long, b long"), texts)
+    assert {(r.a, r.b) for r in links.collect()} == {(1, 2)}
+    # what is done with the links in Python would run in the tasks that verify them
+    assert "MapInArrow" not in links._jdf.queryExecution().toString()
+    code = "import sys, siltstone.llm.near_dedup; sys.exit('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], check=False).returncode == 0
