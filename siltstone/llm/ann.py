@@ -6,12 +6,18 @@ and is penalised ETA times as much as the rest. Subspaces of WIDTH components ha
 16 codewords each, so a code takes four bits and two codes a byte. Codebooks and the
 centres of a coarse partition are fitted on at most SAMPLE vectors (those of the smallest
 hashes of their ids); every vector is encoded and belongs to its nearest centre. A query
-scans the parts of the centres with which it has the largest products, as many as
+first scans the parts of the centres with which it has the largest products, as many as
 TARGET of the true neighbours of PROBES sampled queries need; where that is most of them, all.
 Its table of inner products with all codewords is scanned over the codes of a block;
 the RERANK best of each block are ranked exactly, in double precision on the original
 vectors, and the best of all blocks are returned.
 
+What codes and parts leave out cannot be among the k nearest, whatever the vectors: a
+vector's product differs from that of its codes by at most the query's length times the
+length of the vector's residual, so all whose bound reaches the k-th best score so far
+are ranked exactly, too; and a part that was not scanned is, unless the product with its
+centre and the query's length times the largest distance from that centre stay below it.
+
 How it runs: vectors are dealt by part and a hash of their ids over blocks of about
 BLOCK, a row each, once; a part may hold any number of blocks. The query set comes in
 turns of at most about ASK bytes; each turn is broadcast,
@@ -84,6 +90,11 @@ class Codebook:
                 codes[:, j], along[:, j] = best, product[np.arange(len(best)), best]
         return codes
 
+    def residual(self, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The lengths of what codes leave of vectors."""
+        parts = self.split(x)
+        return np.sqrt(sum(((parts[:, j] - self.words[j][codes[:, j]]) ** 2).sum(axis=1) for j in range(parts.shape[1]))) * (1 + 1e-9)
+
     @classmethod
     def fit(cls, x: np.ndarray, rounds: int = 6) -> Codebook:
         parts = cls.split(x.astype(np.float64))
@@ -114,14 +125,19 @@ class Codebook:
         return (single[:, 1::2, :, None] + single[:, ::2, None, :]).reshape(len(queries), -1, CODES * CODES)
 
 
-def nearest(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, qid: np.ndarray, q: np.ndarray, book: Codebook, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place of the query, vec_id, score) of the k best of one block for each query, places and ids ascending."""
+def nearest(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, left: np.ndarray, qid: np.ndarray, q: np.ndarray, least: np.ndarray, book: Codebook, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the query, vec_id, score) of the k best of one block for each query, places and ids ascending; those below the query's least may be left out. left: the lengths of residuals."""
     columns = np.ascontiguousarray(codes.T)
     whole, exact = x.astype(np.float64), q.astype(np.float64)
+    size = np.linalg.norm(exact, axis=1)
+    # what rounding may change in a product of x.shape[1] terms, for a query of length 1
+    fuzz = 4e-16 * (x.shape[1] + 2) * np.linalg.norm(whole, axis=1).max(initial=0)
     out: list[tuple] = []
     keep = min(len(ids), max(RERANK, 8 * k))
     for lo in range(0, len(qid), 64):
         tables = book.tables(q[lo : lo + 64])
+        # the same for the sums of single precision
+        margins = 2e-7 * (len(columns) + 2) * np.abs(tables).max(axis=2).sum(axis=1)
         for n, table in enumerate(tables, lo):
             found = np.zeros(len(ids), np.float32)
             for t, c in zip(table, columns, strict=True):
@@ -134,6 +150,15 @@ def nearest(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, qid: np.ndarray,
                 rows = np.arange(len(ids))
             rows = rows[ids[rows] != qid[n]]
             score = np.einsum("ij,j->i", whole[rows], exact[n])
+            if keep < len(ids):
+                edge = max(least[n], -np.partition(-score, k - 1)[k - 1] if len(score) >= k else -np.inf)
+                more = ~(found + size[n] * left < edge - margins[n - lo])
+                more[rows] = False
+                more = np.flatnonzero(more & (ids != qid[n]))
+                if len(more):
+                    near = (whole @ exact[n])[more] if 4 * len(more) > len(ids) else whole[more] @ exact[n]
+                    more = more[~(near < edge - size[n] * fuzz)]
+                    rows, score = np.concatenate((rows, more)), np.concatenate((score, np.einsum("ij,j->i", whole[more], exact[n])))
             best = np.lexsort((ids[rows], -score))[:k]
             out.append((np.full(len(best), n), ids[rows[best]], score[best]))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
@@ -175,7 +200,7 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 
 
 def probes(good: DataFrame, sample: np.ndarray, sample_ids: np.ndarray, at: np.ndarray, dim: int, k: int) -> int:
-    """How many parts a query scans: as many as hold TARGET of the true neighbours of PROBES sampled queries."""
+    """How many parts a query scans first: as many as hold TARGET of the true neighbours of PROBES sampled queries."""
     if len(at) == 1:
         return 1
     shared = good.sparkSession.sparkContext.broadcast((sample_ids[:PROBES], sample[:PROBES].astype(np.float64), at))
@@ -244,9 +269,13 @@ def _found(vectors: DataFrame, queries: Column, k: int) -> DataFrame | None:
             for r in range(len(batch)):
                 flat = batch.column(1).slice(r, 1).flatten()
                 ids, x = flat.field("vec_id").to_numpy(zero_copy_only=False), _matrix(flat.field("v"), dim)
-                codes = shared.value[0].assign(x)
+                book, middle = shared.value
+                codes = book.assign(x)
                 packed = codes[:, ::2] | codes[:, 1::2] << 4
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(r, 1), *(pa.array([c.tobytes()], pa.binary()) for c in (ids, x, packed))], names=["part", "ids", "x", "codes"])
+                whole = x.astype(np.float64)
+                left = book.residual(whole, codes)
+                radius = np.linalg.norm(whole - middle[batch.column(0)[r].as_py()], axis=1).max()
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(r, 1), pa.array([radius]), *(pa.array([c.tobytes()], pa.binary()) for c in (ids, x, packed, left))], names=["part", "radius", "ids", "x", "codes", "residual"])
 
     element = "float" if kind.endswith("f4") else "double"
     rows = scratch(good.select("vec_id", "v", "asked").mapInArrow(parted, f"vec_id long, v array<{element}>, asked boolean, part int"))
@@ -254,7 +283,7 @@ def _found(vectors: DataFrame, queries: Column, k: int) -> DataFrame | None:
     blocks = F.broadcast(rows.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))
     dealt = rows.join(blocks, "part").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
     packed = dealt.groupBy("part", "block").agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias("rows")).select("part", "rows")
-    coded = scratch(packed.mapInArrow(index, "part int, ids binary, x binary, codes binary"))
+    coded = scratch(packed.mapInArrow(index, "part int, radius double, ids binary, x binary, codes binary, residual binary"))
     asked = rows.where("asked").select("vec_id", "v")
     turns = max(1, -(-asked.count() * dim * 8 // ASK))
     found = None
@@ -264,13 +293,27 @@ def _found(vectors: DataFrame, queries: Column, k: int) -> DataFrame | None:
             continue
         qid, q = part["vec_id"].to_numpy(), _matrix(part["v"].combine_chunks(), dim)
         met = scan(coded, qid, q, shared, scanned, kind, k)
+        if scanned < len(at):
+            # the other parts, as far as they may hold one nearer than the last of those found
+            met = scratch(met)
+            last = met.where(F.col("rank") == k).select("query_id", "score").toArrow()
+            order = np.argsort(qid)
+            floor = np.full(len(qid), -np.inf)
+            floor[order[np.searchsorted(qid, last["query_id"].to_numpy(), sorter=order)]] = last["score"].to_numpy()
+            met = ranked(met.drop("rank").unionByName(scan(coded, qid, q, shared, scanned, kind, k, floor).drop("rank")), k)
         met = met if turns == 1 else scratch(met)
         found = met if found is None else found.unionByName(met)
     return found
 
 
-def scan(coded: DataFrame, qid: np.ndarray, q: np.ndarray, shared: Broadcast, scanned: int, kind: str, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score) of one turn of queries over all blocks."""
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the k best rows of each query."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def scan(coded: DataFrame, qid: np.ndarray, q: np.ndarray, shared: Broadcast, scanned: int, kind: str, k: int, floor: np.ndarray | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score) of one turn of queries over the blocks of the parts they scan first; with the scores of a floor, over those of the others that may reach it."""
     whole = q.astype(np.float64)
     at = shared.value[1]
     # a query scans the parts whose centre's product reaches its edge
@@ -278,19 +321,30 @@ def scan(coded: DataFrame, qid: np.ndarray, q: np.ndarray, shared: Broadcast, sc
     if scanned < len(at):
         for lo in range(0, len(q), 4096):
             edge[lo : lo + 4096] = -np.partition(-(whole[lo : lo + 4096] @ at.T), scanned - 1, axis=1)[:, scanned - 1]
-    turn = coded.sparkSession.sparkContext.broadcast((qid, q, edge))
+    turn = coded.sparkSession.sparkContext.broadcast((qid, q, edge, floor))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (names, wanted, least), (book, middle) = turn.value, shared.value
+        (names, wanted, first, least), (book, middle) = turn.value, shared.value
+        exact = wanted.astype(np.float64)
+        size = np.linalg.norm(exact, axis=1)
         ids, scores = np.full((len(names), k), -1, np.int64), np.full((len(names), k), -np.inf)
         for batch in batches:
-            for own, raw_ids, raw_x, raw_codes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for own, radius, raw_ids, raw_x, raw_codes, raw_left in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held = np.frombuffer(raw_ids, np.int64)
-                hit = np.flatnonzero(wanted.astype(np.float64) @ middle[own] >= least - 1e-9) if np.isfinite(least).any() else np.arange(len(names))
-                x, codes = np.frombuffer(raw_x, kind).reshape(len(held), -1), np.frombuffer(raw_codes, np.uint8).reshape(len(held), -1)
+                if np.isfinite(first).any():
+                    product = exact @ middle[own]
+                    chosen = product >= first - 1e-9
+                    if least is not None:
+                        most = product + size * radius
+                        chosen = ~chosen & ~(most + 1e-9 * (np.abs(product) + size * radius) < np.maximum(least, scores[:, -1]))
+                    hit = np.flatnonzero(chosen)
+                else:
+                    hit = np.arange(len(names))
+                x, codes, left = np.frombuffer(raw_x, kind).reshape(len(held), -1), np.frombuffer(raw_codes, np.uint8).reshape(len(held), -1), np.frombuffer(raw_left, np.float64)
                 for lo in range(0, len(hit), 4096):
                     some = hit[lo : lo + 4096]
-                    place, near, score = nearest(held, x, codes, names[some], wanted[some], book, k)
+                    reached = scores[some, -1] if least is None else np.maximum(least[some], scores[some, -1])
+                    place, near, score = nearest(held, x, codes, left, names[some], wanted[some], reached, book, k)
                     new_i, new_s = np.full((len(some), k), -1, np.int64), np.full((len(some), k), -np.inf)
                     spot = np.arange(len(place)) - np.searchsorted(place, place)
                     new_i[place, spot], new_s[place, spot] = near, score
@@ -298,6 +352,4 @@ def scan(coded: DataFrame, qid: np.ndarray, q: np.ndarray, shared: Broadcast, sc
         row, column = np.nonzero(np.isfinite(scores))
         yield pa.RecordBatch.from_arrays([pa.array(names[row]), pa.array(ids[row, column]), pa.array(scores[row, column])], names=["query_id", "vec_id", "score"])
 
-    best = coded.mapInArrow(run, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return ranked(coded.mapInArrow(run, "query_id long, vec_id long, score double"), k)

@@ -99,3 +99,18 @@ def test_one_vector_that_a_third_of_all_rows_hold(spark, monkeypatch):
     rows = [(i, hot if i % 3 == 0 else rng.normal(size=8).astype(np.float32).tolist()) for i in range(3000)]
     want, got = exact(rows, 20, 300), found(spark, rows, step=300)
     assert {q: [i for i, _ in v] for q, v in got.items() if q % 3 == 0} == {q: [i for i, _ in v] for q, v in want.items() if q % 3 == 0}
+
+
+def test_all_of_the_nearest_whatever_the_vectors(spark, monkeypatch):
+    """Few components that count, lengths that differ much, and queries that lie apart from all other rows: none of the nearest is missed."""
+    monkeypatch.setattr(ann, "PART", 400)
+    rng = np.random.default_rng(12)
+    n, d = 9000, 32
+    few = np.hstack([rng.normal(size=(n, 3)), rng.normal(size=(n, d - 3)) * 0.01])
+    long = rng.normal(size=(n, d)) * np.exp(1.5 * rng.normal(size=(n, 1)))
+    middle = rng.normal(size=(60, d))
+    apart = np.where((np.arange(n) % 100 == 0)[:, None], rng.normal(size=(n, d)) + 4, middle[np.arange(n) % 60] + 0.05 * rng.normal(size=(n, d)))
+    for x in (few, long, apart):
+        rows = [(i, v) for i, v in enumerate(x.astype(np.float32).tolist())]
+        want, got = exact(rows, 20, 100), found(spark, rows, step=100)
+        assert {q: {i for i, _ in v} for q, v in got.items()} == {q: {i for i, _ in v} for q, v in want.items()}
