@@ -61,6 +61,12 @@ def fixed_windows(text: Column, size: int = 400, step: int = 340) -> Column:
     return F.filter(F.when(F.length(body) < size, F.array(body)).otherwise(cut), lambda c: c != "")
 
 
+def page_of(digits: str) -> int | None:
+    """The number of a page; None for digits that no page is counted by."""
+    digits = digits.lstrip("0") or "0"
+    return int(digits) if len(digits) <= 10 and int(digits) < 2**31 else None
+
+
 def section_kind(title: str) -> str:
     """table, image or diagram for a marker of one, else text."""
     low = title.lower()
@@ -115,7 +121,7 @@ def split_sections(text: str, first: str = "Introduction", numbered: bool = Fals
         tag = _PAGE.match(bare)
         level = heading_level(bare, numbered) if bare and not tag else None
         if tag:
-            page = int(tag[1])
+            page = page_of(tag[1])
         elif level is None:
             body.append(line + "\n" if bare else "\n")
         else:
@@ -284,12 +290,14 @@ def page_aware(text: str, size: int = 12_000, carry: int = 5, tail: int = 2000)
     """Chunks of whole pages marked [Page n] up to size characters, each beginning with the end of the one before.
 
     The carried end is the last carry pieces between full stops, or the last tail
-    characters if there are no more pieces than that.
+    characters if there are no more pieces than that. A text without marks is one block
+    without a page, whatever it begins with; a mark with digits that no page is counted by stays in the text, but names no page.
     """
     out: list[tuple[str, list[int]]] = []
     held, pages = "", []
-    for part in text.split("[Page ")[1:] if "[Page " in text else [text]:
-        number = re.match(r"(\d+)", part)
+    marked = "[Page " in text
+    for part in text.split("[Page ")[1:] if marked else [text]:
+        number = re.match(r"(\d+)", part) if marked else None
         block = f"[Page {part}" if number else part
         if held and len(held) + len(block) > size:
             out.append((held.strip(), pages))
@@ -297,8 +305,8 @@ def page_aware(text: str, size: int = 12_000, carry: int = 5, tail: int = 2000)
             held = ".".join(pieces[-carry:]) if len(pieces) > carry else held[-tail:]
             pages = pages[-1:]
         held += block
-        if number:
-            pages = [*pages, int(number[1])]
+        if number and page_of(number[1]) is not None:
+            pages = [*pages, page_of(number[1])]
     if held.strip():
         out.append((held.strip(), pages))
     return out

@@ -63,3 +63,10 @@ def test_page_blocks_and_windows(spark):
     assert [tuple(b) for b in df.select(C.page_blocks(F.col("t"))).first()[0]] == [(1, "text", "hello"), (2, "toc", "world")]
     one = spark.createDataFrame([("a" * 1000,), (" short ",), ("",)], "t string").select(C.fixed_windows(F.col("t"))).collect()
     assert [len(x) for x in one[0][0]] == [400, 320 + 80, 320] and one[1][0] == ["short"] and one[2][0] == []
+
+
+def test_digits_that_are_no_page_number():
+    """A text without marks may begin with digits, and marks may hold more of them than a page number has."""
+    assert C.page_aware("4754543480058766 is a number. End.") == [("4754543480058766 is a number. End.", [])]
+    assert C.page_aware("[Page 2] a\n[Page 4754543480058766] b") == [("[Page 2] a\n[Page 4754543480058766] b", [2])]
+    assert [s.page_number for s in C.split_sections("[Page 4754543480058766 | type=text]\n# A\nb")] == [None]
