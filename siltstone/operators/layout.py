@@ -42,20 +42,33 @@ def near_rects(rects: DataFrame, key: str, gap: float) -> DataFrame:
 def rect_clusters(rects: DataFrame, key: str, gap: float) -> DataFrame:
     """(key, id, cluster): rectangles joined by near_rects, a cluster named by its smallest id.
 
-    Labels go from neighbour to neighbour and, through the cluster that they name, in
-    doubling steps; state is written out between turns.
+    Rectangles with the same box are one from the start, named by their smallest id, so
+    copies make no pairs. In each turn a cluster joins the one of the smallest name that it
+    is near to, in steps of four, and the edges that are left are those between clusters, so they
+    and the turns soon end; state is written out between turns.
     """
+    # a box whose sides are the wrong way round by more than the gap is near to none, not even to its copy
+    first = cut(rects.where((F.col("x0") - F.col("x1") <= gap) & (F.col("y0") - F.col("y1") <= gap)).groupBy(key, *BOX).agg(F.min("id").alias("_first")))
+    named = _clusters(first.withColumnRenamed("_first", "id"), key, gap)
+    met = rects.select(key, "id", *BOX).join(first, [key, *BOX], "left").join(named.withColumnsRenamed({"id": "_first", "cluster": "_named"}), [key, "_first"], "left")
+    return met.select(key, "id", F.coalesce("_named", "id").alias("cluster"))
+
+
+def _clusters(rects: DataFrame, key: str, gap: float) -> DataFrame:
+    """rect_clusters() of rectangles with different boxes."""
     edges = near_rects(rects, key, gap)
     both = cut(edges.unionByName(edges.select(key, F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = cut(rects.select(key, "id", F.col("id").alias("cluster")))
-    while True:
-        least = both.join(labels.select(key, F.col("id").alias("b"), "cluster"), [key, "b"]).groupBy(key, F.col("a").alias("id")).agg(F.min("cluster").alias("_c"))
-        new = labels.join(least, [key, "id"], "left").select(key, "id", F.col("cluster").alias("_old"), F.least("cluster", F.coalesce("_c", "cluster")).alias("cluster"))
-        up = new.select(key, F.col("id").alias("cluster"), F.col("cluster").alias("_up"))
-        new = cut(new.join(up, [key, "cluster"], "left").select(key, "id", "_old", F.least("cluster", F.coalesce("_up", "cluster")).alias("cluster")))
-        if new.where("cluster <> _old").isEmpty():
-            return labels
-        labels = new.drop("_old")
+    while not both.isEmpty():
+        least = both.groupBy(key, "a").agg(F.least("a", F.min("b")).alias("up"))
+        for _ in range(2):
+            above = least.select(key, F.col("a").alias("up"), F.col("up").alias("_top"))
+            least = least.join(above, [key, "up"]).select(key, "a", F.col("_top").alias("up"))
+        least = cut(least)
+        labels = cut(labels.join(least.withColumnRenamed("a", "cluster"), [key, "cluster"], "left").select(key, "id", F.coalesce("up", "cluster").alias("cluster")))
+        ends = both.join(least, [key, "a"]).select(key, F.col("up").alias("_a"), F.col("b").alias("a")).join(least, [key, "a"])
+        both = cut(ends.where("_a <> up").select(key, F.col("_a").alias("a"), F.col("up").alias("b")).distinct())
+    return labels
 
 
 def _boxes(rects: DataFrame, key: str, gap: float, least: int, area: float) -> DataFrame:

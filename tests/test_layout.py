@@ -173,3 +173,14 @@ def test_progress_spool_uploads_and_retries(spark, tmp_path):
 
     assert sinks.retried(write, wait=0) and len(tries) == 3 and not sinks.retried(lambda: 1 / 0, 2, 0)
     assert files.read_model(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_copies_of_boxes_make_no_pairs(spark, monkeypatch):
+    """Clusters of many equal boxes are found from one of each; names, boxes on other pages and broken ones stay right."""
+    seen = []
+    monkeypatch.setattr(layout, "near_rects", lambda rects, *a, near=layout.near_rects: seen.append(rects.count()) or near(rects, *a))
+    rects = [(1000 - k, 10.0 * (k % 3), 0.0, 10.0 * (k % 3) + 5, 5.0) for k in range(300)] + [(5, 300.0, 300.0, 310.0, 310.0), (4, 300.0, 300.0, 310.0, 310.0), (2000, 90.0, 0.0, 50.0, 5.0), (2001, 90.0, 0.0, 50.0, 5.0)]
+    shape = "page string, id long, x0 double, y0 double, x1 double, y1 double"
+    both = [("p", *r) for r in rects] + [("q", 7, 0.0, 0.0, 5.0, 5.0), ("p", 3000, None, 0.0, 1.0, 1.0)]
+    got = {r.id: r.cluster for r in layout.rect_clusters(rows(spark, both, shape), "page", 5.0).collect()}
+    assert got == plain_clusters(rects, 5.0) | {7: 7, 3000: 3000} and max(seen) == 5
