@@ -93,7 +93,7 @@ def regions(paths: DataFrame, images: DataFrame, words: DataFrame, key: str) ->
     border = is_border(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.col("stroke"))
     boxes = _boxes(paths.where(border), key, 2 * GAP, TABLE_LINES, TABLE_AREA)
     inner = words.select(key, *[F.col(c).alias(f"w{c}") for c in BOX])
-    tables = boxes.join(inner, [key]).where("wx1 > x0 AND wx0 < x1 AND wy1 > y0 AND wy0 < y1").select(key, *BOX).distinct()
+    tables = cut(boxes.distinct().join(inner.distinct(), [key]).where("wx1 > x0 AND wx0 < x1 AND wy1 > y0 AND wy0 < y1").select(key, *BOX).distinct())
     other = paths.where(~border)
     held = tables.select(key, *[F.col(c).alias(f"t{c}") for c in BOX])
     within = other.join(held, key).where(f"x0 >= tx0 - {INSIDE} AND y0 >= ty0 - {INSIDE} AND x1 <= tx1 + {INSIDE} AND y1 <= ty1 + {INSIDE}").select(key, "id").distinct()
@@ -105,12 +105,16 @@ def regions(paths: DataFrame, images: DataFrame, words: DataFrame, key: str) ->
 
 def captioned(boxes: DataFrame, words: DataFrame, key: str) -> DataFrame:
     """boxes (key, kind, x0, y0, x1, y1) with caption and label by the words (key, pos, text, box) around them."""
-    near = words.select(key, "pos", "text", *[F.col(c).alias(f"w{c}") for c in BOX])
+    # of words with the same box, only the first can be among the first of a caption
+    nth = F.row_number().over(Window.partitionBy(key, *BOX).orderBy("pos", "text"))
+    near = words.select(key, "pos", "text", *BOX).withColumn("_nth", nth).where(F.col("_nth") <= CAPTION_WORDS).select(key, "pos", "text", *[F.col(c).alias(f"w{c}") for c in BOX])
     aside = F.expr(f"wx1 > x0 - {PAD} AND wx0 < x1 + {PAD}")
     below, above = F.expr(f"wy1 > y1 AND wy0 < y1 + {BAND}"), F.expr(f"wy1 > y0 - {BAND} AND wy0 < y0")
-    said = lambda band: F.array_join(F.transform(F.slice(F.sort_array(F.collect_list(F.when(band, F.struct("pos", "text")))), 1, CAPTION_WORDS), lambda w: w["text"]), " ")
+    first = lambda band: F.slice(F.sort_array(F.collect_list(F.when(band, F.struct("pos", "text")))), 1, CAPTION_WORDS)
+    # a word counts for each of the boxes that are equal
+    said = lambda band: F.array_join(F.slice(F.flatten(F.transform(first(band), lambda w: F.array_repeat(w["text"], F.first("_copies").cast("int")))), 1, CAPTION_WORDS), " ")
     by = ["kind", *BOX]
-    met = boxes.join(near, key).where(aside & (below | above)).groupBy(key, *by).agg(T.strip(said(below)).alias("_below"), T.strip(said(above)).alias("_above"))
+    met = boxes.groupBy(key, *by).agg(F.count("*").alias("_copies")).join(near, key).where(aside & (below | above)).groupBy(key, *by).agg(T.strip(said(below)).alias("_below"), T.strip(said(above)).alias("_above"))
     found = boxes.join(met, [key, *by], "left").withColumns({c: F.coalesce(c, F.lit("")) for c in ("_below", "_above")})
     caption = F.when(F.col("_below").rlike(CAPTION), F.col("_below")).when(F.col("_below") != "", F.substring("_below", 1, CAPTION_CHARS)).when(F.col("_above").rlike(CAPTION), F.col("_above")).otherwise("")
     plain = F.when(F.col("kind") == "line_table", "Table").when(F.col("kind") == "diagram", "Diagram").otherwise("Image")

@@ -184,3 +184,12 @@ def test_copies_of_boxes_make_no_pairs(spark, monkeypatch):
     both = [("p", *r) for r in rects] + [("q", 7, 0.0, 0.0, 5.0, 5.0), ("p", 3000, None, 0.0, 1.0, 1.0)]
     got = {r.id: r.cluster for r in layout.rect_clusters(rows(spark, both, shape), "page", 5.0).collect()}
     assert got == plain_clusters(rects, 5.0) | {7: 7, 3000: 3000} and max(seen) == 5
+
+
+def test_captions_of_equal_boxes_and_words(spark):
+    """A word counts for each of the equal boxes, as far as a caption goes, however many words share a place."""
+    boxes = [("p", "image", 0.0, 0.0, 50.0, 50.0)] * 2
+    words = [("p", k, f"w{k}", 0.0, 60.0, 9.0, 70.0) for k in range(100)]
+    shape = "x0 double, y0 double, x1 double, y1 double"
+    got = layout.captioned(rows(spark, boxes, f"page string, kind string, {shape}"), rows(spark, words, f"page string, pos long, text string, {shape}"), "page").collect()
+    assert [r.caption for r in got] == [" ".join(f"w{k} w{k}" for k in range(15))] * 2
