@@ -29,14 +29,16 @@ def near_rects(rects: DataFrame, key: str, gap: float) -> DataFrame:
 
     Rectangles meet by the cells of a grid over their page, no finer than the gap and of
     at most GRID cells each way, so only those of a neighbourhood are compared and a
-    large one lies in a bounded number of cells.
+    large one lies in a bounded number of cells. A pair counts in the first cell that
+    both lie in, so pairs are neither shuffled nor repeated.
     """
     over = rects.groupBy(key).agg(F.min("x0").alias("_x"), F.min("y0").alias("_y"), F.greatest(F.lit(gap), F.lit(1.0), (F.max("x1") - F.min("x0")) / GRID).alias("_w"), F.greatest(F.lit(gap), F.lit(1.0), (F.max("y1") - F.min("y0")) / GRID).alias("_h"))
     cells = lambda lo, hi, least, size: F.sequence(F.floor((F.col(lo) - F.col(least) - gap) / F.col(size)), F.floor((F.col(hi) - F.col(least) + gap) / F.col(size)))
-    placed = rects.select(key, "id", *BOX).join(over, key).withColumn("_cx", F.explode(cells("x0", "x1", "_x", "_w"))).withColumn("_cy", F.explode(cells("y0", "y1", "_y", "_h"))).drop("_x", "_y", "_w", "_h")
-    met = placed.join(placed.withColumnsRenamed({c: f"{c}_b" for c in ("id", *BOX)}), [key, "_cx", "_cy"]).where("id < id_b")
+    placed = rects.select(key, "id", *BOX).join(over, key).withColumn("_xs", cells("x0", "x1", "_x", "_w")).withColumn("_ys", cells("y0", "y1", "_y", "_h"))
+    placed = placed.select(key, "id", *BOX, F.col("_xs")[0].alias("_fx"), F.col("_ys")[0].alias("_fy"), F.explode("_xs").alias("_cx"), "_ys").withColumn("_cy", F.explode("_ys")).drop("_ys")
+    met = placed.join(placed.withColumnsRenamed({c: f"{c}_b" for c in ("id", "_fx", "_fy", *BOX)}), [key, "_cx", "_cy"]).where("id < id_b AND _cx = greatest(_fx, _fx_b) AND _cy = greatest(_fy, _fy_b)")
     apart = lambda lo, hi: F.greatest(F.lit(0.0), F.greatest(F.col(lo), F.col(f"{lo}_b")) - F.least(F.col(hi), F.col(f"{hi}_b")))
-    return met.where((apart("x0", "x1") <= gap) & (apart("y0", "y1") <= gap)).select(key, F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
+    return met.where((apart("x0", "x1") <= gap) & (apart("y0", "y1") <= gap)).select(key, F.col("id").alias("a"), F.col("id_b").alias("b"))
 
 
 def rect_clusters(rects: DataFrame, key: str, gap: float) -> DataFrame:

@@ -193,3 +193,15 @@ def test_captions_of_equal_boxes_and_words(spark):
     shape = "x0 double, y0 double, x1 double, y1 double"
     got = layout.captioned(rows(spark, boxes, f"page string, kind string, {shape}"), rows(spark, words, f"page string, pos long, text string, {shape}"), "page").collect()
     assert [r.caption for r in got] == [" ".join(f"w{k} w{k}" for k in range(15))] * 2
+
+
+def test_near_rects_shuffle_no_pairs(spark):
+    """Every pair once, without a shuffle of pairs to make them distinct."""
+    rng = random.Random(6)
+    rects = [("p", k, *(a := (rng.uniform(0, 600), rng.uniform(0, 800))), a[0] + rng.uniform(0, 90), a[1] + rng.uniform(0, 90)) for k in range(150)]
+    near = layout.near_rects(rows(spark, rects, "page string, id long, x0 double, y0 double, x1 double, y1 double"), "page", 12.0)
+    got = [(r.a, r.b) for r in near.collect()]
+    want = {(a[1], b[1]) for a in rects for b in rects if a[1] < b[1] and max(a[2], b[2]) - min(a[4], b[4]) <= 12 and max(a[3], b[3]) - min(a[5], b[5]) <= 12}
+    assert len(got) == len(set(got)) and set(got) == want
+    plan = near._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "Aggregate" not in plan
