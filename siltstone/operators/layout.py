@@ -141,10 +141,24 @@ def span_of(needle: Column, haystack: Column, sizes: tuple[int, ...] = (60, 40,
     return F.transform(F.array(F.coalesce(*tries)), ended)[0]
 
 
+#: Characters of a stretch by which spans meet words.
+STRETCH = 64
+
+
 def boxes_of(spans: DataFrame, words: DataFrame, key: str) -> DataFrame:
-    """spans (key, id, start, end) with the box around the words (key, from, to, box) that they overlap."""
-    met = spans.join(words.select(key, "from", "to", *BOX), key).where("to > start AND `from` < end")
-    return met.groupBy(key, "id").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    """spans (key, id, start, end) with the box around the words (key, from, to, box) that they overlap.
+
+    Equal spans are looked up once, and words of one place count as one box around them;
+    both meet by the stretches of STRETCH characters that they lie in.
+    """
+    least = {"x0": F.min, "y0": F.min, "x1": F.max, "y1": F.max}
+    around = [f(c).alias(c) for c, f in least.items()]
+    reach = lambda lo, hi: F.explode(F.sequence(F.floor(F.least(lo, hi) / STRETCH), F.floor(F.greatest(lo, hi) / STRETCH)))
+    places = words.groupBy(key, "from", "to").agg(*around).withColumn("_s", reach("from", "to"))
+    asked = spans.select(key, "start", "end").distinct().withColumn("_s", reach("start", "end"))
+    met = asked.join(places, [key, "_s"]).where("to > start AND `from` < end").groupBy(key, "start", "end").agg(*around)
+    found = spans.select(key, "id", "start", "end").join(met, [key, "start", "end"])
+    return found.groupBy(key, "id").agg(*around)
 
 
 def bookmarks(rows: DataFrame, key: str) -> DataFrame:

@@ -205,3 +205,19 @@ def test_near_rects_shuffle_no_pairs(spark):
     assert len(got) == len(set(got)) and set(got) == want
     plan = near._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
     assert "Aggregate" not in plan
+
+
+def test_boxes_of_spans_and_words_of_one_place(spark):
+    """Equal spans and words of one place are met once; spans over several stretches and ids of two spans keep their whole box."""
+    rng = random.Random(7)
+    spans = [("p", k % 40, s := rng.choice([0, 5, 60, 700]), s + rng.choice([4, 40, 300])) for k in range(60)]
+    words = [("p", f := rng.randrange(0, 1000, 7), f + 5, *(float(rng.randrange(500)) for _ in range(4))) for _ in range(900)]
+    got = {r.id: (r.x0, r.y0, r.x1, r.y1) for r in layout.boxes_of(rows(spark, spans, "page string, id long, start long, end long"), rows(spark, words, "page string, from long, to long, x0 double, y0 double, x1 double, y1 double"), "page").collect()}
+    want = {}
+    for _, i, start, end in spans:
+        met = [w[3:] for w in words if w[2] > start and w[1] < end]
+        old = want.get(i)
+        met += [old] if old else []
+        if met:
+            want[i] = (min(m[0] for m in met), min(m[1] for m in met), max(m[2] for m in met), max(m[3] for m in met))
+    assert got == want
