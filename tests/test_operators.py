@@ -233,3 +233,13 @@ def test_fuzzy_evidence_equals_brute_force(spark, tmp_path):
             want[r.item_id] = r["rank"]
     assert want[1] in (3, 4, 5) and want[2] is None and want[3] and want[4] and want[5] is None
     assert dict(values(evaluate.fuzzy_evidence(spark, str(tmp_path)).select("item_id", "found_in_rank"))) == want
+
+
+def test_signatures_of_words_equal_those_of_strings():
+    """Shingles of four ASCII characters, hashed as single words, and all others give the least hash of every seed; no string is made for the former."""
+    import numpy as np
+
+    texts = ["the quick brown fox " * 3, "", "ab", "é", "日本語テキスト", "Ünïcode ẞ text İ ok", "\x00\x00\x00\x00a", "plain again é"]
+    seeds = np.arange(dedup.PERMUTATIONS, dtype=np.uint32)
+    want = [dedup.murmur3([s.encode() for s in sorted(dedup.shingles(t))], seeds).min(axis=0) for t in texts]
+    assert all((a == b).all() for a, b in zip(dedup.signatures(texts), want, strict=True))
