@@ -101,3 +101,22 @@ def test_event_windows_stream_equals_batch(spark, tmp_path):
     q = ingest.event_windows(stream).writeStream.format("memory").queryName("windows_out").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("windows_out").collect())) == sorted(map(tuple, ingest.event_windows(events).collect()))
+
+
+def test_functions_of_texts_get_bounded_batches(spark):
+    """A worker's memory goes by a batch of bounded rows and bytes, not by the rows of a task."""
+    from siltstone.functions.vectorised import BATCH
+    from siltstone.operators import dedup
+
+    before = {name: spark.conf.get(name) for name in BATCH}
+    try:
+        for name in BATCH:
+            spark.conf.set(name, "10000000")
+        dedup.shingle_sets("text")
+        assert {name: int(spark.conf.get(name)) for name in BATCH} == BATCH
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        dedup.shingle_sets("text")
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "7"
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
