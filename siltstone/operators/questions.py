@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.functions.models import Generator
+from siltstone.session import cut
 
 #: Fixed lists of the quality rules.
 VAGUE = ["something", "anything", "somehow", "maybe", "possibly"]
@@ -75,20 +76,23 @@ def said_before(rows: DataFrame, same: float = SAME) -> DataFrame:
 
     Pairs come from products of blocks of vectors. Then each turn accepts the rows without
     an undecided earlier neighbour and drops their neighbours, as decisions go in order.
+    State is written out between turns, so that plans do not grow with them.
     """
     from siltstone.operators.vector import alike
 
+    rows = cut(rows)
     standing = rows.where("standing")
-    pairs = alike(standing, rows, "key", "vector", same).where("a < b").persist()
+    pairs = cut(alike(standing, rows, "key", "vector", same).where("a < b"))
     # only standing rows decide over one another
-    edges = pairs.join(standing.select(F.col("key").alias("b")), "b", "left_semi").select("a", "b").persist()
+    edges = cut(pairs.join(standing.select(F.col("key").alias("b")), "b", "left_semi").select("a", "b"))
     lost = None
     while not edges.isEmpty():
         free = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-        out = edges.join(free, "a").select("b").distinct().persist()
+        out = cut(edges.join(free, "a").select("b").distinct())
         lost = out if lost is None else lost.unionByName(out)
-        done = free.select(F.col("a").alias("x")).unionByName(out.select(F.col("b").alias("x"))).persist()
-        edges = edges.join(done, F.col("a") == F.col("x"), "left_anti").join(done, F.col("b") == F.col("x"), "left_anti").select("a", "b").persist()
+        # the free ones' edges all end in rows that are out
+        gone = out.select(F.col("b").alias("x"))
+        edges = cut(edges.join(gone, F.col("a") == F.col("x"), "left_anti").join(gone, F.col("b") == F.col("x"), "left_anti"))
     accepted = standing.select(F.col("key").alias("a"))
     if lost is not None:
         accepted = accepted.join(lost.select(F.col("b").alias("a")), "a", "left_anti")

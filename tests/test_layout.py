@@ -221,3 +221,12 @@ def test_boxes_of_spans_and_words_of_one_place(spark):
         if met:
             want[i] = (min(m[0] for m in met), min(m[1] for m in met), max(m[2] for m in met), max(m[3] for m in met))
     assert got == want
+
+
+def test_plans_do_not_grow_with_the_turns(spark):
+    """A chain of many turns: each row is alike to the one before it only, so every second one stands."""
+    n = 24
+    data = [(k, [1.0 if j in (k, k + 1) else 0.0 for j in range(n + 1)], True) for k in range(n)]
+    got = questions.said_before(rows(spark, data, "key long, vector array<double>, standing boolean"), 0.5)
+    assert len(got._jdf.queryExecution().analyzed().toString()) < 40_000
+    assert {r.key for r in got.collect()} == set(range(1, n, 2))
