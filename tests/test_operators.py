@@ -243,3 +243,19 @@ def test_signatures_of_words_equal_those_of_strings():
     seeds = np.arange(dedup.PERMUTATIONS, dtype=np.uint32)
     want = [dedup.murmur3([s.encode() for s in sorted(dedup.shingles(t))], seeds).min(axis=0) for t in texts]
     assert all((a == b).all() for a, b in zip(dedup.signatures(texts), want, strict=True))
+
+
+def test_pairs_far_apart_are_left_out_before_signatures_are_read(spark):
+    """Chunks of one bucket whose sketches differ too much are not met; similar ones all are."""
+    import random
+
+    rng = random.Random(3)
+    base = [[rng.randrange(1 << 30) for _ in range(dedup.PERMUTATIONS)] for _ in range(3)]
+    signed = [(k, [v if rng.random() < 0.9 else rng.randrange(1 << 30) for v in base[k % 3]]) for k in range(45)]
+    df = spark.createDataFrame(signed, "id long, signature array<int>")
+    keys = df.select("id", dedup.sketch("signature").alias("s"), F.lit(1).alias("bucket"))
+    met = keys.withColumnsRenamed({"id": "b", "s": "t"}).join(keys.withColumnRenamed("id", "a"), "bucket").where(dedup._may_agree(0.8))
+    met = {(r.a, r.b) for r in met.collect()}
+    want = {(a, b) for a, x in signed for b, y in signed if a < b and sum(p == q for p, q in zip(x, y, strict=True)) >= 0.8 * dedup.PERMUTATIONS}
+    assert want and want <= met and all(a % 3 == b % 3 for a, b in met)
+    assert {(r.a, r.b) for r in dedup.similar_pairs(keys.drop("s"), df, "id", 0.8, ("bucket",)).collect()} == want
